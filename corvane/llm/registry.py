@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import mixing, packing
+from corvane.llm import mixing, packing, quality, secrets
 
-MODULES = (packing, mixing)
+MODULES = (secrets, packing, quality, mixing)
 
 
 def queries() -> dict:
