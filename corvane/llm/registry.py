@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import mixing, packing, quality, secrets
+from corvane.llm import mixing, neardup_vectors, packing, quality, secrets, topk
 
-MODULES = (secrets, packing, quality, mixing)
+MODULES = (secrets, neardup_vectors, packing, quality, mixing, topk)
 
 
 def queries() -> dict:
