@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import mixing, neardup_vectors, packing, quality, secrets, topk
+from corvane.llm import chat, mixing, neardup_vectors, packing, quality, secrets, topk, urls
 
-MODULES = (secrets, neardup_vectors, packing, quality, mixing, topk)
+MODULES = (chat, secrets, neardup_vectors, packing, quality, urls, mixing, topk)
 
 
 def queries() -> dict:
