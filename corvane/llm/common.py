@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,11 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark delete shuffle files that no frame refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         with contextlib.suppress(Exception):
             jvm = self.spark.sparkContext._jvm

@@ -188,6 +188,8 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
 
     posted = base.select("text").mapInArrow(post(shingle, similar, buckets, hot), "bucket int, blob binary")
     posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(candidates(*similar, buckets), setjoin.CANDIDATES).write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/candidates")
+    del posted
+    ws.release()
     pair_rows, lists, belongs = (read("candidates", kind, "a long, b long, n int, m int") for kind in (0, 1, 2))
     belongs = belongs.select(F.col("a").alias("g"), F.col("b").alias("d"))
     groups = ws.save(belongs.groupBy("g").agg(F.min("d").alias("leader"), F.count(F.lit(1)).alias("size")), "groups")

@@ -62,6 +62,16 @@ class Order:
             keys[known] = TOP + self.at[i[known]]
         return keys
 
+    def plain(self, keys: np.ndarray) -> np.ndarray:
+        """Token hashes of keys, in the order of the keys."""
+        out = keys.copy()
+        known = keys >= TOP
+        if known.any():
+            by_rank = np.empty_like(self.tokens)
+            by_rank[self.at.astype(np.int64)] = self.tokens
+            out[known] = by_rank[(keys[known] - TOP).astype(np.int64)]
+        return out
+
 
 def distinct(keys: np.ndarray, owner: np.ndarray, n: int) -> Sets:
     """Sorted distinct keys of each of n owners."""
