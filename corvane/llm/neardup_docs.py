@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corvane.llm import setjoin
 from corvane.llm.common import Workspace, parallelism, table
 from corvane.llm.graph import components
-from corvane.llm.setjoin import FLUSH, TOP, Counter, Order, Postings, candidates, digests, distinct, first_of, needed, prefix_length
+from corvane.llm.setjoin import FLUSH, TOP, Counter, Order, Postings, bands, bitmaps, candidates, digests, distinct, first_of, list_pairs, needed, prefix_length
 from corvane.llm.vectors import runs
 from corvane.llm.words import Hasher, chunks, mix64
 
@@ -120,7 +120,7 @@ def post(k: int, similar: tuple[int, int], buckets: int, hot: list[int]):
 
 
 def whole_sets(k: int):
-    """(d, set as sorted token hashes) of (text) rows."""
+    """(d, bitmap, set as sorted token hashes) of (text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -128,7 +128,8 @@ def whole_sets(k: int):
             for lo, hi, hashes, owner in _shingled(batch.column(0), hasher, k):
                 sets = distinct(hashes >> np.uint64(1), owner, hi - lo)
                 d, _ = digests(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array([sets[0][a:b].tobytes() for a, b in zip(sets[1][:-1], sets[1][1:], strict=True)], pa.binary())], names=["d", "tokens"])
+                cut = zip(sets[1][:-1], sets[1][1:], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array([x.tobytes() for x in bitmaps(sets)], pa.binary()), pa.array([sets[0][a:b].tobytes() for a, b in cut], pa.binary())], names=["d", "bitmap", "tokens"])
 
     return run
 
@@ -197,7 +198,7 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
     # Pairs of groups that share enough of their prefixes; tokens with long lists may
     # be shared too, so as many as both have count for the pair here.
     counted = ws.save(pair_rows.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m")), "counted")
-    long_lists = lists.select(F.col("a").alias("token"), F.col("b").alias("g"), F.col("n"))
+    long_lists = lists.select(F.col("a").alias("token"), F.col("b").alias("g"), "n", F.col("m").alias("pos"))
     on_lists = long_lists.groupBy("g").agg(F.count(F.lit(1)).alias("on_lists"))
     least = setjoin.least_shared_sql("n", "m", *similar)
     left, right = on_lists.select(F.col("g").alias("a"), F.col("on_lists").alias("ha")), on_lists.select(F.col("g").alias("b"), F.col("on_lists").alias("hb"))
@@ -207,7 +208,9 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
     # The sets that any check may need: of groups in pairs, on long lists or with members.
     wanted = likely.select(F.explode(F.array("a", "b")).alias("g")).union(long_lists.select("g")).union(groups.filter("size > 1").select("g")).distinct()
     need = belongs.join(wanted, "g", "left_semi").select("d").distinct().join(classes, "d").select(F.col("least").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    sets = ws.save(base.join(need.hint("shuffle_hash"), "doc_id").select("text").mapInArrow(whole_sets(shingle), "d long, tokens binary").dropDuplicates(["d"]), "sets")
+    everything = ws.save(base.join(need.hint("shuffle_hash"), "doc_id").select("text").mapInArrow(whole_sets(shingle), "d long, bitmap binary, tokens binary").dropDuplicates(["d"]), "sets")
+    ws.release()
+    sets = everything.select("d", "tokens")
 
     # First round: one partner each.
     lead = groups.select("g", "leader")
@@ -227,16 +230,19 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
     split = parts_of.groupBy("g").count().filter("count > 1").select("g")
     own = parts_of.join(split, "g", "left_semi")
     within = own.select(F.col("g").alias("a"), F.col("c").alias("ca")).join(own.select(F.col("g").alias("b"), F.col("c").alias("cb")), (F.col("a") == F.col("b")) & (F.col("ca") < F.col("cb")))
-    listed = long_lists.join(parts_of, "g")
-    mixed = listed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-    listed = ws.save(listed.join(mixed, "token", "left_semi").select("token", "g", "c", "n"), "listed")
-    one, two = listed.select("token", F.col("g").alias("a"), F.col("c").alias("ca"), "n"), listed.select("token", F.col("g").alias("b"), F.col("c").alias("cb"), F.col("n").alias("m"))
-    across = one.join(two, (one.token == two.token) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("n", "m") * similar[1] >= F.greatest("n", "m") * similar[0])).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("on_both"))
-    across = across.join(counted.select("a", "b", "shared"), ["a", "b"], "left").filter(F.col("on_both") + F.coalesce("shared", F.lit(0)) >= F.expr(least)).select("a", "b")
-    between = likely.union(across).distinct().join(ga, "a").join(gb, "b").filter("ca != cb").select("a", "ca", "b", "cb")
+    between = likely.join(ga, "a").join(gb, "b").filter("ca != cb").select("a", "ca", "b", "cb")
     open_ = ws.save(between.unionByName(within.select("a", "ca", "b", "cb")).distinct(), "open")
     ma, mb = named.select(F.col("g").alias("a"), F.col("c").alias("ca"), F.col("d").alias("x")), named.select(F.col("g").alias("b"), F.col("c").alias("cb"), F.col("d").alias("y"))
     second = open_.join(ma, ["a", "ca"]).join(mb, ["b", "cb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # Long lists of which not all is connected, by bands of sizes.
+    listed = long_lists.join(named, "g")
+    mixed = listed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
+    band = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bands(*similar)]), lambda x: x <= F.col("n")))
+    listed = ws.save(listed.join(mixed, "token", "left_semi").withColumn("band", band), "listed")
+    homes = [listed.select("token", (F.col("band") + up).alias("band"), F.lit(up).alias("guest"), "d", "c", "n", "pos") for up in (0, 1)]
+    met = homes[0].unionByName(homes[1]).join(everything.select("d", "bitmap"), "d").select("token", "band", "guest", "d", "c", "n", "pos", "bitmap")
+    across = met.repartition(parts, "token", "band").sortWithinPartitions("token", "band", "guest").mapInArrow(list_pairs(*similar), "a long, b long").distinct()
+    second = second.union(across).distinct()
     second = ws.save(second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "second")
     more = ws.save(verify(second, sets, similar), "edges-2")
 

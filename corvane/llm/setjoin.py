@@ -228,8 +228,91 @@ def keep(item: np.ndarray, n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.
     return x[ok], y[ok]
 
 
+#: 64-bit words of a parity bitmap: bit i tells whether an odd number of tokens hash to
+#: i. Sets that differ in x tokens have bitmaps that differ in x bits at most.
+WORDS = 8
+
+
+def bitmaps(sets: Sets) -> np.ndarray:
+    """A row of WORDS numbers for each set."""
+    keys, offsets = sets
+    h = mix64(keys)
+    bit, word = np.uint64(1) << (h >> np.uint64(58)), (h & np.uint64(WORDS - 1)).astype(np.int64)
+    out = np.zeros((len(offsets) - 1, WORDS), dtype=np.uint64)
+    for w in range(WORDS):
+        flags = np.concatenate([np.zeros(1, dtype=np.uint64), np.bitwise_xor.accumulate(np.where(word == w, bit, np.uint64(0)))]) if len(keys) else np.zeros(1, dtype=np.uint64)
+        out[:, w] = flags[offsets[1:]] ^ flags[offsets[:-1]]
+    return out
+
+
+def bands(a: int, b: int, most: int = 1 << 31) -> list[int]:
+    """Least sizes of bands of sizes, such that sets whose sizes differ by a factor of
+    b / a at most are in the same or in neighbouring bands."""
+    out = [1]
+    while out[-1] < most:
+        out.append(out[-1] * b // a + 1)
+    return out
+
+
+def list_pairs(a: int, b: int, block: int = 512):
+    """Pairs (a, b) of one band of a long list that may be similar and are in different
+    components. Rows (token, band, guest, d, c, n, pos, bitmap) are sorted by the first
+    three; a guest comes from the band below and meets the band's own rows only. Pairs
+    are looked at in blocks and filtered before any is given out: by size, by whether the
+    token can be the first that both share, and by the bits in which their bitmaps
+    differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def likely(x: tuple, y: tuple, same: bool) -> Iterator[pa.RecordBatch]:
+            dx, cx, nx, px, bx = x
+            dy, cy, ny, py, by = y
+            for lo in range(0, len(dx), block):
+                for at in range(lo if same else 0, len(dy), 8 * block):
+                    i, j = slice(lo, lo + block), slice(at, at + 8 * block)
+                    n, m = nx[i, None], ny[None, j]
+                    least = needed(n, m, a, b)
+                    ok = (cx[i, None] != cy[None, j]) & (np.minimum(n, m) * b >= np.maximum(n, m) * a) & (px[i, None] <= n - least) & (py[None, j] <= m - least)
+                    u, v = np.nonzero(ok)
+                    if same:
+                        u, v = u[lo + u < at + v], v[lo + u < at + v]
+                    for s in range(0, len(u), 1 << 18):
+                        p, q = lo + u[s : s + (1 << 18)], at + v[s : s + (1 << 18)]
+                        good = np.bitwise_count(bx[p] ^ by[q]).sum(1, dtype=np.int64) <= nx[p] + ny[q] - 2 * needed(nx[p], ny[q], a, b)
+                        p, q = dx[p[good]], dy[q[good]]
+                        if len(p):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+        def close() -> tuple:
+            return tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+        now, held, own = None, [], None
+        for (token, band, guest), rows in runs(batches, 3):
+            if now != (token, band):
+                if held:
+                    own = close()
+                    yield from likely(own, own, True)
+                now, held, own = (token, band), [], None
+            raw = b"".join(rows.column(7).to_pylist())
+            part = (rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(5).to_numpy().astype(np.int64), rows.column(6).to_numpy().astype(np.int64), np.frombuffer(raw, dtype=np.uint64).reshape(-1, WORDS))
+            if guest == 0:
+                held.append(part)
+                continue
+            if own is None and held:
+                own = close()
+                yield from likely(own, own, True)
+                held = []
+            if own is not None:
+                yield from likely(part, own, False)
+        if held:
+            own = close()
+            yield from likely(own, own, True)
+
+    return run
+
+
 #: kind 0: a pair (a, b) that shares a token, with sizes n and m. kind 1: item b with
-#: size m is on the list of token a, which is too long for all pairs. kind 2: set b with
+#: size n is on the list of token a, which is too long for all pairs; m is the token's
+#: position in it. kind 2: set b with
 #: m tokens belongs to item a.
 CANDIDATES = "kind int, a long, b long, n int, m int"
 
@@ -265,7 +348,7 @@ def candidates(a: int, b: int, buckets: int, most: int = LIST):
                     yield out(0, np.where(low, s, t), np.where(low, t, s), np.where(low, n[x], n[y]), np.where(low, n[y], n[x]))
             for lo, k in zip(starts[sizes > most], sizes[sizes > most], strict=True):
                 i = np.arange(lo, lo + k)
-                yield out(1, np.full(k, keys[lo].astype(np.int64)), item[i], n[i], n[i])
+                yield out(1, np.full(k, keys[lo].astype(np.int64)), item[i], n[i], pos[i])
 
         now, held = None, []
         for (bucket,), rows in runs(batches, 1):
