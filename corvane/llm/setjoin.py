@@ -216,7 +216,7 @@ def pairs_of(item: np.ndarray, n: np.ndarray, pos: np.ndarray, starts: np.ndarra
 
 def least_shared_sql(n: str, m: str, a: int, b: int) -> str:
     """SQL: least number of prefix tokens that a linked pair with n and m tokens shares."""
-    p = lambda x: f"({x} + ({-a} * {x}) div {b} + 1)"  # noqa: E731  div rounds up below zero
+    p = lambda x: f"({x} - ({a} * {x} + {b - 1}) div {b} + 1)"
     return f"(({a} * ({n} + {m}) + {a + b - 1}) div {a + b}) - greatest({n} - {p(n)}, {m} - {p(m)})"
 
 
