@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +69,18 @@ def describe(least: int, buckets: int):
     return run
 
 
-KINDS = ("u8", "u8", "u8", "u4", "u4")
+KINDS = ("u8", "u8", "u8", "u4", "u4", "i8", "u4")
+#: Residues of hashes by which the second round picks words and lines: a bounded list
+#: for any input. More of them than needed may match, which costs work only.
+RESIDUES = 1 << 17
 
 
-def post(least: int, similar: tuple[int, int], buckets: int, hot: list[int]):
+def post(least: int, similar: tuple[int, int], buckets: int, hot: list[int], words: list[int] | None = None):
     """(bucket, blob) of the prefix words of each line: word, line's digest, parity
-    bitmap of its words, its size and the word's position."""
+    bitmap of its words, its size, the word's position, and the line's place (id, line).
+    With `words`, only of words with those residues."""
     order = Order(hot)
+    chosen = None if words is None else np.isin(np.arange(RESIDUES), words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = Hasher(), [], 0
@@ -85,16 +91,23 @@ def post(least: int, similar: tuple[int, int], buckets: int, hot: list[int]):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([raw], pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
-            for _, _, _, sets in line_sets(batch.column(0), hasher, order):
+            ids = pc.fill_null(batch.column(0), -(1 << 63)).to_numpy()
+            for lo, hi, head, sets in line_sets(batch.column(1), hasher, order):
                 n = np.diff(sets[1])
-                d = setjoin.digests((order.plain(sets[0]), sets[1]))[0]
+                d = digests((order.plain(sets[0]), sets[1]))[0]
+                text = np.repeat(np.arange(lo, hi), np.diff(head))
+                line = np.arange(len(n)) - head[text - lo]
+                first = np.lexsort((line, ids[text], d))  # of equal lines the earliest
                 once = np.zeros(len(n), dtype=bool)
-                once[np.unique(d, return_index=True)[1]] = True  # equal lines side by side
+                once[first[np.append(True, d[first][1:] != d[first][:-1])]] = True
                 place, own, pos = first_of(sets, np.where(once & (n >= least), prefix_length(n, *similar), 0))
+                if chosen is not None:
+                    some = chosen[(sets[0][place] % np.uint64(RESIDUES)).astype(np.int64)]
+                    place, own, pos = place[some], own[some], pos[some]
                 bits = np.uint64(1) << (mix64(sets[0]) >> np.uint64(58))
                 flags = np.concatenate([np.zeros(1, dtype=np.uint64), np.bitwise_xor.accumulate(bits)]) if len(bits) else np.zeros(1, dtype=np.uint64)
                 bitmap = flags[sets[1][1:]] ^ flags[sets[1][:-1]]
-                held.append((sets[0][place], d[own], bitmap[own], n[own].astype(np.uint32), pos.astype(np.uint32)))
+                held.append((sets[0][place], d[own], bitmap[own], n[own].astype(np.uint32), pos.astype(np.uint32), ids[text[own]], line[own].astype(np.uint32)))
                 size += len(place)
             if size > FLUSH:
                 yield from flush()
@@ -105,29 +118,54 @@ def post(least: int, similar: tuple[int, int], buckets: int, hot: list[int]):
     return run
 
 
-def meet(similar: tuple[int, int]):
-    """From postings sorted by bucket to pairs (a, b) that may be similar."""
-    a, b = similar
+#: kind 0: line b may be similar to the earlier line a. kind 1: line b has more such
+#: partners on the list of word a.
+PARTNERS = "kind int, a long, b long"
+
 
-    def likely(c: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        _, item, bitmap, n, pos = c
+def meet(similar: tuple[int, int], late: list[int] | None = None):
+    """From postings sorted by bucket to PARTNERS rows: for each line and word, of the
+    earlier lines that may be similar the one whose bitmap is nearest. With `late`, for
+    lines whose digests have those residues all of them, and for no others. A group of
+    k similar lines gives k rows for a word, not all its pairs."""
+    a, b = similar
+    flagged = None if late is None else np.isin(np.arange(RESIDUES), late)
+
+    def likely(c: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, differing bits) of the pairs that pass all filters; x is earlier."""
+        _, item, bitmap, n, pos = c[:5]
+        if flagged is not None:
+            go = flagged[(item[y] % np.uint64(RESIDUES)).astype(np.int64)]
+            x, y = x[go], y[go]
         nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
-        ok = (np.minimum(nx, ny) * b >= np.maximum(nx, ny) * a) & (item[x] != item[y])
+        ok = np.minimum(nx, ny) * b >= np.maximum(nx, ny) * a
         x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
         least = needed(nx, ny, a, b)
         # The word can be the first that both share, and few enough words can differ.
-        ok = (pos[x] <= nx - least) & (pos[y] <= ny - least)
-        ok &= np.bitwise_count(bitmap[x] ^ bitmap[y]) <= nx + ny - 2 * least
-        s, t = item[x[ok]].astype(np.int64), item[y[ok]].astype(np.int64)
-        return np.unique(np.stack([np.minimum(s, t), np.maximum(s, t)]), axis=1) if len(s) else np.zeros((2, 0), dtype=np.int64)
+        apart = np.bitwise_count(bitmap[x] ^ bitmap[y])
+        ok = (pos[x] <= nx - least) & (pos[y] <= ny - least) & (apart <= nx + ny - 2 * least)
+        return x[ok], y[ok], apart[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(c: list[np.ndarray], x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+            more = np.zeros(0, dtype=np.int64)
+            if flagged is None and len(y):
+                order = np.lexsort((x, apart, y))
+                x, y = x[order], y[order]
+                new = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
+                more = y[new[np.diff(np.append(new, len(y))) > 1]]
+                x, y = x[new], y[new]
+            first = np.append(c[1][x], c[0][more]).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(len(x)), np.ones(len(more))).astype(np.int32)), pa.array(first), pa.array(np.append(c[1][y], c[1][more]).astype(np.int64))], names=["kind", "a", "b"])
+
         def close(held: list[bytes]) -> Iterator[pa.RecordBatch]:
             c = setjoin._columns(held, KINDS)
-            order = np.lexsort((c[1], c[3], c[0]))
+            order = np.lexsort((c[6], c[5], c[1], c[0]))
             c = [v[order] for v in c]
             new = np.append(True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]))
             c = [v[new] for v in c]
+            order = np.lexsort((c[1], c[6], c[5], c[0]))  # a list is in the order of places
+            c = [v[order] for v in c]
             starts = np.flatnonzero(np.append(True, c[0][1:] != c[0][:-1]))
             sizes = np.diff(np.append(starts, len(c[0])))
             for k in np.unique(sizes[(sizes > 1) & (sizes <= BLOCK)]):
@@ -135,19 +173,16 @@ def meet(similar: tuple[int, int]):
                 i, j = np.triu_indices(int(k), 1)
                 step = max(1, (1 << 20) // len(i))
                 for lo in range(0, len(rows), step):
-                    yield out(likely(c, (rows[lo : lo + step, None] + i).ravel(), (rows[lo : lo + step, None] + j).ravel()))
+                    yield out(c, *likely(c, (rows[lo : lo + step, None] + i).ravel(), (rows[lo : lo + step, None] + j).ravel()))
             for first, k in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK], strict=True):
-                n = c[3][first : first + k].astype(np.int64)  # a list is sorted by size
                 for lo in range(0, k, BLOCK):
                     hi = min(k, lo + BLOCK)
-                    end = int(np.searchsorted(n, n[hi - 1] * b // a, side="right"))
-                    for at in range(lo, end, BLOCK):
-                        x, y = np.meshgrid(np.arange(lo, hi), np.arange(at, min(end, at + BLOCK)), indexing="ij")
+                    found = []
+                    for at in range(0, hi, BLOCK):
+                        x, y = np.meshgrid(np.arange(at, min(hi, at + BLOCK)), np.arange(lo, hi), indexing="ij")
                         go = x < y
-                        yield out(likely(c, first + x[go], first + y[go]))
-
-        def out(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                        found.append(likely(c, first + x[go], first + y[go]))
+                    yield out(c, *(np.concatenate(v) for v in zip(*found, strict=True)))
 
         now, held = None, []
         for (bucket,), rows in runs(batches, 1):
@@ -180,11 +215,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, similar: tuple[int, int] =
     Lines are ordered by id, then by place in the text. A line with at least `least`
     distinct words (A-Z in lower case) is removed if the Jaccard similarity of its word
     set to that of an earlier such line is at least similar[0] / similar[1], whether or
-    not that line is removed itself; lines with fewer words stay. The lines that remain
-    are joined by line feeds. Equal sets are joined once, as a class. Word sets are told
+    not that line is removed itself; lines with fewer words stay. Of lines at one
+    place, in rows that share an id, that with the lesser digest is earlier. The lines
+    that remain are joined by line feeds. Equal sets are joined once, as a class. Word sets are told
     apart by 63-bit word hashes and 64-bit digests. Cases: a null text stays null, with
-    no lines; null ids come first; rows that are equal in id and text are one document
-    and keep the same lines; no rows, no result; columns n_lines and n_removed are
+    no lines; null ids come first; rows that share an id and have the same
+    line at the same place keep it both; no rows, no result; columns n_lines and n_removed are
     replaced.
     """
     ws = Workspace(spark)
@@ -200,33 +236,48 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, similar: tuple[int, int] =
     hot = setjoin.frequent_tokens(described.filter("kind = 1").select("bucket", "blob"))
     ws.drop("described/kind=1")
     seen = spark.read.schema(schema).parquet(f"{ws.root}/described").filter("kind = 0").select("id", "row", "line", "d")
-    place = F.struct("id", "row", "line")
-    classes = ws.save(seen.groupBy("d").agg(F.min(place).alias("first")), "classes")
+    classes = ws.save(seen.groupBy("d").agg(F.min(F.struct("id", "line", "row")).alias("first")), "classes")
+
+    def exchange(name: str, words: list[int] | None = None, lines: list[int] | None = None) -> None:
+        posted = base.select("id", "text").mapInArrow(post(least, similar, buckets, hot, words), "bucket int, blob binary")
+        met = posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet(similar, lines), PARTNERS)
+        met.write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/{name}")
+        del posted, met
+        ws.release()
+
+    def partners(name: str, kind: int) -> DataFrame:
+        return spark.read.schema(PARTNERS).parquet(f"{ws.root}/{name}").filter(F.col("kind") == kind).drop("kind").distinct()
+
+    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+        """Word sets of all lines in pairs, read again from their first places."""
+        need = pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("d")).select("first.row", "first.line").groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+        sets = base.select("row", "text").join(need.hint("shuffle_hash"), "row").select("text", "lines").mapInArrow(wanted_sets, "d long, tokens binary")
+        out = ws.save(sets.dropDuplicates(["d"]), name)
+        ws.release()
+        return out
 
-    posted = base.select("text").mapInArrow(post(least, similar, buckets, hot), "bucket int, blob binary")
-    pairs = ws.save(posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet(similar), "a long, b long").distinct(), "pairs")
-    del posted
-    ws.release()
-    fa, fb = classes.select(F.col("d").alias("a"), F.col("first").alias("pa")), classes.select(F.col("d").alias("b"), F.col("first").alias("pb"))
-    placed = pairs.join(fa, "a").join(fb, "b")
-    early = F.col("pa") < F.col("pb")
-    placed = ws.save(placed.select(F.when(early, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(early, F.col("b")).otherwise(F.col("a")).alias("b"), F.least("pa", "pb").alias("at")), "placed")
-    need = placed.select("a").union(placed.select("b")).distinct().join(classes, F.col("a") == F.col("d")).select("first.row", "first.line").groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    sets = base.select("row", "text").join(need.hint("shuffle_hash"), "row").select("text", "lines").mapInArrow(wanted_sets, "d long, tokens binary")
-    sets = ws.save(sets.dropDuplicates(["d"]), "sets")
-    ws.release()
-
-    # Each later line is checked against its earliest partner first, and only if that
-    # fails against the others.
     from corvane.llm.neardup_docs import verify
 
-    nearest = placed.groupBy("b").agg(F.min_by("a", "at").alias("a")).select("a", "b")
-    done = ws.save(verify(nearest, sets, similar).select("b").distinct(), "done-1")
-    rest = placed.select("a", "b").join(done, "b", "left_anti").join(nearest, ["a", "b"], "left_anti")
-    late = ws.save(done.union(verify(rest, sets, similar).select("b")).distinct(), "late")
+    # First round: the likeliest earlier partner on each list.
+    exchange("met")
+    pairs = ws.save(partners("met", 0), "pairs")
+    done = ws.save(verify(pairs, sets_of(pairs, "sets"), similar).select("b").distinct(), "done")
+    ws.release()
+    # Second round: lines that have other partners and matched none so far.
+    open_ = ws.save(partners("met", 1).join(done, "b", "left_anti"), "open")
+    residues = lambda c: [r[0] for r in open_.select(F.pmod(F.col(c), F.lit(RESIDUES)).alias("r")).distinct().collect()]  # noqa: E731  RESIDUES rows at most
+    words, lines_left = residues("a"), residues("b")
+    late = done
+    if lines_left:
+        exchange("met-2", words, lines_left)
+        rest = partners("met-2", 0).join(open_.select("b").distinct(), "b", "left_semi").join(pairs, ["a", "b"], "left_anti")
+        rest = ws.save(rest.select("a", "b"), "rest")
+        late = done.union(verify(rest, sets_of(rest, "sets-2"), similar).select("b")).distinct()
+    late = ws.save(late, "late")
+    ws.release()
 
     c = classes.join(late.select(F.col("b").alias("d"), F.lit(True).alias("late")), "d", "left")
-    gone = seen.join(c, "d").filter(F.coalesce("late", F.lit(False)) | (place != F.col("first"))).groupBy("row").agg(F.collect_set("line").alias("__gone"))
+    gone = seen.join(c, "d").filter(F.coalesce("late", F.lit(False)) | ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line")))).groupBy("row").agg(F.collect_set("line").alias("__gone"))
     out = docs.withColumn("__row", row).join(gone.withColumnRenamed("row", "__row"), "__row", "left")
     lines = F.split(F.col(text_col), "\n", -1)
     keep = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
