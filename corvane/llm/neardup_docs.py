@@ -222,9 +222,26 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
     first = ws.save(nearest.union(inside).union(on_star).filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "first")
     edges = ws.save(verify(first, sets, similar), "edges-1")
 
-    # Second round: what is still in different components.
-    known = components(edges, ws, "known")
-    named = ws.save(belongs.join(wanted, "g", "left_semi").join(known.select(F.col("node").alias("d"), "component"), "d", "left").select("g", "d", F.coalesce("component", "d").alias("c")), "named")
+    # Then what is still in different components: on long lists the nearest partner of
+    # each set, then all that is left, of lists, pairs of groups and groups.
+    band = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bands(*similar)]), lambda x: x <= F.col("n")))
+
+    def named_by(edges: DataFrame, turn: str) -> DataFrame:
+        known = components(edges, ws, f"known-{turn}")
+        return ws.save(belongs.join(wanted, "g", "left_semi").join(known.select(F.col("node").alias("d"), "component"), "d", "left").select("g", "d", F.coalesce("component", "d").alias("c")), f"named-{turn}")
+
+    def across(named: DataFrame, nearest: bool, turn: str) -> DataFrame:
+        listed = long_lists.join(named, "g")
+        mixed = listed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
+        listed = ws.save(listed.join(mixed, "token", "left_semi").withColumn("band", band), f"listed-{turn}")
+        homes = [listed.select("token", (F.col("band") + up).alias("band"), F.lit(up).alias("guest"), "d", "c", "n", "pos") for up in (0, 1)]
+        met = homes[0].unionByName(homes[1]).join(everything.select("d", "bitmap"), "d").select("token", "band", "guest", "d", "c", "n", "pos", "bitmap")
+        return met.repartition(parts, "token", "band").sortWithinPartitions("token", "band", "guest").mapInArrow(list_pairs(*similar, nearest), "a long, b long").distinct()
+
+    ordered = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = ws.save(across(named_by(edges, "1"), True, "1").join(ordered, ["a", "b"], "left_anti"), "near")
+    edges = edges.unionByName(ws.save(verify(near, sets, similar), "edges-2"))
+    named = named_by(edges, "2")
     parts_of = ws.save(named.select("g", "c").distinct(), "parts")
     ga, gb = parts_of.select(F.col("g").alias("a"), F.col("c").alias("ca")), parts_of.select(F.col("g").alias("b"), F.col("c").alias("cb"))
     split = parts_of.groupBy("g").count().filter("count > 1").select("g")
@@ -233,18 +250,10 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
     between = likely.join(ga, "a").join(gb, "b").filter("ca != cb").select("a", "ca", "b", "cb")
     open_ = ws.save(between.unionByName(within.select("a", "ca", "b", "cb")).distinct(), "open")
     ma, mb = named.select(F.col("g").alias("a"), F.col("c").alias("ca"), F.col("d").alias("x")), named.select(F.col("g").alias("b"), F.col("c").alias("cb"), F.col("d").alias("y"))
-    second = open_.join(ma, ["a", "ca"]).join(mb, ["b", "cb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    # Long lists of which not all is connected, by bands of sizes.
-    listed = long_lists.join(named, "g")
-    mixed = listed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-    band = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bands(*similar)]), lambda x: x <= F.col("n")))
-    listed = ws.save(listed.join(mixed, "token", "left_semi").withColumn("band", band), "listed")
-    homes = [listed.select("token", (F.col("band") + up).alias("band"), F.lit(up).alias("guest"), "d", "c", "n", "pos") for up in (0, 1)]
-    met = homes[0].unionByName(homes[1]).join(everything.select("d", "bitmap"), "d").select("token", "band", "guest", "d", "c", "n", "pos", "bitmap")
-    across = met.repartition(parts, "token", "band").sortWithinPartitions("token", "band", "guest").mapInArrow(list_pairs(*similar), "a long, b long").distinct()
-    second = second.union(across).distinct()
-    second = ws.save(second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "second")
-    more = ws.save(verify(second, sets, similar), "edges-2")
+    second = open_.join(ma, ["a", "ca"]).join(mb, ["b", "cb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    second = second.union(across(named, False, "2")).distinct()
+    second = ws.save(second.join(ordered, ["a", "b"], "left_anti").join(near, ["a", "b"], "left_anti"), "second")
+    more = ws.save(verify(second, sets, similar), "edges-3")
 
     linked = components(edges.unionByName(more), ws, "linked")
     label = classes.join(linked.select(F.col("node").alias("d"), "component"), "d", "left").select("d", "least", F.coalesce("component", "d").alias("component"))

@@ -28,7 +28,7 @@ HOT_LEAST = 16
 #: Tokens that a task holds before it hands them on.
 FLUSH = 1 << 20
 #: Sets that share a token up to which all their pairs are formed at once.
-LIST = 48
+LIST = 8
 TOP = np.uint64(1 << 63)
 
 Sets = tuple[np.ndarray, np.ndarray]  # keys of all sets one after another; offsets
@@ -254,18 +254,22 @@ def bands(a: int, b: int, most: int = 1 << 31) -> list[int]:
     return out
 
 
-def list_pairs(a: int, b: int, block: int = 512):
+def list_pairs(a: int, b: int, nearest: bool, block: int = 512):
     """Pairs (a, b) of one band of a long list that may be similar and are in different
     components. Rows (token, band, guest, d, c, n, pos, bitmap) are sorted by the first
     three; a guest comes from the band below and meets the band's own rows only. Pairs
     are looked at in blocks and filtered before any is given out: by size, by whether the
     token can be the first that both share, and by the bits in which their bitmaps
-    differ."""
+    differ. With `nearest`, each item gives the pair with the fewest such bits only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
         def likely(x: tuple, y: tuple, same: bool) -> Iterator[pa.RecordBatch]:
             dx, cx, nx, px, bx = x
             dy, cy, ny, py, by = y
+            best, partner = np.full(len(dx), 1 << 30, dtype=np.int64), np.zeros(len(dx), dtype=np.int64)
             for lo in range(0, len(dx), block):
                 for at in range(lo if same else 0, len(dy), 8 * block):
                     i, j = slice(lo, lo + block), slice(at, at + 8 * block)
@@ -277,10 +281,24 @@ def list_pairs(a: int, b: int, block: int = 512):
                         u, v = u[lo + u < at + v], v[lo + u < at + v]
                     for s in range(0, len(u), 1 << 18):
                         p, q = lo + u[s : s + (1 << 18)], at + v[s : s + (1 << 18)]
-                        good = np.bitwise_count(bx[p] ^ by[q]).sum(1, dtype=np.int64) <= nx[p] + ny[q] - 2 * needed(nx[p], ny[q], a, b)
-                        p, q = dx[p[good]], dy[q[good]]
-                        if len(p):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                        apart = np.bitwise_count(bx[p] ^ by[q]).sum(1, dtype=np.int64)
+                        good = apart <= nx[p] + ny[q] - 2 * needed(nx[p], ny[q], a, b)
+                        p, q, apart = p[good], q[good], apart[good]
+                        if not nearest:
+                            if len(p):
+                                yield pairs(dx[p], dy[q])
+                            continue
+                        if same:
+                            p, q, apart = np.append(p, q), np.append(q, p), np.append(apart, apart)
+                        order = np.lexsort((dy[q], apart, p))
+                        p, q, apart = p[order], q[order], apart[order]
+                        head = np.append(True, p[1:] != p[:-1])[: len(p)]
+                        p, q, apart = p[head], q[head], apart[head]
+                        less = apart < best[p]
+                        best[p[less]], partner[p[less]] = apart[less], dy[q[less]]
+            found = np.flatnonzero(best < 1 << 30)
+            if len(found):
+                yield pairs(dx[found], partner[found])
 
         def close() -> tuple:
             return tuple(np.concatenate(c) for c in zip(*held, strict=True))
