@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,9 +56,13 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        """Let Spark delete shuffle files that no frame refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark delete shuffle files that no frame refers to any more. It holds on
+        to the last query that ran, so a trivial one takes its place first."""
+        self.spark.range(1).write.format("noop").mode("overwrite").save()
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
     def drop(self, name: str = "") -> None:
         with contextlib.suppress(Exception):

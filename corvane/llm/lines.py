@@ -62,7 +62,7 @@ def describe(least: int, buckets: int):
                 at = pa.array(lo + owner)
                 m = len(use)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, dtype=np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array((use - head[owner]).astype(np.int32)), pa.array(digests(sets)[0][use].astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-            if counter.size > FLUSH:
+            if counter.full:
                 yield from flush()
         yield from flush()
 

@@ -78,7 +78,7 @@ def describe(k: int, similar: tuple[int, int], buckets: int):
                 counter.add(sets[0][first_of(sets, np.where(once, prefix_length(n, *similar), 0))[0]])
                 m = hi - lo
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, dtype=np.int32)), ids.slice(lo, m), pa.array(n), pa.array(d.astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["kind", "doc_id", "n", "d", "bucket", "blob"])
-            if counter.size > FLUSH:
+            if counter.full:
                 yield from _packed(counter.flush(), 3)
         yield from _packed(counter.flush(), 3)
 

@@ -124,24 +124,42 @@ def _columns(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
 
 
 class Counter:
-    """Counts tokens of a task's sets, one set of a kind in each lot."""
+    """Counts tokens of a task's sets. Lots are added up before they are handed on."""
+
+    #: Distinct tokens that a task holds.
+    MOST = 1 << 20
 
     def __init__(self, buckets: int):
         self.shift = np.uint64(63 - max(0, buckets - 1).bit_length())
-        self.clear()
-
-    def clear(self) -> None:
         self.tokens, self.size = [], 0
+        self.known = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32))
 
     def add(self, tokens: np.ndarray) -> None:
         self.tokens.append(tokens)
         self.size += len(tokens)
+        if self.size > FLUSH:
+            self._pack()
 
-    def flush(self) -> Iterator[tuple[int, bytes]]:
-        if self.size:
+    def _pack(self) -> None:
+        if self.tokens:
             tokens, n = np.unique(np.concatenate(self.tokens), return_counts=True)
-            yield from _blobs((tokens >> self.shift).astype(np.int64), [tokens, n.astype(np.uint32)])
-        self.clear()
+            tokens, n = np.concatenate([self.known[0], tokens]), np.concatenate([self.known[1], n.astype(np.uint32)])
+            order = np.argsort(tokens, kind="stable")  # merges two sorted runs
+            tokens, n = tokens[order], n[order]
+            at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))[: len(tokens)]
+            self.known = (tokens[at], np.add.reduceat(n, at) if len(at) else n)
+        self.tokens, self.size = [], 0
+
+    @property
+    def full(self) -> bool:
+        return len(self.known[0]) > self.MOST
+
+    def flush(self) -> Iterator[tuple[int, bytes]]:
+        self._pack()
+        tokens, n = self.known
+        if len(tokens):
+            yield from _blobs((tokens >> self.shift).astype(np.int64), [tokens, n])
+        self.known = (tokens[:0], n[:0])
 
 
 def frequent_tokens(blobs: DataFrame, least: int = HOT_LEAST, most: int = HOT_TOKENS) -> list[int]:
