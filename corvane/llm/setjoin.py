@@ -147,7 +147,7 @@ class Counter:
             order = np.argsort(tokens, kind="stable")  # merges two sorted runs
             tokens, n = tokens[order], n[order]
             at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))[: len(tokens)]
-            self.known = (tokens[at], np.add.reduceat(n, at) if len(at) else n)
+            self.known = (tokens[at], np.add.reduceat(n, at).astype(np.uint32) if len(at) else n)
         self.tokens, self.size = [], 0
 
     @property
