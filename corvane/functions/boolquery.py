@@ -162,7 +162,9 @@ def _near(node: Node, tokens: Column) -> Column:
         return F.filter(F.transform(words, lambda w, i: F.when(w.rlike(f"^{term.regex()}$"), i)), lambda i: i.isNotNull())
 
     def close(one: Column, other: Column) -> Column:
-        return F.exists(one, lambda a: F.exists(other, lambda b: (F.abs(a - b) <= node.n) & (a != b)))
+        # Both lists are bound to a variable, or the inner one would be made anew for each a.
+        both = F.array(F.struct(one.alias("one"), other.alias("other")))
+        return F.exists(both, lambda p: F.exists(p["one"], lambda a: F.exists(p["other"], lambda b: (F.abs(a - b) <= node.n) & (a != b))))
 
     at = [places(t) for t in node.parts]
     out = F.lit(False)

@@ -10,6 +10,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Python's str.split sees it: Java's \s lacks U+001C to U+001F, U+0085
 #: and the space separators.
@@ -47,7 +48,7 @@ def collapse(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(text_of(c), WHITE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape)
 
