@@ -132,7 +132,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> Model:
     share of label 1 (one half without any) for all."""
     model = Model(seed)
     rate = labels.mean() if len(labels) else 0.5
-    if not 0 < rate < 1:
+    if not len(labels) or not 0 < rate < 1:
         model.p["c"][:] = 0
         model.p["b"][:] = np.log((rate + 1e-3) / (1 - rate + 1e-3))
         return model
