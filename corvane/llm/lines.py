@@ -69,15 +69,15 @@ def describe(least: int, buckets: int):
     return run
 
 
-KINDS = ("u8", "u8", "u8", "u4", "u4", "i8", "u4")
+KINDS = ("u8", "u8", "u8", "u8", "u4", "u4", "i8", "u4")
 #: Residues of hashes by which the second round picks words and lines: a bounded list
 #: for any input. More of them than needed may match, which costs work only.
-RESIDUES = 1 << 17
+RESIDUES = 1 << 18
 
 
 def post(least: int, similar: tuple[int, int], buckets: int, hot: list[int], words: list[int] | None = None):
     """(bucket, blob) of the prefix words of each line: word, line's digest, parity
-    bitmap of its words, its size, the word's position, and the line's place (id, line).
+    bitmap of its words in two numbers, its size, the word's position, and the line's place (id, line).
     With `words`, only of words with those residues."""
     order = Order(hot)
     chosen = None if words is None else np.isin(np.arange(RESIDUES), words)
@@ -104,10 +104,13 @@ def post(least: int, similar: tuple[int, int], buckets: int, hot: list[int], wor
                 if chosen is not None:
                     some = chosen[(sets[0][place] % np.uint64(RESIDUES)).astype(np.int64)]
                     place, own, pos = place[some], own[some], pos[some]
-                bits = np.uint64(1) << (mix64(sets[0]) >> np.uint64(58))
-                flags = np.concatenate([np.zeros(1, dtype=np.uint64), np.bitwise_xor.accumulate(bits)]) if len(bits) else np.zeros(1, dtype=np.uint64)
-                bitmap = flags[sets[1][1:]] ^ flags[sets[1][:-1]]
-                held.append((sets[0][place], d[own], bitmap[own], n[own].astype(np.uint32), pos.astype(np.uint32), ids[text[own]], line[own].astype(np.uint32)))
+                h = mix64(sets[0])
+                bit, second = np.uint64(1) << (h >> np.uint64(58)), (h & np.uint64(1)).astype(bool)
+                maps = []
+                for some in (~second, second):
+                    flags = np.concatenate([np.zeros(1, dtype=np.uint64), np.bitwise_xor.accumulate(np.where(some, bit, np.uint64(0)))]) if len(bit) else np.zeros(1, dtype=np.uint64)
+                    maps.append((flags[sets[1][1:]] ^ flags[sets[1][:-1]])[own])
+                held.append((sets[0][place], d[own], *maps, n[own].astype(np.uint32), pos.astype(np.uint32), ids[text[own]], line[own].astype(np.uint32)))
                 size += len(place)
             if size > FLUSH:
                 yield from flush()
@@ -133,7 +136,7 @@ def meet(similar: tuple[int, int], late: list[int] | None = None):
 
     def likely(c: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(x, y, differing bits) of the pairs that pass all filters; x is earlier."""
-        _, item, bitmap, n, pos = c[:5]
+        _, item, one, two, n, pos = c[:6]
         if flagged is not None:
             go = flagged[(item[y] % np.uint64(RESIDUES)).astype(np.int64)]
             x, y = x[go], y[go]
@@ -142,7 +145,7 @@ def meet(similar: tuple[int, int], late: list[int] | None = None):
         x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
         least = needed(nx, ny, a, b)
         # The word can be the first that both share, and few enough words can differ.
-        apart = np.bitwise_count(bitmap[x] ^ bitmap[y])
+        apart = np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y])
         ok = (pos[x] <= nx - least) & (pos[y] <= ny - least) & (apart <= nx + ny - 2 * least)
         return x[ok], y[ok], apart[ok]
 
@@ -160,11 +163,11 @@ def meet(similar: tuple[int, int], late: list[int] | None = None):
 
         def close(held: list[bytes]) -> Iterator[pa.RecordBatch]:
             c = setjoin._columns(held, KINDS)
-            order = np.lexsort((c[6], c[5], c[1], c[0]))
+            order = np.lexsort((c[7], c[6], c[1], c[0]))
             c = [v[order] for v in c]
             new = np.append(True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]))
             c = [v[new] for v in c]
-            order = np.lexsort((c[1], c[6], c[5], c[0]))  # a list is in the order of places
+            order = np.lexsort((c[1], c[7], c[6], c[0]))  # a list is in the order of places
             c = [v[order] for v in c]
             starts = np.flatnonzero(np.append(True, c[0][1:] != c[0][:-1]))
             sizes = np.diff(np.append(starts, len(c[0])))
