@@ -88,14 +88,14 @@ def test_features_and_models(spark):
     df = spark.createDataFrame([(i, "good text here number" if i % 2 else "bad words there count", "x" if i % 2 else "y") for i in range(40)], "id long, t string, y string")
     assert df.limit(1).select(features.char_ngrams(F.lit("ab c"), 3, 4)).first()[0] == [" ab", "ab ", " ab ", " c "]
     assert df.limit(1).select(features.word_ngrams(F.lit("Aa bb c dd"), 1, 2)).first()[0] == ["aa", "bb", "dd", "aa bb", "bb dd"]
-    vectors = features.TfIdf(features.word_ngrams("t", 1, 2), 100, "f", max_df=0.9).fit(df).transform(df)
+    vectors = features.TfIdf(features.word_ngrams("t", 1, 2), 100, "f", max_df=0.9).fit(df).transform(df).coalesce(1).cache()
     for predict in (models.logistic_regression, models.linear_svc):
-        out = predict(vectors, vectors, "f", "y")
+        out = predict(vectors, vectors, "f", "y", iterations=5)
         assert out.filter("predicted = y").count() == 40
-    cal = models.calibrated_svc(vectors, vectors, "f", "y", "id", iterations=10)
+    cal = models.calibrated_svc(vectors, vectors, "f", "y", "id", folds=2, iterations=5)
     assert cal.filter("predicted = y").count() == 40 and cal.filter("confidence < 0.5").count() == 0
     tags = vectors.withColumn("tags", F.array("y"))
-    assert models.multi_label_svc(tags, tags, "f", "tags").filter("predicted_labels = tags").count() == 40
+    assert models.multi_label_svc(tags, tags, "f", "tags", iterations=5).filter("predicted_labels = tags").count() == 40
     assert models.majority_label(df, "y") == "x"
     with pytest.raises(models.NeuralBackendMissing):
         models.fine_tuned(df, df, "t", "y", "m")
