@@ -23,8 +23,10 @@ from corvane.llm.vectors import runs
 from corvane.llm.words import Hasher, chunks, mix64
 
 SIMILAR = (4, 5)
-#: Lines with fewer distinct words are let be: so few words do not show a copy.
+#: Lines with fewer distinct words are let be unless the caller asks for them too.
 MIN_WORDS = 5
+#: What the query and the pipeline ask for: every line that has a word.
+EVERY = 1
 #: Rows of a posting list that are compared with as many others at once.
 BLOCK = 1024
 
@@ -41,7 +43,14 @@ def line_sets(texts: pa.Array, hasher: Hasher, order: Order) -> Iterator[tuple[i
         yield lo, hi, head, distinct(order.keys(hashes), owner, int(head[-1]))
 
 
-def describe(least: int, buckets: int):
+def joinable(n: np.ndarray, least: int, similar: tuple[int, int]) -> np.ndarray:
+    """Whether a set of n words can be similar to one that is not equal to it: at best
+    they share n words of n + 1. Equal sets are one class and need no join."""
+    a, b = similar
+    return (n >= least) & (b * n >= a * (n + 1))
+
+
+def describe(least: int, similar: tuple[int, int], buckets: int):
     """kind 0: (row, line, d) of each line with enough words; kind 1: word counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +66,7 @@ def describe(least: int, buckets: int):
             for lo, hi, head, sets in line_sets(batch.column(2), hasher, order):
                 n = np.diff(sets[1])
                 use = np.flatnonzero(n >= least)
-                counter.add(sets[0][first_of(sets, np.where(n >= least, n, 0))[0]])
+                counter.add(sets[0][first_of(sets, np.where(joinable(n, least, similar), n, 0))[0]])
                 owner = np.searchsorted(head, use, side="right") - 1
                 at = pa.array(lo + owner)
                 m = len(use)
@@ -100,7 +109,7 @@ def post(least: int, similar: tuple[int, int], buckets: int, hot: list[int], wor
                 first = np.lexsort((line, ids[text], d))  # of equal lines the earliest
                 once = np.zeros(len(n), dtype=bool)
                 once[first[np.append(True, d[first][1:] != d[first][:-1])]] = True
-                place, own, pos = first_of(sets, np.where(once & (n >= least), prefix_length(n, *similar), 0))
+                place, own, pos = first_of(sets, np.where(once & joinable(n, least, similar), prefix_length(n, *similar), 0))
                 if chosen is not None:
                     some = chosen[(sets[0][place] % np.uint64(RESIDUES)).astype(np.int64)]
                     place, own, pos = place[some], own[some], pos[some]
@@ -218,7 +227,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, similar: tuple[int, int] =
     Lines are ordered by id, then by place in the text. A line with at least `least`
     distinct words (A-Z in lower case) is removed if the Jaccard similarity of its word
     set to that of an earlier such line is at least similar[0] / similar[1], whether or
-    not that line is removed itself; lines with fewer words stay. Of lines at one
+    not that line is removed itself; lines with fewer words stay, and lines without a
+    word do with any `least` from 1 on: they have no set to compare. Of lines at one
     place, in rows that share an id, that with the lesser digest is earlier. The lines
     that remain are joined by line feeds. Equal sets are joined once, as a class. Word sets are told
     apart by 63-bit word hashes and 64-bit digests. Cases: a null text stays null, with
@@ -234,7 +244,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, similar: tuple[int, int] =
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     base = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = "kind int, id long, row long, line int, d long, bucket int, blob binary"
-    base.mapInArrow(describe(least, buckets), schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/described")
+    base.mapInArrow(describe(least, similar, buckets), schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/described")
     described = spark.read.schema(schema).parquet(f"{ws.root}/described")
     hot = setjoin.frequent_tokens(described.filter("kind = 1").select("bucket", "blob"))
     ws.drop("described/kind=1")
@@ -292,7 +302,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, similar: tuple[int, int] =
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that repeat earlier ones: id, counts, and the
     digest and length of the text that is left."""
-    out = dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), least=EVERY)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 

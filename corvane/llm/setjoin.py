@@ -105,9 +105,11 @@ def first_of(sets: Sets, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _blobs(bucket: np.ndarray, parts: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """One (bucket, columns one after another as bytes) for each bucket that occurs."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket, parts = bucket[order], [p[order] for p in parts]
-    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for a, b in zip(at, np.append(at[1:], len(bucket)), strict=True):
         yield int(bucket[a]), b"".join(p[a:b].tobytes() for p in parts)
 

@@ -211,6 +211,28 @@ def test_line_dedup_equals_brute_force(spark):
     assert lines.dedup_lines(spark, df.limit(0)).count() == 0
 
 
+def test_every_line_dedup_equals_brute_force(spark):
+    rng = random.Random(17)
+    pool = [" ".join(rng.choices(vocab[:8], k=rng.randint(1, 7))) for _ in range(120)] + ["再版", "a b c d " * 125, "", " "]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 4))) for _ in range(60)] + [None, "a b c d " * 125]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    earlier, expected = [], {}
+    for i, t in enumerate(texts):
+        kept = []
+        for line in (t or "").split("\n"):
+            w = frozenset(WORD.findall(low(line)))
+            if not w or not any(5 * len(w & v) >= 4 * len(w | v) for v in earlier):
+                kept.append(line)
+            earlier += [w] if w else []
+        expected[i] = None if t is None else "\n".join(kept)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(spark, df, least=lines.EVERY).collect()} == expected
+
+
+def test_line_query_removes_short_repeats(spark, tmp_path):
+    spark.createDataFrame([(1, "see also\none two three four five six"), (2, "See  also\nnew"), (3, "new\n\nnew")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_chars_left) for r in lines.op7_line_dedup(spark, str(tmp_path)).collect()} == {1: (2, 0, 36), 2: (2, 1, 3), 3: (3, 2, 0)}
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 240), rng.randrange(200, 240)) for _ in range(30)]
