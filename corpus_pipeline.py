@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Workspace, table, word_count
-from corvane.llm.lines import dedup_lines
+from corvane.llm.lines import EVERY, dedup_lines
 from corvane.llm.mixing import mix_sources
 from corvane.llm.neardup_docs import ngram_links
 from corvane.llm.packing import pack
@@ -33,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones. A document that loses its last
     words by that goes; one that had none from the start stays."""
-    out = dedup_lines(spark, _documents(docs))
+    out = dedup_lines(spark, _documents(docs), least=EVERY)
     left = out.filter((F.col("n_removed") == 0) | (word_count("text") > 0))
     changed = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return _documents(left.withColumn("n_chars", changed))

@@ -382,3 +382,15 @@ def test_pipeline(spark, sf):
     out = cp.run(spark, sf)
     assert out.count() > 0 and out.filter("n_tokens > padded").count() == 0
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= kept
+
+
+def test_exact_copy_with_short_lines_goes(spark, sf):
+    import corpus_pipeline as cp
+
+    a = "Chapter one\nit was a quiet day at the old harbour\n\nThe end"
+    rows = [(1, a), (2, "another text with words of its own\nsee also"), (3, a), (4, None), (5, "The end\nof something new and different")]
+    df = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = cp.lines_stage(spark, df, sf)
+    got = {r.doc_id: (r.text, r.n_chars) for r in left.collect()}
+    assert got == {1: (a, len(a)), 2: (rows[1][1], len(rows[1][1])), 4: (None, 0), 5: ("of something new and different", 30)}
+    assert {r.doc_id for r in cp.documents_stage(spark, left, sf).collect()} == {1, 2, 4, 5}
