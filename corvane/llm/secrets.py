@@ -11,7 +11,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +34,18 @@ URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|[Uu]\+([0-9A-Fa-f]{4,6})")
 #: The shortest secret has 14 characters, hence 19 in base64.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
-#: Layers of one text, and bytes of one unpacked layer, beyond which unwrapping ends:
-#: a guard against archives that unpack without end. The scan of the text itself has
-#: no bound.
-MAX_LAYERS = 10_000
-MAX_UNPACKED = 1 << 24
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Where compressed data can start among other bytes.
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+#: Bytes that a secret, an escape or a run of base64 lines can hold. Unpacked data is
+#: scanned in windows that end after any other byte, so nothing is cut in two.
+JOINED = ALPHABET.encode() + b".=\"' :%\\&#;{}\t\r\n"
+#: Bytes unpacked at once.
+WINDOW = 1 << 20
+#: Compressed layers in one another. Other layers are shorter than what they come from,
+#: so they end; these can go on for ever. What is below is named as a span UNREAD.
+MAX_CHAIN = 16
+UNREAD = len(KINDS)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -53,23 +60,70 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _printable(raw: bytes) -> str | None:
-    """The text of raw, if it is UTF-8 without control characters."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def _inflate(raw: bytes) -> bytes | None:
-    """raw unpacked, if it starts as gzip or zlib data does."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(47).decompress(raw, MAX_UNPACKED)
-    except zlib.error:
-        return None
+def _packed(raw: bytes) -> bool:
+    """Whether raw starts as gzip or zlib data does."""
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 1 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def _inflated(parts: Iterator[bytes], left: list[int] | None = None) -> Iterator[bytes]:
+    """The unpacked bytes of the gzip or zlib data that `parts` start with, up to its
+    end or first fault. `left` gets the number of bytes of the last part after it."""
+    d, data = zlib.decompressobj(47), b""
+    for part in parts:
+        data += part
+        while data:
+            if d.eof:
+                if data[:2] != b"\x1f\x8b"[: len(data)]:
+                    if left is not None:
+                        left.append(len(data))
+                    return
+                if len(data) == 1:
+                    break
+                d = zlib.decompressobj(47)
+            try:
+                out = d.decompress(data, WINDOW)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            data = d.unused_data if d.eof else d.unconsumed_tail
+    while not d.eof:
+        try:
+            out = d.decompress(b"", WINDOW)
+        except zlib.error:
+            return
+        if not out:
+            return
+        yield out
+    if left is not None:
+        left.append(len(data))
+
+
+def _kinds(blocks: Callable[[], Iterator[bytes]], chain: int) -> set[int] | None:
+    """Kinds found in the unpacked bytes that blocks() gives and in all layers below;
+    null if there are none."""
+    found: set[int] = set()
+    head, held, some = b"", [], False
+
+    def look(window: bytes) -> None:
+        if len(found - {UNREAD}) < len(KINDS):
+            found.update(k for _, k, _ in _layers(window.decode("latin-1"), chain)[1])
+
+    for block in blocks():
+        some = True
+        head = head if len(head) > 1 else head + block[:2]
+        cut = len(block.rstrip(JOINED))
+        if cut:
+            look(b"".join([*held, block[:cut]]))
+            held = []
+        held.append(block[cut:])
+    look(b"".join(held))
+    if _packed(head):
+        if chain < MAX_CHAIN:
+            found |= _kinds(lambda: _inflated(blocks()), chain + 1) or set()
+        elif next(_inflated(blocks()), None) is not None:
+            found.add(UNREAD)
+    return found if some else None
 
 
 def _replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], list[int]] | None:
@@ -116,60 +170,97 @@ def _unicode(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(chr(code), 0, len(m[0]))] if 0 < code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else None
 
 
-def _base64(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
-    """Decoded layers of base64 runs that hold text, or compressed data that does."""
-    for m in BASE64.finditer(text):
-        run = m[0].rstrip("=")
+def _chains(text: str) -> list[list[tuple[int, int]]]:
+    """Places of base64 characters that go on over line breaks: from the end of a line
+    over whole lines to the start of one."""
+    out, chain, at = [], [], 0
+    for line in text.split("\n"):
+        body = line.rstrip(" \t\r")
+        inner = body.lstrip(" \t")
+        left = at + len(body) - len(inner)
+        at += len(line) + 1
+        head = len(inner) - len(inner.lstrip(ALPHABET))
+        if chain and head:
+            chain.append((left, left + head))
+            if head == len(inner):
+                continue
+        out.append(chain)
+        tail = len(inner) - len(inner.rstrip(ALPHABET))
+        chain = [(left + len(inner) - tail, left + len(inner))] if tail else []
+    out.append(chain)
+    return [c for c in out if len(c) > 1 and sum(b - a for a, b in c) >= 19]
+
+
+def _base64(text: str) -> Iterator[tuple[bytes, list[int], list[int], set[int]]]:
+    """(decoded bytes, start and end of each byte's characters, bytes that begin a line)
+    of base64 runs, decoded from each of the first four characters on: whatever foreign
+    characters a run begins with, one of these is in step with what follows."""
+    chains = _chains(text) if "\n" in text else []
+    taken = {a for c in chains for a, _ in c}
+    runs = chains + [[(m.start(), m.start() + len(m[0].rstrip("=")))] for m in BASE64.finditer(text) if m.start() not in taken]
+    for pieces in runs:
+        run = "".join(text[a:b] for a, b in pieces)
         if run.isalpha() and (run.islower() or run[1:].islower()):
             continue  # a word; no base64 of text stays in lower case for 19 letters
         plain = run.replace("-", "+").replace("_", "/")
-        for skip in range(4):  # a run can begin with letters that do not belong to it
+        place = [i for a, b in pieces for i in range(a, b)]
+        end = pieces[-1][1]
+        end += len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+        for skip in range(4):
             body = plain[skip:]
             body = body[: len(body) - (len(body) % 4 == 1)]
             if len(body) < 19:
                 break
-            try:
-                raw = base64.b64decode(body + "=" * (-len(body) % 4))
-            except ValueError:
-                continue
-            packed = _inflate(raw)
-            got = _printable(raw if packed is None else packed)
-            if got is None:
-                continue
-            begin = m.start() + skip
-            if packed is not None:
-                yield got, [begin] * len(got), [m.end()] * len(got)
-            else:
-                starts, ends, i = [], [], 0
-                for c in got:
-                    n = len(c.encode("utf-8"))
-                    starts.append(begin + i * 8 // 6)
-                    ends.append(min(begin + -(-(i + n) * 8 // 6), m.end()))
-                    i += n
-                yield got, starts, ends
-            break
+            raw = base64.b64decode(body + "=" * (-len(body) % 4))
+            starts = [place[skip + i * 4 // 3] for i in range(len(raw))]
+            ends = [place[min(skip - (-(i + 1) * 4 // 3), len(place)) - 1] + 1 for i in range(len(raw))]
+            ends[-1] = end if skip + len(body) >= len(place) else ends[-1]
+            lines, at = {0}, 0
+            for a, b in pieces:
+                lines.add(max(0, at - skip) * 3 // 4)
+                at += b - a
+            yield raw, starts, ends, lines
+
+
+def _unpacked(raw: bytes, lines: set[int], chain: int) -> Iterator[tuple[int, int, int]]:
+    """(first byte, kind, byte after the last) for the kinds in compressed data in raw."""
+    at = 0
+    for i in sorted({m.start() for m in PACKED.finditer(raw)} | {i for i in lines if _packed(raw[i : i + 2])}):
+        if i < at:
+            continue
+        left: list[int] = []
+        kinds = _kinds(lambda i=i, left=left: _inflated(iter([raw[i:]]), left), chain)
+        if kinds:
+            end = len(raw) - (left[0] if left else 0)
+            at = end if left else at
+            yield from ((i, k, end) for k in kinds)
 
 
-def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(finds in the text itself, finds in any layer), each (start, kind, end) in order.
+def _layers(text: str, chain: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """scan() of a text in `chain` compressed layers.
 
     The worklist holds layers still to unwrap. A layer is a string with, for each of
     its characters, the span of the text that it stands for; one whose string and place
-    were met before is left out, so that layers that decode to each other end.
+    were met before is left out. Decoded bytes are read as Latin-1: all that is looked
+    for is ASCII, which is the same in it and in UTF-8, whatever stands around it.
     """
-    text = text or ""
     base = base_spans(text)
     every = set(base)
     work: list[tuple[str, list[int] | None, list[int] | None]] = [(text, None, None)]
     seen = {(text, 0)}
-    while work and len(seen) < MAX_LAYERS:
+    while work:
         layer, starts, ends = work.pop()
         fresh = []
         if "%" in layer and (got := _replaced(layer, URL_ESCAPES, _url)):
             fresh.append(got)
         if ("\\" in layer or "&#" in layer or "+" in layer) and (got := _replaced(layer, UNICODE_ESCAPES, _unicode)):
             fresh.append(got)
-        fresh.extend(_base64(layer))
+        for raw, a, b, lines in _base64(layer):
+            fresh.append((raw.decode("latin-1"), a, b))
+            for i, kind, j in _unpacked(raw, lines, chain + 1) if chain < MAX_CHAIN else ():
+                every.add((a[i], kind, b[j - 1]) if starts is None else (starts[a[i]], kind, ends[b[j - 1] - 1]))
+            if chain >= MAX_CHAIN and any(next(_inflated(iter([raw[m.start() :]])), None) for m in PACKED.finditer(raw)):
+                every.add((a[0] if starts is None else starts[a[0]], UNREAD, b[-1] if starts is None else ends[b[-1] - 1]))
         for string, a, b in fresh:
             if starts is not None:
                 a, b = [starts[i] for i in a], [ends[i - 1] for i in b]
@@ -181,8 +272,14 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     return base, sorted(every)
 
 
+def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(finds in the text itself, finds in any layer), each (start, kind, end) in order.
+    A span of kind UNREAD holds more than MAX_CHAIN compressed layers in one another."""
+    return _layers(text or "", 0)
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    return ",".join(f"{(*KINDS, 'unread')[k]}:{s}:{e}" for s, k, e in spans)
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_decoded long"
@@ -194,7 +291,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             base, every = scan(text.as_py())
             kinds = [k for _, k, _ in base]
-            rows.append((doc_id, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(base)))
+            rows.append((doc_id, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), sum(k != UNREAD for _, k, _ in every) - len(base)))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_decoded"])
@@ -203,7 +300,8 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, finds per kind in the text itself, the digest of
     those, and all spans with those of decoded layers, as kind:start:end in code
-    points, end exclusive, by start, then kind.
+    points, end exclusive, by start, then kind. A span of kind unread, not counted, is
+    one that holds more than MAX_CHAIN compressed layers in one another.
 
     Cases: null and empty texts have no finds (the digest is that of the empty
     string); repeated rows give repeated rows; no rows, no result; other columns are

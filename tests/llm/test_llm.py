@@ -89,6 +89,26 @@ def test_nested_layers_map_back():
     assert secrets.scan(None) == ([], []) and secrets.scan("%25" * 50 + "41")[0] == []
 
 
+def found_in(text, inside):
+    return any(k == 0 and text.index(inside) <= a < e <= text.index(inside) + len(inside) for a, k, e in secrets.scan(text)[1])
+
+
+def test_no_layer_is_left_out():
+    s = 'password = "abcdefgh1234"'
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    nested = b64("".join(f"%{b:02x}" for b in s.encode()))
+    many = " ".join(b64(f"nothing to see in {i:06d}") for i in range(10_050))
+    assert found_in(nested + " " + many, nested) and found_in(many + " " + nested, nested)
+    long = b64(zlib.compress(("é, so it goes on. " * 1_100_000 + s).encode(), 9))
+    assert found_in("x " + long, long)
+    run = b64(zlib.compress(b"a" * ((1 << 20) - 9) + b" " + s.encode()))
+    assert found_in(run, run)
+    chain = s.encode()
+    for _ in range(secrets.MAX_CHAIN + 3):
+        chain = zlib.compress(chain)
+    assert [k for _, k, _ in secrets.scan(b64(chain))[1]] == [secrets.UNREAD]
+
+
 def test_secret_rows(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh"), (1, "token=abcdefgh"), (2, None), (None, "")], "doc_id long, text string").withColumn("spans", F.lit(0))
     got = sorted(secrets.scan_secrets(df).collect(), key=str)
