@@ -109,6 +109,30 @@ def test_no_layer_is_left_out():
     assert [k for _, k, _ in secrets.scan(b64(chain))[1]] == [secrets.UNREAD]
 
 
+def test_layers_of_any_bytes():
+    import gzip
+
+    s = 'password = "abcdefgh1234"'
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    for odd in ("\xa0", "\u3000", "\u200b", "\xad", "\ufeff", "\f", "\0"):
+        for layer in (b64(odd + " " + s), b64(zlib.compress((odd + " " + s).encode()))):
+            assert found_in("é " + layer, layer), (odd, layer)
+    for raw in (gzip.compress(gzip.compress(s.encode())), zlib.compress(gzip.compress(s.encode())), gzip.compress(b"a") + gzip.compress(s.encode())):
+        assert found_in(b64(raw), b64(raw))
+    for foreign in ("/", "a/", "user/home/", "abcde", "x" * 30 + "/"):
+        for layer in (b64(s), b64(zlib.compress(s.encode())), b64(gzip.compress(s.encode()))):
+            assert found_in(foreign + layer, layer), (foreign, layer)
+    rng = random.Random(3)
+    noise = "".join(rng.choices("qxzv ,", k=400))
+    for raw in ((noise[:50] + s + noise[50:]).encode(), zlib.compress((noise + s).encode())):
+        for end in ("\n", "\r\n", "\n  "):
+            whole = b64(raw)
+            wrapped = end.join(whole[i : i + 76] for i in range(0, len(whole), 76))
+            assert found_in("key:\n" + wrapped + "\n\nnext", wrapped), (raw, end)
+    # A span is that of the characters that hold the secret.
+    assert secrets.scan("x " + b64("abc, " + s)) == ([], [(8, 0, 2 - (-(5 + len(s) - 1) * 4 // 3))])
+
+
 def test_secret_rows(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh"), (1, "token=abcdefgh"), (2, None), (None, "")], "doc_id long, text string").withColumn("spans", F.lit(0))
     got = sorted(secrets.scan_secrets(df).collect(), key=str)
