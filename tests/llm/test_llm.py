@@ -351,6 +351,30 @@ def test_url_mining(spark):
     assert {r.page_id: r.verdict for r in urls.judge(spark, pages, labelled, ()).collect()} == {1: "block", 2: "allow"}
 
 
+def test_url_rules_equal_all_combinations(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        names = [f"n{k}" for k in range(7) if rng.random() < 0.5]
+        bad = {"n2", "n5"} <= set(names) and rng.random() < 0.9 or rng.random() < 0.1
+        always = "".join(f"a{k}=1&" for k in range(8))  # before the names, in all URLs
+        rows.append((f"https://w.x.y.example.org/one/two/{i}?{always}{'&'.join(f'{n}=1' for n in names)}", bad))
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    mined = urls.mine_rules(labelled)
+    own = [(set(re.findall(r"n[0-9]", u)), b) for u, b in rows]
+    strong = {}
+    for k in range(1, 8):
+        for key in itertools.combinations([f"n{i}" for i in range(7)], k):
+            hits = [b for t, b in own if set(key) <= t]
+            if len(hits) >= urls.LEAST and sum(hits) / len(hits) >= urls.CONFIDENCE and not any(s < set(key) and c >= sum(hits) / len(hits) for s, c in ((set(x), y[1]) for x, y in strong.items())):
+                strong[key] = (len(hits), sum(hits) / len(hits))
+    assert ("n2", "n5") in strong and {tuple(t[2:] for t in k): (n, c) for k, n, c in mined} == strong
+    pages = spark.createDataFrame([(1, f"http://h.org/?{'&'.join(f'z{i}' for i in range(30))}&n2&n5"), (2, "http://h.org/?n2")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge(spark, pages, labelled, ()).collect()} == {1: "block", 2: "allow"}
+    got = spark.createDataFrame([("http://a.b.c.d.org/p/q/r/s9",)], "url string").select(urls.tokens_of(F.col("url")).alias("t")).first().t
+    assert {"h:a.b.c.d.org", "h:b.c.d.org", "h:c.d.org", "h:d.org", "m:q", "m:r", "p:p", "l:s9"} <= set(got)
+
+
 # 9 -------------------------------------------------------------------------------
 
 
