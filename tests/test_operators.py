@@ -161,3 +161,57 @@ def test_streaming_scores_each_key_once(spark, tmp_path):
     spark.createDataFrame([(2, "b"), (3, "c")], "id long, t string").write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_model_queries_have_the_reference_settings(spark, sf, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    from corvane.plans import metric_queries as q
+
+    asked = []
+
+    class Recorded:
+        def __init__(self, terms, most, out):
+            asked.append(most)
+            self.out = out
+
+        def fit(self, df):
+            return self
+
+        def transform(self, df):
+            return df.withColumn(self.out, array_to_vector(F.array(F.lit(1.0), F.lit(2.0))))
+
+    def grams(kind):
+        def run(text, low, high, strip_accents=False):
+            asked.append((kind, low, high, strip_accents))
+            return F.array(F.lit(""))
+
+        return run
+
+    def model(train, test, *args, **given):
+        asked.append((train.select("features").first()[0].size, given))
+        return test.withColumns({"predicted": F.lit("a"), "predicted_labels": F.array(F.lit("a"))})
+
+    monkeypatch.setattr(q.features, "TfIdf", Recorded)
+    for name, kind in (("word_ngrams", "word"), ("char_ngrams", "char")):
+        monkeypatch.setattr(q.features, name, grams(kind))
+    for name in ("logistic_regression", "linear_svc", "calibrated_svc", "multi_label_svc"):
+        monkeypatch.setattr(q.models, name, model)
+    word, char = [("word", 1, 3, False), 120_000], [("char", 3, 6, False), 160_000]
+    for query, expected in (
+        (q.logreg_tfidf, [("word", 1, 2, True), (1 << 31) - 1, (2, {})]),
+        (q.svc_ovr_tfidf, [*char, (2, {})]),
+        (q.svc_calibrated, [*word, *char, (4, {})]),
+        (q.multilabel_ovr_svc, [*word, *char, (4, {})]),
+    ):
+        asked.clear()
+        query(spark, sf)
+        assert asked == expected, query.__name__
+
+
+def test_intervals_of_all_replicates(spark, sf):
+    from corvane.plans import metric_queries as q
+
+    for name in ("bootstrap_ci_single", "bootstrap_ci_multilabel"):
+        few, all_ = (q.Q[n](spark, sf).first().asDict() for n in (name, f"{name}_1000"))
+        assert few.keys() == all_.keys() and all(abs(few[k] - all_[k]) < 0.05 for k in few)
