@@ -45,7 +45,11 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_DIR
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = LOCAL_DIR
         self.root = f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
         atexit.register(self.drop)
         small_batches(spark)
@@ -64,6 +68,15 @@ class Workspace:
             self.spark.sparkContext._jvm.System.gc()
             time.sleep(0.2)
 
+    def keep(self, *names: str) -> None:
+        """Drop all tables but those."""
+        with contextlib.suppress(Exception):
+            jvm = self.spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(self.root)
+            for file in path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
+                if file.getPath().getName() not in names:
+                    self.drop(file.getPath().getName())
+
     def drop(self, name: str = "") -> None:
         with contextlib.suppress(Exception):
             jvm = self.spark.sparkContext._jvm
@@ -71,6 +84,14 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_name(names: list[str], name: str) -> str:
+    """A column name that none of `names` clashes with."""
+    taken = {n.lower() for n in names}
+    while f"__{name}" in taken:
+        name = f"_{name}"
+    return f"__{name}"
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")

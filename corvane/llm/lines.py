@@ -13,82 +13,162 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import setjoin
-from corvane.llm.common import Workspace, parallelism, table
-from corvane.llm.setjoin import FLUSH, Counter, Order, digests, distinct, first_of, needed, prefix_length
+from corvane.llm.common import WORD, Workspace, clear_name, parallelism, table
+from corvane.llm.setjoin import FLUSH, distinct_runs, first_of, needed, prefix_length, verify
 from corvane.llm.vectors import runs
-from corvane.llm.words import Hasher, chunks, mix64
+from corvane.llm.words import Hasher, chunks
 
 SIMILAR = (4, 5)
-#: Lines with fewer distinct words are let be unless the caller asks for them too.
-MIN_WORDS = 5
-#: What the query and the pipeline ask for: every line that has a word.
-EVERY = 1
 #: Rows of a posting list that are compared with as many others at once.
 BLOCK = 1024
+#: Likely partners that a line gets from one list in the first round.
+NEAREST = 4
+#: Words are counted by the top bits of their hashes, in numbers of a fixed size; a
+#: word's count is that of all words with these bits. The order needs no exact counts.
+COUNTERS = 20
+#: Slices in which the counters of all tasks are added up.
+SLICES = 64
+FIRST, NONE = np.iinfo(np.int64).min, np.zeros(0, dtype=np.int64)
 
 
-def line_sets(texts: pa.Array, hasher: Hasher, order: Order) -> Iterator[tuple[int, int, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
-    """(first text, text after the last, number of each text's first line, word sets of
-    the lines) for runs of texts. Lines end at U+000A; a text has one more than it has
-    such characters."""
-    for lo, hi, data, offsets in chunks(texts):
-        starts, _, hashes, first = hasher.words(data, offsets)
-        before = np.concatenate([[0], np.cumsum(data == 10)])
-        head = before[offsets] + np.arange(hi - lo + 1)
-        owner = before[starts] + np.repeat(np.arange(hi - lo), np.diff(first))
-        yield lo, hi, head, distinct(order.keys(hashes), owner, int(head[-1]))
+def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each line and the end, number of each text's first line and the
+    end). Lines end at U+000A; a text has one more than it has such characters."""
+    feeds = np.flatnonzero(data == 10)
+    begin = np.sort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")
+    head = np.searchsorted(feeds, offsets) + np.arange(len(offsets))
+    return np.append(begin, len(data)), head
 
 
-def joinable(n: np.ndarray, least: int, similar: tuple[int, int]) -> np.ndarray:
-    """Whether a set of n words can be similar to one that is not equal to it: at best
-    they share n words of n + 1. Equal sets are one class and need no join."""
-    a, b = similar
-    return (n >= least) & (b * n >= a * (n + 1))
+class Texts:
+    """Lines of a run of texts: `hashes` of all words, `words` the number of each line's
+    first word, `head` the number of each text's first line, `own` and `line` the text
+    of each line and its place there, `digest` that of its words in order."""
+
+    def __init__(self, hasher: Hasher, lo: int, hi: int, data: np.ndarray, offsets: np.ndarray):
+        starts, _, self.hashes, _ = hasher.words(data, offsets)
+        begin, self.head = split_lines(data, offsets)
+        # A text that ends in a line feed has an empty last line where the next begins.
+        self.words = np.searchsorted(starts, begin)
+        self.words[-1] = len(starts)
+        self.digest = hasher.sequences(self.hashes, self.words)
+        self.own = np.repeat(np.arange(lo, hi), np.diff(self.head))
+        self.line = np.arange(len(self.own)) - self.head[self.own - lo]
+
+
+def _blob_rows(kind: int, blobs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    rows = list(blobs)
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["kind", "bucket", "blob"])
+
+
+PLACES = ("u8", "i8", "i8", "u4")
 
 
-def describe(least: int, similar: tuple[int, int], buckets: int):
-    """kind 0: (row, line, d) of each line with enough words; kind 1: word counts."""
+def describe(buckets: int):
+    """kind 0: places of lines with words, (digest, id, row, line), dealt out by digest;
+    kind 1: word counters, in slices; kind 2: hashes of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, order, counter = Hasher(), Order(), Counter(buckets)
-        names = ["kind", "id", "row", "line", "d", "bucket", "blob"]
+        hasher, held, size, seen = Hasher(), [], 0, []
+        counts = np.zeros(1 << COUNTERS, dtype=np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for bucket, raw in counter.flush():
-                none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), none, none, pa.nulls(1, pa.int32()), none, pa.array([bucket], pa.int32()), pa.array([raw], pa.binary())], names=names)
+            parts = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield from _blob_rows(0, setjoin._blobs((parts[0] % np.uint64(buckets)).astype(np.int64), parts))
 
         for batch in batches:
-            for lo, hi, head, sets in line_sets(batch.column(2), hasher, order):
-                n = np.diff(sets[1])
-                use = np.flatnonzero(n >= least)
-                counter.add(sets[0][first_of(sets, np.where(joinable(n, least, similar), n, 0))[0]])
-                owner = np.searchsorted(head, use, side="right") - 1
-                at = pa.array(lo + owner)
-                m = len(use)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, dtype=np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array((use - head[owner]).astype(np.int32)), pa.array(digests(sets)[0][use].astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-            if counter.full:
+            ids, rows = pc.fill_null(batch.column(0), FIRST).to_numpy(), batch.column(1).to_numpy()
+            seen.append(rows)
+            for lo, hi, data, offsets in chunks(batch.column(2)):
+                t = Texts(hasher, lo, hi, data, offsets)
+                counts += np.bincount((t.hashes >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+                use = np.flatnonzero(np.diff(t.words))
+                held.append((t.digest[use], ids[t.own[use]], rows[t.own[use]], t.line[use].astype(np.uint32)))
+                size += len(use)
+            if size > FLUSH:
                 yield from flush()
-        yield from flush()
+                held, size = [], 0
+            if sum(map(len, seen)) > FLUSH:
+                yield from _blob_rows(2, [(0, np.concatenate(seen).tobytes())])
+                seen = []
+        if held:
+            yield from flush()
+        if seen:
+            yield from _blob_rows(2, [(0, np.concatenate(seen).tobytes())])
+        if counts.any():
+            some = np.flatnonzero(counts)
+            yield from _blob_rows(1, setjoin._blobs(some * SLICES >> COUNTERS, [some.astype(np.uint32), counts[some]]))
 
     return run
 
 
-KINDS = ("u8", "u8", "u8", "u8", "u4", "u4", "i8", "u4")
+def levels(blobs: DataFrame) -> np.ndarray:
+    """For each counter how frequent its words are, 0 (once) to 255, in steps of 15 %."""
+
+    def add_up(key: tuple, pdf):
+        some, n = setjoin._columns([bytes(x) for x in pdf["blob"]], ("u4", "i8"))
+        low = key[0] * (1 << COUNTERS) // SLICES
+        total = np.bincount(some.astype(np.int64) - low, n, (1 << COUNTERS) // SLICES)
+        level = np.minimum(255, np.log2(np.maximum(total, 1)) * 5).astype(np.uint8)
+        return pdf[:1].assign(bucket=key[0], blob=[level.tobytes()])
+
+    out = np.zeros(1 << COUNTERS, dtype=np.uint8)
+    size = len(out) // SLICES
+    for bucket, raw in blobs.groupBy("bucket").applyInPandas(add_up, "bucket int, blob binary").collect():  # a megabyte
+        out[bucket * size : (bucket + 1) * size] = np.frombuffer(raw, dtype=np.uint8)
+    return out
+
+
+def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, line) of the lines that have an equal line before them, from places dealt
+    out by digest. Rows that are equal count as one."""
+
+    def close(held: list[bytes]) -> pa.RecordBatch:
+        d, ids, rows, line = setjoin._columns(held, PLACES)
+        order = np.argsort(d, kind="stable")
+        some = np.zeros(len(d), dtype=bool)  # digests that stand more than once
+        some[1:] = d[order][1:] == d[order][:-1]
+        some[:-1] |= some[1:]
+        order = order[some]
+        order = order[np.lexsort((rows[order], line[order], ids[order], d[order]))]
+        d, rows, line = d[order], rows[order], line[order]
+        start = np.append(True, d[1:] != d[:-1])[: len(d)]
+        first = np.flatnonzero(start)[np.cumsum(start) - 1]
+        later = (rows != rows[first]) | (line != line[first])
+        return pa.RecordBatch.from_arrays([pa.array(rows[later]), pa.array(line[later].astype(np.int32))], names=["row", "line"])
+
+    now, held = None, []
+    for (bucket,), rows in runs(batches, 1):
+        if now is not None and bucket != now:
+            yield close(held)
+            held = []
+        now = bucket
+        held += rows.column(1).to_pylist()
+    if held:
+        yield close(held)
+
+
+POSTINGS = ("u8", "u8", "u8", "u8", "u4", "u4", "i8", "i8", "u4")
 #: Residues of hashes by which the second round picks words and lines: a bounded list
 #: for any input. More of them than needed may match, which costs work only.
 RESIDUES = 1 << 18
 
 
-def post(least: int, similar: tuple[int, int], buckets: int, hot: list[int], words: list[int] | None = None):
+def ordered_words(t: Texts, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of each line, the rarest first, as numbers: level, then hash."""
+    keys = (level[(t.hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (t.hashes >> np.uint64(8))
+    return distinct_runs(keys, t.words)
+
+
+def post(similar: tuple[int, int], buckets: int, level: np.ndarray, words: list[int] | None = None):
     """(bucket, blob) of the prefix words of each line: word, line's digest, parity
-    bitmap of its words in two numbers, its size, the word's position, and the line's place (id, line).
-    With `words`, only of words with those residues."""
-    order = Order(hot)
+    bitmap of its words in two numbers, its size, the word's position, and the line's
+    place (id, row, line). With `words`, only of words with those residues."""
     chosen = None if words is None else np.isin(np.arange(RESIDUES), words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,30 +176,38 @@ def post(least: int, similar: tuple[int, int], buckets: int, hot: list[int], wor
 
         def flush() -> Iterator[pa.RecordBatch]:
             parts = [np.concatenate(c) for c in zip(*held, strict=True)]
-            for bucket, raw in setjoin._blobs((mix64(parts[0]) % np.uint64(buckets)).astype(np.int64), parts):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([raw], pa.binary())], names=["bucket", "blob"])
+            for batch in _blob_rows(0, setjoin._blobs((parts[0] % np.uint64(buckets)).astype(np.int64), parts)):
+                yield batch.select([1, 2])
 
         for batch in batches:
-            ids = pc.fill_null(batch.column(0), -(1 << 63)).to_numpy()
-            for lo, hi, head, sets in line_sets(batch.column(1), hasher, order):
-                n = np.diff(sets[1])
-                d = digests((order.plain(sets[0]), sets[1]))[0]
-                text = np.repeat(np.arange(lo, hi), np.diff(head))
-                line = np.arange(len(n)) - head[text - lo]
-                first = np.lexsort((line, ids[text], d))  # of equal lines the earliest
-                once = np.zeros(len(n), dtype=bool)
-                once[first[np.append(True, d[first][1:] != d[first][:-1])]] = True
-                place, own, pos = first_of(sets, np.where(once & joinable(n, least, similar), prefix_length(n, *similar), 0))
+            ids, rows = pc.fill_null(batch.column(0), FIRST).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi, data, offsets in chunks(batch.column(2)):
+                t = Texts(hasher, lo, hi, data, offsets)
+                keys, at = ordered_words(t, level)
+                n = np.diff(at)
+                use = np.flatnonzero(n)
+                if not len(use):
+                    continue
+                use = use[np.argsort(t.digest[use], kind="stable")]  # of equal lines side by side one
+                some = use[np.append(True, t.digest[use][1:] != t.digest[use][:-1])]
+                some = some if len(some) == len(use) else _earliest(t, use, ids, rows)
+                p = np.zeros(len(n), dtype=np.int64)
+                p[some] = prefix_length(n[some], *similar)
+                place, own, pos = first_of((keys, at), p)
+                # A word that stands once in all texts is shared by none.
+                shared = keys[place] >> np.uint64(56) > 0
                 if chosen is not None:
-                    some = chosen[(sets[0][place] % np.uint64(RESIDUES)).astype(np.int64)]
-                    place, own, pos = place[some], own[some], pos[some]
-                h = mix64(sets[0])
-                bit, second = np.uint64(1) << (h >> np.uint64(58)), (h & np.uint64(1)).astype(bool)
+                    shared &= chosen[(keys[place] % np.uint64(RESIDUES)).astype(np.int64)]
+                place, own, pos = place[shared], own[shared], pos[shared]
+                bit, second = np.uint64(1) << ((keys >> np.uint64(1)) & np.uint64(63)), (keys & np.uint64(1)).astype(bool)
                 maps = []
-                for some in (~second, second):
-                    flags = np.concatenate([np.zeros(1, dtype=np.uint64), np.bitwise_xor.accumulate(np.where(some, bit, np.uint64(0)))]) if len(bit) else np.zeros(1, dtype=np.uint64)
-                    maps.append((flags[sets[1][1:]] ^ flags[sets[1][:-1]])[own])
-                held.append((sets[0][place], d[own], *maps, n[own].astype(np.uint32), pos.astype(np.uint32), ids[text[own]], line[own].astype(np.uint32)))
+                for half in (~second, second):
+                    flags = np.zeros(len(n), dtype=np.uint64)
+                    filled = np.flatnonzero(n)
+                    flags[filled] = np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), at[:-1][filled])
+                    maps.append(flags[own])
+                text = t.own[own]
+                held.append((keys[place], t.digest[own], *maps, n[own].astype(np.uint32), pos.astype(np.uint32), ids[text], rows[text], t.line[own].astype(np.uint32)))
                 size += len(place)
             if size > FLUSH:
                 yield from flush()
@@ -130,71 +218,100 @@ def post(least: int, similar: tuple[int, int], buckets: int, hot: list[int], wor
     return run
 
 
-#: kind 0: line b may be similar to the earlier line a. kind 1: line b has more such
-#: partners on the list of word a.
-PARTNERS = "kind int, a long, b long"
+def _earliest(t: Texts, use: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of lines with equal digests the earliest."""
+    use = use[np.lexsort((rows[t.own[use]], t.line[use], ids[t.own[use]], t.digest[use]))]
+    return use[np.append(True, t.digest[use][1:] != t.digest[use][:-1])]
+
+
+#: kind 0: line b may be similar to the earlier line a; their rows and places in these.
+#: kind 1: line b has more such partners on the list of word a.
+PARTNERS = "kind int, a long, b long, a_row long, a_line int, b_row long, b_line int"
 
 
 def meet(similar: tuple[int, int], late: list[int] | None = None):
     """From postings sorted by bucket to PARTNERS rows: for each line and word, of the
-    earlier lines that may be similar the one whose bitmap is nearest. With `late`, for
-    lines whose digests have those residues all of them, and for no others. A group of
-    k similar lines gives k rows for a word, not all its pairs."""
+    earlier lines that may be similar the NEAREST whose bitmaps are nearest. With
+    `late`, for lines whose digests have those residues all of them, and for no others.
+    A group of k similar lines gives some k rows for a word, not all its pairs."""
     a, b = similar
     flagged = None if late is None else np.isin(np.arange(RESIDUES), late)
 
-    def likely(c: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(x, y, differing bits) of the pairs that pass all filters; x is earlier."""
-        _, item, one, two, n, pos = c[:6]
-        if flagged is not None:
-            go = flagged[(item[y] % np.uint64(RESIDUES)).astype(np.int64)]
-            x, y = x[go], y[go]
-        nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
-        ok = np.minimum(nx, ny) * b >= np.maximum(nx, ny) * a
-        x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
-        least = needed(nx, ny, a, b)
-        # The word can be the first that both share, and few enough words can differ.
-        apart = np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y])
-        ok = (pos[x] <= nx - least) & (pos[y] <= ny - least) & (apart <= nx + ny - 2 * least)
-        return x[ok], y[ok], apart[ok]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: list[np.ndarray], x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
-            more = np.zeros(0, dtype=np.int64)
-            if flagged is None and len(y):
-                order = np.lexsort((x, apart, y))
-                x, y = x[order], y[order]
-                new = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
-                more = y[new[np.diff(np.append(new, len(y))) > 1]]
-                x, y = x[new], y[new]
-            first = np.append(c[1][x], c[0][more]).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(len(x)), np.ones(len(more))).astype(np.int32)), pa.array(first), pa.array(np.append(c[1][y], c[1][more]).astype(np.int64))], names=["kind", "a", "b"])
-
         def close(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-            c = setjoin._columns(held, KINDS)
-            order = np.lexsort((c[7], c[6], c[1], c[0]))
-            c = [v[order] for v in c]
-            new = np.append(True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]))
-            c = [v[new] for v in c]
-            order = np.lexsort((c[1], c[7], c[6], c[0]))  # a list is in the order of places
-            c = [v[order] for v in c]
-            starts = np.flatnonzero(np.append(True, c[0][1:] != c[0][:-1]))
-            sizes = np.diff(np.append(starts, len(c[0])))
+            token, d, one, two, n, pos, ids, rows, line = setjoin._columns(held, POSTINGS)
+            # Classes of equal lines, in the order of their earliest places.
+            order = np.argsort(d, kind="stable")
+            new = np.append(True, d[order][1:] != d[order][:-1])
+            start, number = np.flatnonzero(new), np.cumsum(new) - 1
+            lead = order[start]
+            best = np.ones(len(order), dtype=bool)
+            first = []
+            for column, top in ((ids, np.iinfo(np.int64).max), (line.astype(np.int64), np.iinfo(np.int64).max), (rows, np.iinfo(np.int64).max)):
+                least = np.minimum.reduceat(np.where(best, column[order], top), start)
+                best &= column[order] == least[number]
+                first.append(least)
+            turn = np.lexsort((first[2], first[1], first[0]))
+            rank = np.empty(len(turn), dtype=np.int64)
+            rank[turn] = np.arange(len(turn))
+            c = np.empty(len(order), dtype=np.int64)
+            c[order] = rank[number]
+            digest, maps, size = d[lead][turn].astype(np.int64), (one[lead][turn], two[lead][turn]), n[lead][turn].astype(np.int64)
+            row_of, line_of = first[2][turn], first[1][turn].astype(np.int32)
+            # Lists in the order of places; copies share one posting.
+            order = np.lexsort((c, token))
+            token, c, pos = token[order], c[order], pos[order].astype(np.int64)
+            new = np.append(True, (token[1:] != token[:-1]) | (c[1:] != c[:-1]))
+            token, c, pos = token[new], c[new], pos[new]
+
+            def likely(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """(x, y, differing bits) of the pairs that pass all filters; x is earlier."""
+                if flagged is not None:
+                    go = flagged[digest[c[y]].astype(np.uint64) % np.uint64(RESIDUES)]
+                    x, y = x[go], y[go]
+                nx, ny = size[c[x]], size[c[y]]
+                ok = np.minimum(nx, ny) * b >= np.maximum(nx, ny) * a
+                x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
+                least = needed(nx, ny, a, b)
+                # The word can be the first that both share, and few enough words can differ.
+                ok = (pos[x] <= nx - least) & (pos[y] <= ny - least)
+                x, y, spare = x[ok], y[ok], (nx + ny - 2 * least)[ok]
+                apart = np.bitwise_count(maps[0][c[x]] ^ maps[0][c[y]]).astype(np.int64) + np.bitwise_count(maps[1][c[x]] ^ maps[1][c[y]])
+                ok = apart <= spare
+                return x[ok], y[ok], apart[ok]
+
+            def out(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+                more, word = NONE, NONE
+                if flagged is None and len(y):
+                    order = np.lexsort((x, apart, y))
+                    x, y = x[order], y[order]
+                    new = np.append(True, y[1:] != y[:-1])
+                    turn = np.arange(len(y)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+                    over = y[turn == NEAREST]
+                    more, word = c[over], token[over].astype(np.int64)
+                    x, y = x[turn < NEAREST], y[turn < NEAREST]
+                i, j = c[x], c[y]
+                none = np.zeros(len(more), dtype=np.int64)
+                columns = (np.append(np.zeros(len(i), dtype=np.int32), np.ones(len(more), dtype=np.int32)), np.append(digest[i], word), np.append(digest[j], digest[more]), np.append(row_of[i], none), np.append(line_of[i], none.astype(np.int32)), np.append(row_of[j], none), np.append(line_of[j], none.astype(np.int32)))
+                return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["kind", "a", "b", "a_row", "a_line", "b_row", "b_line"])
+
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            sizes = np.diff(np.append(starts, len(token)))
             for k in np.unique(sizes[(sizes > 1) & (sizes <= BLOCK)]):
-                rows = starts[sizes == k]
+                at = starts[sizes == k]
                 i, j = np.triu_indices(int(k), 1)
                 step = max(1, (1 << 20) // len(i))
-                for lo in range(0, len(rows), step):
-                    yield out(c, *likely(c, (rows[lo : lo + step, None] + i).ravel(), (rows[lo : lo + step, None] + j).ravel()))
-            for first, k in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK], strict=True):
+                for lo in range(0, len(at), step):
+                    yield out(*likely((at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel()))
+            for at, k in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK], strict=True):
                 for lo in range(0, k, BLOCK):
                     hi = min(k, lo + BLOCK)
                     found = []
-                    for at in range(0, hi, BLOCK):
-                        x, y = np.meshgrid(np.arange(at, min(hi, at + BLOCK)), np.arange(lo, hi), indexing="ij")
+                    for early in range(0, hi, BLOCK):
+                        x, y = np.meshgrid(np.arange(early, min(hi, early + BLOCK)), np.arange(lo, hi), indexing="ij")
                         go = x < y
-                        found.append(likely(c, first + x[go], first + y[go]))
-                    yield out(c, *(np.concatenate(v) for v in zip(*found, strict=True)))
+                        found.append(likely(at + x[go], at + y[go]))
+                    yield out(*(np.concatenate(v) for v in zip(*found, strict=True)))
 
         now, held = None, []
         for (bucket,), rows in runs(batches, 1):
@@ -211,48 +328,57 @@ def meet(similar: tuple[int, int], late: list[int] | None = None):
 
 def wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(d, sorted word hashes) of the line numbers listed with each text."""
-    hasher, order = Hasher(), Order()
+    hasher = Hasher()
     for batch in batches:
         lines = batch.column(1).to_pylist()
-        for lo, hi, head, sets in line_sets(batch.column(0), hasher, order):
+        for lo, hi, data, offsets in chunks(batch.column(0)):
+            begin, head = split_lines(data, offsets)
             use = np.array([head[i] + x for i in range(hi - lo) for x in lines[lo + i]], dtype=np.int64)
-            d = digests(sets)[0][use]
-            yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array([sets[0][sets[1][i] : sets[1][i + 1]].tobytes() for i in use], pa.binary())], names=["d", "tokens"])
+            if not len(use):
+                continue
+            parts = [data[begin[i] : begin[i + 1]] for i in use]
+            at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            _, _, hashes, first = hasher.words(np.concatenate(parts), at)
+            d = hasher.sequences(hashes, first)
+            keys, ends = distinct_runs(hashes, first)
+            yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array([keys[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["d", "tokens"])
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, similar: tuple[int, int] = SIMILAR, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, similar: tuple[int, int] = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with the text without its removed lines, n_lines and
     n_removed.
 
-    Lines are ordered by id, then by place in the text. A line with at least `least`
-    distinct words (A-Z in lower case) is removed if the Jaccard similarity of its word
-    set to that of an earlier such line is at least similar[0] / similar[1], whether or
-    not that line is removed itself; lines with fewer words stay, and lines without a
-    word do with any `least` from 1 on: they have no set to compare. Of lines at one
-    place, in rows that share an id, that with the lesser digest is earlier. The lines
-    that remain are joined by line feeds. Equal sets are joined once, as a class. Word sets are told
-    apart by 63-bit word hashes and 64-bit digests. Cases: a null text stays null, with
-    no lines; null ids come first; rows that share an id and have the same
-    line at the same place keep it both; no rows, no result; columns n_lines and n_removed are
-    replaced.
+    Lines are ordered by id, then by place in the text, then by a hash of id and text. A
+    line with words (A-Z in lower case) is removed if the Jaccard similarity of its word
+    set to that of an earlier line is at least similar[0] / similar[1], whether or not
+    that line is removed itself. Lines without a word stay: they have no set to compare.
+    The lines that remain are joined by line feeds. Lines of equal words in equal order
+    are one class and joined once. Words are told apart by 56-bit hashes in the join and
+    64-bit hashes in the check, classes by 64-bit digests.
+
+    Cases: a null text stays null, with no lines; null ids come first; of rows that
+    repeat an id and a text one counts as the earliest and the others lose all lines
+    with words; rows that share an id only are two documents; texts are read whole,
+    however long; no rows, no result; columns n_lines and n_removed are replaced, other
+    columns may have any names.
     """
     ws = Workspace(spark)
     parts = parallelism(spark)
     buckets = max(64, 2 * parts)
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
-    schema = "kind int, id long, row long, line int, d long, bucket int, blob binary"
-    base.mapInArrow(describe(least, similar, buckets), schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/described")
-    described = spark.read.schema(schema).parquet(f"{ws.root}/described")
-    hot = setjoin.frequent_tokens(described.filter("kind = 1").select("bucket", "blob"))
-    ws.drop("described/kind=1")
-    seen = spark.read.schema(schema).parquet(f"{ws.root}/described").filter("kind = 0").select("id", "row", "line", "d")
-    classes = ws.save(seen.groupBy("d").agg(F.min(F.struct("id", "line", "row")).alias("first")), "classes")
+    schema = "kind int, bucket int, blob binary"
+    base.mapInArrow(describe(buckets), schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/described")
+    described = lambda kind: spark.read.schema(schema).parquet(f"{ws.root}/described").filter(F.col("kind") == kind).select("bucket", "blob")
+    level = levels(described(1))
+    equal = ws.save(described(0).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(copies, "row long, line int").distinct(), "equal")
+    repeated = ws.save(described(2).mapInArrow(_row_hashes, "row long").groupBy("row").count().filter("count > 1").select("row"), "repeated")
+    ws.drop("described")
 
     def exchange(name: str, words: list[int] | None = None, lines: list[int] | None = None) -> None:
-        posted = base.select("id", "text").mapInArrow(post(least, similar, buckets, hot, words), "bucket int, blob binary")
+        posted = base.mapInArrow(post(similar, buckets, level, words), "bucket int, blob binary")
         met = posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet(similar, lines), PARTNERS)
         met.write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/{name}")
         del posted, met
@@ -261,48 +387,81 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, similar: tuple[int, int] =
     def partners(name: str, kind: int) -> DataFrame:
         return spark.read.schema(PARTNERS).parquet(f"{ws.root}/{name}").filter(F.col("kind") == kind).drop("kind").distinct()
 
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        """Word sets of all lines in pairs, read again from their first places."""
-        need = pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("d")).select("first.row", "first.line").groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-        sets = base.select("row", "text").join(need.hint("shuffle_hash"), "row").select("text", "lines").mapInArrow(wanted_sets, "d long, tokens binary")
-        out = ws.save(sets.dropDuplicates(["d"]), name)
+    def similar_lines(pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, b_row, b_line) of the pairs whose word sets are similar, from sets read
+        again from their texts."""
+        places = pairs.select(F.col("a_row").alias("row"), F.col("a_line").alias("line")).union(pairs.select("b_row", "b_line")).groupBy("row").agg(F.collect_set("line").alias("lines"))
+        sets = base.select("row", "text").join(places.hint("shuffle_hash"), "row").select("text", "lines").mapInArrow(wanted_sets, "d long, tokens binary")
+        sets = ws.save(sets.dropDuplicates(["d"]), f"{name}-sets")
+        ws.release()
+        good = verify(pairs.select("a", "b"), sets, similar)
+        out = ws.save(pairs.join(good, ["a", "b"]).select("b", "b_row", "b_line").distinct(), f"{name}-similar")
+        ws.drop(f"{name}-sets")
         ws.release()
         return out
 
-    from corvane.llm.neardup_docs import verify
-
-    # First round: the likeliest earlier partner on each list.
+    # First round: the likeliest earlier partners on each list.
     exchange("met")
     pairs = ws.save(partners("met", 0), "pairs")
-    done = ws.save(verify(pairs, sets_of(pairs, "sets"), similar).select("b").distinct(), "done")
-    ws.release()
+    done = similar_lines(pairs, "first")
     # Second round: lines that have other partners and matched none so far.
-    open_ = ws.save(partners("met", 1).join(done, "b", "left_anti"), "open")
+    open_ = ws.save(partners("met", 1).select("a", "b").join(done, "b", "left_anti"), "open")
     residues = lambda c: [r[0] for r in open_.select(F.pmod(F.col(c), F.lit(RESIDUES)).alias("r")).distinct().collect()]  # noqa: E731  RESIDUES rows at most
     words, lines_left = residues("a"), residues("b")
     late = done
     if lines_left:
         exchange("met-2", words, lines_left)
-        rest = partners("met-2", 0).join(open_.select("b").distinct(), "b", "left_semi").join(pairs, ["a", "b"], "left_anti")
-        rest = ws.save(rest.select("a", "b"), "rest")
-        late = done.union(verify(rest, sets_of(rest, "sets-2"), similar).select("b")).distinct()
-    late = ws.save(late, "late")
+        rest = partners("met-2", 0).join(open_.select("b").distinct(), "b", "left_semi").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        rest = ws.save(rest, "rest")
+        late = done.unionByName(similar_lines(rest, "second"))
+
+    gone = late.select(F.col("b_row").alias("row"), F.col("b_line").alias("line")).union(equal).groupBy("row").agg(F.collect_set("line").alias("gone"))
+    gone = ws.save(gone, "gone")
+    for name in ("met", "met-2", "pairs", "first-similar", "second-similar", "open", "rest", "equal"):
+        ws.drop(name)
     ws.release()
+    return _without(docs, kept_columns, row, gone, repeated, text_col, ws)
 
-    c = classes.join(late.select(F.col("b").alias("d"), F.lit(True).alias("late")), "d", "left")
-    gone = seen.join(c, "d").filter(F.coalesce("late", F.lit(False)) | ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line")))).groupBy("row").agg(F.collect_set("line").alias("__gone"))
-    out = docs.withColumn("__row", row).join(gone.withColumnRenamed("row", "__row"), "__row", "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    keep = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))
-    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size("__gone"), F.lit(0))}
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept_columns], *[F.when(F.col(text_col).isNull(), 0).otherwise(v).cast("long").alias(k) for k, v in counts.items()])
+
+def _row_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column(1).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, dtype=np.int64))], names=["row"])
+
+
+def _without(docs: DataFrame, names: list[str], row: Column, gone: DataFrame, repeated: DataFrame, text_col: str, ws: Workspace) -> DataFrame:
+    """docs with the lines of `gone` taken out, and all lines with words taken out of
+    rows that repeat another."""
+    key, own = clear_name(names, "row"), clear_name(names, "gone")
+    keyed = docs.withColumn(key, row)
+    listed = gone.select(F.col("row").alias(key), F.col("gone").alias(own))
+    lines = F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)
+
+    def rows(df: DataFrame, every: Column) -> DataFrame:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own))
+        # The struct binds the lines, which a lambda would split again for each index.
+        some = F.transform(F.array(F.struct(lines.alias("lines"), left.alias("left"))), lambda x: F.transform(x["left"], lambda i: F.get(x["lines"], i)))[0]
+        kept = F.when(every, F.filter(lines, lambda x: ~x.rlike(WORD))).when(F.col(own).isNotNull(), some)
+        text = F.when(kept.isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
+        n_lines, n_removed = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(lines) - F.size(kept), F.lit(0))
+        is_null = F.col(f"`{text_col}`").isNull()
+        return df.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.when(is_null, 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(is_null | kept.isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))
+
+    if not repeated.limit(1).collect():
+        return rows(keyed.join(listed.hint("shuffle_hash"), key, "left"), F.lit(False))
+    twice = repeated.select(F.col("row").alias(key))
+    once = rows(keyed.join(twice, key, "left_anti").join(listed.hint("shuffle_hash"), key, "left"), F.lit(False))
+    at, first = clear_name(names, "at"), clear_name(names, "first")
+    saved = ws.save(keyed.join(twice, key, "left_semi"), "twice").withColumn(at, F.struct("_metadata.file_name", "_metadata.row_index"))
+    firsts = saved.groupBy(key).agg(F.min(at).alias(first))
+    ranked = saved.join(firsts, key).join(listed, key, "left")
+    return once.unionByName(rows(ranked, F.col(at) != F.col(first)))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that repeat earlier ones: id, counts, and the
     digest and length of the text that is left."""
-    out = dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), least=EVERY)
+    out = dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -23,64 +23,61 @@ from pyspark.sql import functions as F
 from corvane.llm import setjoin
 from corvane.llm.common import Workspace, parallelism, table
 from corvane.llm.graph import components
-from corvane.llm.setjoin import FLUSH, TOP, Counter, Order, Postings, bands, bitmaps, candidates, digests, distinct, first_of, list_pairs, needed, prefix_length
-from corvane.llm.vectors import runs
+from corvane.llm.setjoin import FLUSH, Counter, Order, Postings, bands, bitmaps, candidates, digests, distinct_runs, first_of, prefix_length, verify
 from corvane.llm.words import Hasher, chunks, mix64
 
 SHINGLE = 5
 #: Similarity from which two documents link, as a fraction.
 SIMILAR = (4, 5)
-#: Leaves of a star that one task verifies.
-STAR = 1000
 
 
 def _shingled(texts: pa.Array, hasher: Hasher, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, text after the last, shingle hashes, owner of each), with repeats."""
+    """(first text, text after the last, shingle hashes, number of the first of each
+    text and the end), with repeats."""
     factor = mix64(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     for lo, hi, data, offsets in chunks(texts):
         _, _, hashes, first = hasher.words(data, offsets)
         n = np.diff(first)
+        every = np.zeros(len(hashes), dtype=np.uint64)  # of the k words from each word on
+        for j in range(min(k, len(hashes))):
+            every[: len(hashes) - j] += hashes[j:] * factor[j]
+        every += np.uint64(k)
         count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
-        owner = np.repeat(np.arange(hi - lo), count)
-        start = first[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        padded = np.concatenate([hashes, np.zeros(k, dtype=np.uint64)])
-        total = np.zeros(len(owner), dtype=np.uint64)
-        for j in range(k):
-            part = padded[start + j] * factor[j]
-            total += np.where(j < n[owner], part, np.uint64(0)) if (n < k).any() else part
-        yield lo, hi, mix64(total + np.minimum(n[owner], k).astype(np.uint64)), owner
+        at = np.concatenate([[0], np.cumsum(count)])
+        start = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], count)
+        out = every[start]
+        for i in np.flatnonzero((n > 0) & (n < k)):
+            out[at[i]] = (hashes[first[i] : first[i + 1]] * factor[: n[i]]).sum(dtype=np.uint64)
+            out[at[i] : at[i] + 1] += np.uint64(n[i])
+        yield lo, hi, mix64(out), at
 
 
-def _rows(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
+def describe(k: int, similar: tuple[int, int], buckets: int):
+    """kind 0: (doc_id, row, n, d), d the digest of the set; kind 1: counts of the tokens
+    that a prefix in the order of hashes alone would hold."""
+    names = ["kind", "doc_id", "row", "n", "d", "bucket", "blob"]
 
-def _packed(blobs: Iterator[tuple[int, bytes]], lead: int) -> Iterator[pa.RecordBatch]:
-    for bucket, raw in blobs:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, counter = Hasher(), Counter(buckets)
         none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[none] * lead, pa.array([bucket], pa.int32()), pa.array([raw], pa.binary())], names=["kind", *["doc_id", "n", "d"][:lead], "bucket", "blob"])
-
 
-def describe(k: int, similar: tuple[int, int], buckets: int):
-    """kind 0: (doc_id, n, d), d the digest of the set; kind 1: counts of the tokens that
-    a prefix in the order of hashes alone would hold."""
+        def flush() -> Iterator[pa.RecordBatch]:
+            for bucket, raw in counter.flush():
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), none, none, none, none, pa.array([bucket], pa.int32()), pa.array([raw], pa.binary())], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, order, counter = Hasher(), Order(), Counter(buckets)
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, hashes, owner in _shingled(batch.column(1), hasher, k):
-                sets = distinct(order.keys(hashes), owner, hi - lo)
+            for lo, hi, hashes, at in _shingled(batch.column(2), hasher, k):
+                sets = distinct_runs(hashes >> np.uint64(1), at)
                 n = np.diff(sets[1])
                 d, _ = digests(sets)
                 once = np.zeros(hi - lo, dtype=bool)
                 once[np.unique(d, return_index=True)[1]] = True  # copies side by side count once
                 counter.add(sets[0][first_of(sets, np.where(once, prefix_length(n, *similar), 0))[0]])
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, dtype=np.int32)), ids.slice(lo, m), pa.array(n), pa.array(d.astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["kind", "doc_id", "n", "d", "bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, dtype=np.int32)), batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), pa.array(n), pa.array(d.astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
             if counter.full:
-                yield from _packed(counter.flush(), 3)
-        yield from _packed(counter.flush(), 3)
+                yield from flush()
+        yield from flush()
 
     return run
 
@@ -97,11 +94,9 @@ def post(k: int, similar: tuple[int, int], buckets: int, hot: list[int]):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([raw], pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
-            for lo, hi, hashes, owner in _shingled(batch.column(0), hasher, k):
-                plain = hashes >> np.uint64(1)
-                by_hash = distinct(plain, owner, hi - lo)
-                d, _ = digests(by_hash)
-                sets = distinct(order.keys(hashes), owner, hi - lo) if len(hot) else by_hash
+            for _, _, hashes, at in _shingled(batch.column(0), hasher, k):
+                d, _ = digests(distinct_runs(hashes >> np.uint64(1), at))
+                sets = distinct_runs(order.keys(hashes), at)
                 n = np.diff(sets[1])
                 p = prefix_length(n, *similar)
                 place, own, pos = first_of(sets, p)
@@ -120,53 +115,26 @@ def post(k: int, similar: tuple[int, int], buckets: int, hot: list[int]):
 
 
 def whole_sets(k: int):
-    """(d, bitmap, set as sorted token hashes) of (text) rows."""
+    """(d, bitmap, set as sorted token hashes) of (text) rows. Copies in a task give one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, seen = Hasher(), np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            for lo, hi, hashes, owner in _shingled(batch.column(0), hasher, k):
-                sets = distinct(hashes >> np.uint64(1), owner, hi - lo)
+            for _, _, hashes, at in _shingled(batch.column(0), hasher, k):
+                sets = distinct_runs(hashes >> np.uint64(1), at)
                 d, _ = digests(sets)
-                cut = zip(sets[1][:-1], sets[1][1:], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array([x.tobytes() for x in bitmaps(sets)], pa.binary()), pa.array([sets[0][a:b].tobytes() for a, b in cut], pa.binary())], names=["d", "bitmap", "tokens"])
+                new = np.unique(d, return_index=True)[1]
+                new = np.sort(new[~np.isin(d[new], seen)])
+                seen = np.append(seen, d[new])[-FLUSH:]
+                maps = bitmaps(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(d[new].astype(np.int64)), pa.array([maps[i].tobytes() for i in new], pa.binary()), pa.array([sets[0][sets[1][i] : sets[1][i + 1]].tobytes() for i in new], pa.binary())], names=["d", "bitmap", "tokens"])
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The pairs(a, b) whose whole sets are similar. Each a meets its b's, in lots of
-    about STAR, so neither a frequent a nor its set is multiplied by its pairs."""
-    spark = pairs.sparkSession
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, centre = None, np.zeros(0, dtype=np.uint64)
-        for (a, lot, kind), rows in runs(batches, 3):
-            if kind == 0:
-                own, centre = (a, lot), np.frombuffer(rows.column(4)[0].as_py(), dtype=np.uint64)
-                continue
-            if own != (a, lot):
-                continue
-            good = []
-            for b, raw in zip(rows.column(3).to_pylist(), rows.column(4), strict=True):
-                other = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
-                if len(other) > 64 * len(centre) or len(centre) > 64 * len(other):
-                    continue
-                both = np.concatenate([centre, other])
-                both.sort(kind="stable")  # merges two sorted runs
-                if (both[1:] == both[:-1]).sum() >= needed(len(centre), len(other), *similar):
-                    good.append(b)
-            yield _rows(["a", "b"], np.full(len(good), a, dtype=np.int64), np.array(good, dtype=np.int64))
-
-    lots = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / STAR).cast("int").alias("lots"))
-    centres = lots.join(sets, lots.a == sets.d).select("a", F.explode(F.sequence(F.lit(0), "lots")).alias("lot"), F.lit(0).alias("kind"), F.col("a").alias("b"), "tokens")
-    leaves = pairs.join(lots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots") + 1).cast("int").alias("lot"), "b").join(sets, F.col("b") == sets.d).select("a", "lot", F.lit(1).alias("kind"), "b", "tokens")
-    met = centres.unionByName(leaves).repartition(parallelism(spark), "a", "lot").sortWithinPartitions("a", "lot", "kind")
-    return met.mapInArrow(compare, "a long, b long")
-
-
 def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+    """One row per row of `docs`: doc_id, n_shingles, component_id, kept, row (a hash of
+    id and text), component (a number of the component; null without shingles).
 
     Two rows link if the Jaccard similarity of their sets of `shingle`-word shingles is
     at least similar[0] / similar[1]; component_id is the least doc_id reachable, kept
@@ -178,21 +146,22 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
     """
     ws = Workspace(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     parts = parallelism(spark)
     buckets = max(64, 2 * parts)
-    base.select("doc_id", "text").mapInArrow(describe(shingle, similar, buckets), "kind int, doc_id long, n long, d long, bucket int, blob binary").write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/described")
+    base.mapInArrow(describe(shingle, similar, buckets), "kind int, doc_id long, row long, n long, d long, bucket int, blob binary").write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/described")
     read = lambda name, kind, schema: spark.read.schema(f"kind int, {schema}").parquet(f"{ws.root}/{name}").filter(F.col("kind") == kind).drop("kind")
     hot = setjoin.frequent_tokens(read("described", 1, "bucket int, blob binary"))
     ws.drop("described/kind=1")
-    members = read("described", 0, "doc_id long, n long, d long")
-    classes = ws.save(members.filter("n > 0").groupBy("d").agg(F.min("doc_id").alias("least")), "classes")
+    members = read("described", 0, "doc_id long, row long, n long, d long")
+    classes = ws.save(members.filter("n > 0").groupBy("d").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "classes")
 
     posted = base.select("text").mapInArrow(post(shingle, similar, buckets, hot), "bucket int, blob binary")
     posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(candidates(*similar, buckets), setjoin.CANDIDATES).write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/candidates")
     del posted
     ws.release()
     pair_rows, lists, belongs = (read("candidates", kind, "a long, b long, n int, m int") for kind in (0, 1, 2))
-    belongs = belongs.select(F.col("a").alias("g"), F.col("b").alias("d"))
+    belongs = belongs.select(F.col("a").alias("g"), F.col("b").alias("d"), "n")
     groups = ws.save(belongs.groupBy("g").agg(F.min("d").alias("leader"), F.count(F.lit(1)).alias("size")), "groups")
 
     # Pairs of groups that share enough of their prefixes; tokens with long lists may
@@ -204,70 +173,73 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
     left, right = on_lists.select(F.col("g").alias("a"), F.col("on_lists").alias("ha")), on_lists.select(F.col("g").alias("b"), F.col("on_lists").alias("hb"))
     likely = counted.join(left, "a", "left").join(right, "b", "left").filter(F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.expr(least)).select("a", "b")
     likely = ws.save(likely, "likely")
+    ws.drop("counted")
+    ws.drop("candidates/kind=0")
 
     # The sets that any check may need: of groups in pairs, on long lists or with members.
     wanted = likely.select(F.explode(F.array("a", "b")).alias("g")).union(long_lists.select("g")).union(groups.filter("size > 1").select("g")).distinct()
-    need = belongs.join(wanted, "g", "left_semi").select("d").distinct().join(classes, "d").select(F.col("least").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    everything = ws.save(base.join(need.hint("shuffle_hash"), "doc_id").select("text").mapInArrow(whole_sets(shingle), "d long, bitmap binary, tokens binary").dropDuplicates(["d"]), "sets")
+    used = ws.save(belongs.join(wanted, "g", "left_semi"), "used")
+    need = used.select("d").distinct().join(classes, "d").select("row").distinct()
+    everything = ws.save(base.select("row", "text").join(need.hint("shuffle_hash"), "row").select("text").mapInArrow(whole_sets(shingle), "d long, bitmap binary, tokens binary"), "sets")
     ws.release()
-    sets = everything.select("d", "tokens")
+    sets, maps = everything.select("d", "tokens"), everything.select("d", "bitmap")
+
+    def checked(pairs: DataFrame, turn: str) -> DataFrame:
+        out = ws.save(verify(pairs, sets, similar), f"edges-{turn}")
+        ws.release()
+        return out
 
     # First round: one partner each.
     lead = groups.select("g", "leader")
     of = lambda df, g, out: df.join(lead.select(F.col("g").alias(g), F.col("leader").alias(out)), g)
     nearest = of(of(likely.groupBy("b").agg(F.min("a").alias("a")), "a", "x"), "b", "y").select("x", "y")
-    inside = belongs.join(groups.filter("size > 1"), "g").filter("d != leader").select(F.col("leader").alias("x"), F.col("d").alias("y"))
+    inside = used.join(groups.filter("size > 1"), "g").filter("d != leader").select(F.col("leader").alias("x"), F.col("d").alias("y"))
     centre = long_lists.groupBy("token").agg(F.min("g").alias("a"))
     on_star = of(of(long_lists.select("token", F.col("g").alias("b")).join(centre, "token").select("a", "b").filter("a != b").distinct(), "a", "x"), "b", "y").select("x", "y")
-    first = ws.save(nearest.union(inside).union(on_star).filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "first")
-    edges = ws.save(verify(first, sets, similar), "edges-1")
+    tried = ws.save(nearest.union(inside).union(on_star).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "tried-1")
+    edges = checked(tried, "1")
 
-    # Then what is still in different components: on long lists the nearest partner of
-    # each set, then all that is left, of lists, pairs of groups and groups.
+    # Then what is still in different components, of lists, groups and pairs of groups:
+    # first the nearest partner of each set, then all that is left.
     band = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bands(*similar)]), lambda x: x <= F.col("n")))
-
-    def named_by(edges: DataFrame, turn: str) -> DataFrame:
+    for turn, near in (("2", True), ("3", False)):
         known = components(edges, ws, f"known-{turn}")
-        return ws.save(belongs.join(wanted, "g", "left_semi").join(known.select(F.col("node").alias("d"), "component"), "d", "left").select("g", "d", F.coalesce("component", "d").alias("c")), f"named-{turn}")
-
-    def across(named: DataFrame, nearest: bool, turn: str) -> DataFrame:
-        listed = long_lists.join(named, "g")
+        named = ws.save(used.join(known.select(F.col("node").alias("d"), "component"), "d", "left").select("g", "d", "n", F.coalesce("component", "d").alias("c")), f"named-{turn}")
+        parts_of = ws.save(named.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")), f"parts-{turn}")
+        ga, gb = (parts_of.select(F.col("g").alias(g), F.col("low").alias(f"l{g}"), F.col("high").alias(f"h{g}"), F.col("size").alias(f"s{g}")) for g in ("a", "b"))
+        across = likely.join(ga, "a").join(gb, "b").filter("least(la, lb) < greatest(ha, hb)")
+        alone = across.filter("sa = 1 AND sb = 1").select("a", "b")
+        single = of(of(alone, "a", "x"), "b", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        # The members of a group, and of a pair of groups with more, make lists too.
+        crowd = across.filter("sa > 1 OR sb > 1").select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("g"), F.lit(0).alias("pos"))
+        crowd = crowd.unionByName(parts_of.filter("low < high").select(F.xxhash64("g").alias("token"), "g", F.lit(0).alias("pos")))
+        listed = long_lists.select("token", "g", "pos").unionByName(crowd).join(named, "g")
         mixed = listed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
         listed = ws.save(listed.join(mixed, "token", "left_semi").withColumn("band", band), f"listed-{turn}")
-        homes = [listed.select("token", (F.col("band") + up).alias("band"), F.lit(up).alias("guest"), "d", "c", "n", "pos") for up in (0, 1)]
-        met = homes[0].unionByName(homes[1]).join(everything.select("d", "bitmap"), "d").select("token", "band", "guest", "d", "c", "n", "pos", "bitmap")
-        return met.repartition(parts, "token", "band").sortWithinPartitions("token", "band", "guest").mapInArrow(list_pairs(*similar, nearest), "a long, b long").distinct()
-
-    ordered = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = ws.save(across(named_by(edges, "1"), True, "1").join(ordered, ["a", "b"], "left_anti"), "near")
-    edges = edges.unionByName(ws.save(verify(near, sets, similar), "edges-2"))
-    named = named_by(edges, "2")
-    parts_of = ws.save(named.select("g", "c").distinct(), "parts")
-    ga, gb = parts_of.select(F.col("g").alias("a"), F.col("c").alias("ca")), parts_of.select(F.col("g").alias("b"), F.col("c").alias("cb"))
-    split = parts_of.groupBy("g").count().filter("count > 1").select("g")
-    own = parts_of.join(split, "g", "left_semi")
-    within = own.select(F.col("g").alias("a"), F.col("c").alias("ca")).join(own.select(F.col("g").alias("b"), F.col("c").alias("cb")), (F.col("a") == F.col("b")) & (F.col("ca") < F.col("cb")))
-    between = likely.join(ga, "a").join(gb, "b").filter("ca != cb").select("a", "ca", "b", "cb")
-    open_ = ws.save(between.unionByName(within.select("a", "ca", "b", "cb")).distinct(), "open")
-    ma, mb = named.select(F.col("g").alias("a"), F.col("c").alias("ca"), F.col("d").alias("x")), named.select(F.col("g").alias("b"), F.col("c").alias("cb"), F.col("d").alias("y"))
-    second = open_.join(ma, ["a", "ca"]).join(mb, ["b", "cb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    second = second.union(across(named, False, "2")).distinct()
-    second = ws.save(second.join(ordered, ["a", "b"], "left_anti").join(near, ["a", "b"], "left_anti"), "second")
-    more = ws.save(verify(second, sets, similar), "edges-3")
-
-    linked = components(edges.unionByName(more), ws, "linked")
+        found = setjoin.meet_lists(listed, maps, similar, near, parts)
+        if near:
+            # Of an item's nearest partners on all its lists and slices one.
+            found = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(single).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = ws.save(pairs, f"tried-{turn}")
+        edges = edges.unionByName(checked(pairs, turn))
+        tried = tried.unionByName(pairs)
+    ws.drop("sets")
+
+    linked = components(edges, ws, "linked")
     label = classes.join(linked.select(F.col("node").alias("d"), "component"), "d", "left").select("d", "least", F.coalesce("component", "d").alias("component"))
     label = ws.save(label, "label")
     smallest = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    named_d = label.join(smallest, "component").select("d", "component_id")
-    m = members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("d")).alias("d"))
-    out = m.join(named_d, "d", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    named_d = ws.save(label.join(smallest, "component").select("d", "component", "component_id"), "result")
+    m = ws.save(members.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("d")).alias("d")), "members")
+    ws.keep("result", "members")
+    out = m.join(named_d, "d", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "row", "component")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "row", "component")
 
 
 def op5_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copies among all documents."""
-    return ngram_links(spark, table(spark, sf_dir, "documents"))
+    return ngram_links(spark, table(spark, sf_dir, "documents")).drop("row", "component")
 
 
 QUERIES = {"op5_ngram_links": op5_ngram_links}

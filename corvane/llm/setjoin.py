@@ -29,6 +29,8 @@ HOT_LEAST = 16
 FLUSH = 1 << 20
 #: Sets that share a token up to which all their pairs are formed at once.
 LIST = 8
+#: Leaves of a star that one task verifies.
+STAR = 1000
 TOP = np.uint64(1 << 63)
 
 Sets = tuple[np.ndarray, np.ndarray]  # keys of all sets one after another; offsets
@@ -52,14 +54,17 @@ class Order:
         ranked = np.array(tokens, dtype=np.uint64)
         self.at = np.argsort(ranked, kind="stable").astype(np.uint64)
         self.tokens = ranked[self.at.astype(np.int64)]
+        self.some = np.zeros(1 << 20, dtype=bool)  # by top bits, so that few are looked up
+        self.some[(self.tokens >> np.uint64(43)).astype(np.int64)] = True
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         """Tokens as numbers in the order; equal tokens have equal numbers."""
         keys = hashes >> np.uint64(1)
         if len(self.tokens) and len(keys):
-            i = np.minimum(np.searchsorted(self.tokens, keys), len(self.tokens) - 1)
-            known = self.tokens[i] == keys
-            keys[known] = TOP + self.at[i[known]]
+            likely = np.flatnonzero(self.some[(keys >> np.uint64(43)).astype(np.int64)])
+            i = np.minimum(np.searchsorted(self.tokens, keys[likely]), len(self.tokens) - 1)
+            known = self.tokens[i] == keys[likely]
+            keys[likely[known]] = TOP + self.at[i[known]]
         return keys
 
     def plain(self, keys: np.ndarray) -> np.ndarray:
@@ -85,6 +90,20 @@ def distinct(keys: np.ndarray, owner: np.ndarray, n: int) -> Sets:
     return keys, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
 
 
+def distinct_runs(keys: np.ndarray, first: np.ndarray) -> Sets:
+    """Sorted distinct keys of each run of keys; `first` holds the number of the first
+    key of each run, with one entry more for the end."""
+    keys = keys.copy()
+    n = np.diff(first)
+    many = np.flatnonzero(n > 1)
+    for a, b in zip(first[many].tolist(), first[many + 1].tolist(), strict=True):
+        keys[a:b].sort()
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    new[first[:-1][n > 0]] = True
+    return keys[new], np.concatenate([[0], np.cumsum(new)])[first]
+
+
 def digests(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each set, whatever the order of its tokens; 0 if empty."""
     keys, offsets = sets
@@ -274,17 +293,22 @@ def bands(a: int, b: int, most: int = 1 << 31) -> list[int]:
     return out
 
 
+#: Rows of a band that a task holds at once; a larger band is cut into slices.
+SLICE = 4096
+
+
 def list_pairs(a: int, b: int, nearest: bool, block: int = 512):
-    """Pairs (a, b) of one band of a long list that may be similar and are in different
-    components. Rows (token, band, guest, d, c, n, pos, bitmap) are sorted by the first
-    three; a guest comes from the band below and meets the band's own rows only. Pairs
-    are looked at in blocks and filtered before any is given out: by size, by whether the
-    token can be the first that both share, and by the bits in which their bitmaps
-    differ. With `nearest`, each item gives the pair with the fewest such bits only."""
+    """Pairs (a, b, apart) of one slice of a band of a long list that may be similar and
+    are in different components. Rows (token, band, slice, guest, d, c, n, pos, bitmap)
+    are sorted by the first four; a guest comes from the band below or a later slice and
+    meets the slice's own rows only. Pairs are looked at in blocks and filtered before
+    any is given out: by size, by whether the token can be the first that both share,
+    and by the bits in which their bitmaps differ. With `nearest`, each row gives the
+    pair with the fewest such bits only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+        def pairs(p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(apart)], names=["a", "b", "apart"])
 
         def likely(x: tuple, y: tuple, same: bool) -> Iterator[pa.RecordBatch]:
             dx, cx, nx, px, bx = x
@@ -306,7 +330,7 @@ def list_pairs(a: int, b: int, nearest: bool, block: int = 512):
                         p, q, apart = p[good], q[good], apart[good]
                         if not nearest:
                             if len(p):
-                                yield pairs(dx[p], dy[q])
+                                yield pairs(dx[p], dy[q], apart)
                             continue
                         if same:
                             p, q, apart = np.append(p, q), np.append(q, p), np.append(apart, apart)
@@ -318,36 +342,80 @@ def list_pairs(a: int, b: int, nearest: bool, block: int = 512):
                         best[p[less]], partner[p[less]] = apart[less], dy[q[less]]
             found = np.flatnonzero(best < 1 << 30)
             if len(found):
-                yield pairs(dx[found], partner[found])
-
-        def close() -> tuple:
-            return tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                yield pairs(dx[found], partner[found], best[found])
 
         now, held, own = None, [], None
-        for (token, band, guest), rows in runs(batches, 3):
-            if now != (token, band):
-                if held:
-                    own = close()
-                    yield from likely(own, own, True)
-                now, held, own = (token, band), [], None
-            raw = b"".join(rows.column(7).to_pylist())
-            part = (rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(5).to_numpy().astype(np.int64), rows.column(6).to_numpy().astype(np.int64), np.frombuffer(raw, dtype=np.uint64).reshape(-1, WORDS))
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, own
+            if held:
+                own, held = tuple(np.concatenate(c) for c in zip(*held, strict=True)), []
+                yield from likely(own, own, True)
+
+        for (token, band, part, guest), rows in runs(batches, 4):
+            if now != (token, band, part):
+                yield from close()
+                now, own = (token, band, part), None
+            raw = b"".join(rows.column(8).to_pylist())
+            some = (rows.column(4).to_numpy(), rows.column(5).to_numpy(), rows.column(6).to_numpy().astype(np.int64), rows.column(7).to_numpy().astype(np.int64), np.frombuffer(raw, dtype=np.uint64).reshape(-1, WORDS))
             if guest == 0:
-                held.append(part)
+                held.append(some)
                 continue
-            if own is None and held:
-                own = close()
-                yield from likely(own, own, True)
-                held = []
+            yield from close()
             if own is not None:
-                yield from likely(part, own, False)
-        if held:
-            own = close()
-            yield from likely(own, own, True)
+                yield from likely(some, own, False)
+        yield from close()
 
     return run
 
 
+def meet_lists(listed: DataFrame, maps: DataFrame, similar: tuple[int, int], nearest: bool, parts: int) -> DataFrame:
+    """list_pairs() of listed(token, band, d, c, n, pos), with bitmaps from maps(d,
+    bitmap). Each row stays in its slice of its band, visits the earlier slices, and all
+    slices of the band above, so no task holds a whole list."""
+    slices = listed.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
+    own = listed.join(slices, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("d"), F.col("slices")))
+    columns = ["token", "band", "slice", "guest", "d", "c", "n", "pos"]
+    stay = own.select(*columns[:2], F.col("own").alias("slice"), F.lit(0).alias("guest"), *columns[4:])
+    visit = own.filter("own > 0").select(*columns[:2], F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("slice"), F.lit(1).alias("guest"), *columns[4:])
+    above = listed.withColumn("band", F.col("band") + 1).join(slices, ["token", "band"]).select(*columns[:2], F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("guest"), *columns[4:])
+    met = maps.join(stay.unionByName(visit).unionByName(above).hint("shuffle_hash"), "d").select(*columns, "bitmap")
+    return met.repartition(parts, *columns[:3]).sortWithinPartitions(*columns[:4]).mapInArrow(list_pairs(*similar, nearest), "a long, b long, apart long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs(a, b) whose whole sets are similar. Each a meets its b's, in lots of
+    about STAR, so neither a frequent a nor its set is multiplied by its pairs. Each set
+    is read once and goes straight to the lots that need it."""
+    spark = pairs.sparkSession
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, centre = None, np.zeros(0, dtype=np.uint64)
+        for (a, lot, kind), rows in runs(batches, 3):
+            if kind == 0:
+                own, centre = (a, lot), np.frombuffer(rows.column(4)[0].as_py(), dtype=np.uint64)
+                continue
+            if own != (a, lot):
+                continue
+            good = []
+            for b, raw in zip(rows.column(3).to_pylist(), rows.column(4), strict=True):
+                other = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+                least = needed(len(centre), len(other), *similar)
+                if min(len(other), len(centre)) < least:
+                    continue
+                both = np.concatenate([centre, other])
+                both.sort(kind="stable")  # merges two sorted runs
+                if (both[1:] == both[:-1]).sum() >= least:
+                    good.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), a, dtype=np.int64)), pa.array(np.array(good, dtype=np.int64))], names=["a", "b"])
+
+    lots = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / STAR).cast("int").alias("lots"))
+    centres = lots.select(F.col("a").alias("at"), "a", F.explode(F.sequence(F.lit(0), "lots")).alias("lot"), F.lit(0).alias("kind"), F.col("a").alias("b"))
+    leaves = pairs.join(lots, "a").select(F.col("b").alias("at"), "a", F.pmod(F.xxhash64("b"), F.col("lots") + 1).cast("int").alias("lot"), F.lit(1).alias("kind"), "b")
+    met = sets.join(centres.unionByName(leaves).hint("shuffle_hash"), sets.d == F.col("at")).select("a", "lot", "kind", "b", "tokens")
+    return met.repartition(parallelism(spark), "a", "lot").sortWithinPartitions("a", "lot", "kind").mapInArrow(compare, "a long, b long")
+
+
 #: kind 0: a pair (a, b) that shares a token, with sizes n and m. kind 1: item b with
 #: size n is on the list of token a, which is too long for all pairs; m is the token's
 #: position in it. kind 2: set b with

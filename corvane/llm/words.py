@@ -1,13 +1,14 @@
-"""Words, shingles and their 64-bit hashes for whole Arrow columns of texts, in numpy.
+"""Words and their 64-bit hashes for whole Arrow columns of texts, in numpy.
 
 Texts are read as the UTF-8 bytes that Arrow holds. Words are runs of bytes other than
-0x20 and 0x09 to 0x0D; A-Z are lower-cased. A word's hash is a polynomial over random
-byte values, mixed with its length, taken from prefix sums, so no Python code runs per
-word. Equal words have equal hashes; unequal ones collide with odds of about 2^-64.
+0x20 and 0x09 to 0x0D; A-Z are lower-cased. A word's hash takes eight bytes at a time,
+of all words at once, so no Python code runs per word but for very long ones. Equal
+words have equal hashes; unequal ones collide with odds of about 2^-64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Tables for one task."""
 
+    #: Bytes of a word up to which it is hashed by eight bytes at a time, with others.
+    LONG = 512
+
     def __init__(self) -> None:
-        self.space = np.zeros(256, dtype=bool)
-        self.space[[9, 10, 11, 12, 13, 32]] = True
-        byte = np.arange(256, dtype=np.uint64)
-        byte[65:91] += np.uint64(32)
-        self.value = mix64(byte * np.uint64(0x9E3779B97F4A7C15) + np.uint64(12345))
+        self.mask = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
         self.base = 0xD6E8FEB86659FD93
         self._grow(CHUNK)
 
@@ -48,40 +48,53 @@ class Hasher:
         number of its first word, with one entry more for the end. No word spans two
         texts."""
         n = len(data)
+        inside = np.zeros(n + 2, dtype=bool)
+        # Unsigned numbers: what is below 9 becomes large.
+        np.logical_and(data - np.uint8(9) > 4, data != 32, out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        cut = offsets[(offsets > 0) & (offsets < n)]
+        cut = np.unique(cut[inside[cut] & inside[cut + 1]])
+        if len(cut):  # texts that touch
+            starts, ends = np.sort(np.concatenate([starts, cut]), kind="stable"), np.sort(np.concatenate([ends, cut]), kind="stable")
+        return starts, ends, self._hash(data, starts, ends - starts), np.searchsorted(starts, offsets)
+
+    def _hash(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        padded = np.zeros(len(data) // 8 * 8 + 24, dtype=np.uint8)
+        np.bitwise_or(data, (data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5), out=padded[: len(data)])
+        blocks = padded.view(np.uint64)
+        out = size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        some = None
+        at, left, h = starts, size, out
+        while len(at):
+            block, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+            # A shift by 64 or more bits gives 0.
+            eight = (blocks[block] >> shift) | (blocks[block + 1] << (np.uint64(64) - shift))
+            h = (h ^ (eight & self.mask[np.minimum(left, 8)])) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+            if some is None:
+                out, some = h, np.flatnonzero((size > 8) & (size <= self.LONG))
+                more = some
+            else:
+                out[some] = h
+                keep = left > 8
+                some, more = some[keep], keep
+            at, left, h = at[more] + 8, left[more] - 8, h[more]
+        out = mix64(out)
+        for i in np.flatnonzero(size > self.LONG):
+            word = padded[starts[i] : starts[i] + size[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+    def sequences(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """A digest of each run of words, in their order; `first` holds the number of the
+        first word of each run, with one entry more for the end."""
+        n = len(hashes)
         if n >= len(self.power):
             self._grow(n)
-        inside = ~self.space[data]
-        begin = inside.copy()
-        begin[1:] &= ~inside[:-1]
-        end = inside.copy()
-        end[:-1] &= ~inside[1:]
-        edge = offsets[:-1][(offsets[:-1] < n) & (offsets[:-1] > 0)]
-        begin[edge] |= inside[edge]
-        end[edge - 1] |= inside[edge - 1]
-        starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self.value[data] * self.power[:n], out=sums[1:])
-        hashes = mix64((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-        return starts, ends, hashes, np.searchsorted(starts, offsets)
-
-    def shingles(self, hashes: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarray]:
-        """For each text the sorted distinct hashes of its k-word windows; with fewer
-        words, of the whole sequence; without words, none."""
-        with np.errstate(over="ignore"):
-            factor = mix64(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-            n = len(hashes)
-            every = np.zeros(max(0, n - k + 1), dtype=np.uint64)
-            for j in range(k if len(every) else 0):
-                every += hashes[j : n - k + 1 + j] * factor[j]
-            every = mix64(every)
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                if b - a >= k:
-                    own = np.sort(every[a : b - k + 1])
-                    yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own
-                elif b > a:
-                    yield mix64(np.array([(hashes[a:b] * factor[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], dtype=np.uint64))
-                else:
-                    yield every[:0]
+        np.cumsum(hashes * self.power[:n], out=sums[1:])
+        return mix64((sums[first[1:]] - sums[first[:-1]]) * self.inverse[first[:-1]] + np.diff(first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

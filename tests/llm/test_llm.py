@@ -168,6 +168,13 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     assert neardup_vectors.near_links(spark, df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_ids(spark):
+    rows = [(7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (8, [1.0, 0.01, 0.0]), (None, [0.0, 1.0, 0.01]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.01, 1.0]), (5, [0.02, 1.0, 0.0]), (8, [1.0, 0.01, 0.0])]
+    got = neardup_vectors.near_links(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    expected = [(7, 2, 7, True), (7, 2, 5, False), (8, 2, 7, False), (8, 2, 7, False), (None, 2, 5, False), (5, 2, 5, True), (None, 1, None, False), (None, 1, None, False)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+
+
 # 4 -------------------------------------------------------------------------------
 
 
@@ -211,9 +218,17 @@ def noisy_texts(seed, n):
 @pytest.mark.parametrize("most", [1, 8])
 def test_ngram_links_equal_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(setjoin.candidates, "__defaults__", (most,))
+    monkeypatch.setattr(setjoin, "SLICE", 7)
     texts = noisy_texts(5, 60)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("d", F.lit(1))
-    got = {r.doc_id: r for r in neardup_docs.ngram_links(spark, df).collect()}
+    ids = list(range(len(texts)))
+    # Rows that repeat an id, with the same and with another text, and null ids that link others.
+    long = [f"v{i}" for i in range(60)]
+    chain = [" ".join(["x"] * k + long[k:]) for k in (0, 4, 8, 12)]
+    for i, t in ((7, texts[7]), (7, texts[8]), (900, chain[0]), (None, chain[1]), (901, chain[2]), (None, chain[3]), (None, "quite alone with these words here"), (902, "a " + "b" * 100_000)):
+        ids.append(i)
+        texts.append(t)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumns({"d": F.lit(1), "row": F.lit(2)})
+    got = neardup_docs.ngram_links(spark, df).collect()
 
     def shingles(t):
         w = WORD.findall(low(t or ""))
@@ -228,48 +243,59 @@ def test_ngram_links_equal_brute_force(spark, monkeypatch, most):
                 label[i] = label[j] = min(label[i], label[j])
         if old == label:
             break
+    least = {c: min((ids[i] for i in range(len(s)) if label[i] == c and ids[i] is not None), default=None) for c in set(label)}
+    expected = []
     for i in range(len(s)):
-        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s[i]), label[i], label[i] == i)
+        c = least[label[i]] if s[i] else ids[i]
+        expected.append((ids[i], len(s[i]), c, c is not None and c == ids[i]))
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got))) == sorted(map(str, expected))
     assert neardup_docs.ngram_links(spark, df.limit(0)).count() == 0
 
 
-def test_line_dedup_equals_brute_force(spark):
+def lines_left(rows):
+    """Lines that stay in each of (id, text) rows: brute force, in the order of rows."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, k))
+    words = lambda line: frozenset(WORD.findall(low(line)))
+    width = max(((t or "").count("\n") for _, t in rows), default=0)
+    seen, out = [], {k: [] for k in order}
+    # Rows that share an id are compared place by place.
+    for _, group in itertools.groupby(order, key=lambda k: rows[k][0]):
+        group = list(group)
+        for place in range(width + 1):
+            for k in group:
+                lines_ = (rows[k][1] or "").split("\n")
+                if place < len(lines_):
+                    w = words(lines_[place])
+                    if not w or not any(5 * len(w & v) >= 4 * len(w | v) for v in seen):
+                        out[k].append(lines_[place])
+                    seen += [w] if w else []
+    return [None if t is None else "\n".join(out[k]) for k, (_, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("nearest", [1, 4])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, nearest):
+    monkeypatch.setattr(lines, "NEAREST", nearest)
     rng = random.Random(7)
     pool = [t for t in noisy_texts(7, 40) if t]
     texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 4))) for _ in range(60)] + [None, "", "\n\n"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"n_lines": F.lit("x"), "id": F.lit(1)})
-    out = {r.doc_id: r for r in lines.dedup_lines(spark, df).collect()}
-    earlier, expected = [], {}
-    for i, t in enumerate(texts):
-        kept = []
-        for line in (t or "").split("\n"):
-            w = frozenset(WORD.findall(low(line)))
-            if len(w) >= 5:
-                if any(5 * len(w & v) >= 4 * len(w | v) for v in earlier):
-                    earlier.append(w)
-                    continue
-                earlier.append(w)
-            kept.append(line)
-        expected[i] = None if t is None else "\n".join(kept)
-    assert {i: r.text for i, r in out.items()} == expected
+    rows = [(None, pool[3] + "\nnew"), *enumerate(texts), (900, texts[0]), (900, texts[0]), (901, pool[9] + " x\n\ny z")]
+    rows += [(902, "some words that no other text has\n \nq"), (902, "some words that no other text has\n \nq")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_lines": F.lit("x"), "id": F.lit(1), "__gone": F.lit(2), "__row": F.lit(3), "row": F.lit(4), "gone": F.lit(5)})
+    out = lines.dedup_lines(spark, df)
+    assert out.columns == ["doc_id", "text", "id", "__gone", "__row", "row", "gone", "n_lines", "n_removed"]
+    got = out.collect()
+    expected = [(i, t, 0 if u is None else u.count("\n") + 1) for (i, u), t in zip(rows, lines_left(rows), strict=True)]
+    assert sorted(map(str, ((r.doc_id, r.text, r.n_lines) for r in got))) == sorted(map(str, expected))
     assert lines.dedup_lines(spark, df.limit(0)).count() == 0
 
 
 def test_every_line_dedup_equals_brute_force(spark):
     rng = random.Random(17)
     pool = [" ".join(rng.choices(vocab[:8], k=rng.randint(1, 7))) for _ in range(120)] + ["再版", "a b c d " * 125, "", " "]
-    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 4))) for _ in range(60)] + [None, "a b c d " * 125]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    earlier, expected = [], {}
-    for i, t in enumerate(texts):
-        kept = []
-        for line in (t or "").split("\n"):
-            w = frozenset(WORD.findall(low(line)))
-            if not w or not any(5 * len(w & v) >= 4 * len(w | v) for v in earlier):
-                kept.append(line)
-            earlier += [w] if w else []
-        expected[i] = None if t is None else "\n".join(kept)
-    assert {r.doc_id: r.text for r in lines.dedup_lines(spark, df, least=lines.EVERY).collect()} == expected
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 4))) for _ in range(60)] + [None, "a b c d " * 125, "y" * 70_000, "z\n" * 3000]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [t for _, t in sorted((r.doc_id, r.text) for r in lines.dedup_lines(spark, df).fillna("none").collect())] == [t if t is not None else "none" for t in lines_left(rows)]
 
 
 def test_line_query_removes_short_repeats(spark, tmp_path):
@@ -433,6 +459,9 @@ def test_top_k_cases(spark, monkeypatch):
         expected += [(q, n + 1, i, int(v[q] @ v[i])) for n, i in enumerate(order)]
     assert got == expected
     assert topk.top_k(spark, df.limit(0), df.limit(0)).count() == 0
+    # Repeated queries have results of their own; a null id takes no part.
+    again = df.filter("vec_id = 50").unionByName(df.filter("vec_id = 50")).unionByName(df.filter("vec_id = 0").withColumn("vec_id", F.lit(None).cast("long")))
+    assert sorted(map(tuple, topk.top_k(spark, df, again).collect())) == sorted(2 * [r for r in expected if r[0] == 50])
 
 
 # pipeline ------------------------------------------------------------------------
