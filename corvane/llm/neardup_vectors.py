@@ -41,8 +41,9 @@ def near_links(spark: SparkSession, vectors: DataFrame, threshold: float = THRES
     with its number of rows; all counts are exact and no pair is emitted: tasks return
     counts, and edges that span what they linked. Cases: vectors that are null, empty,
     zero or hold null or non-finite components link with nothing; vectors of different
-    lengths do not link; repeated rows are rows of their own; a null id is kept as it
-    is and is nobody's component; no rows, no result; other columns are ignored.
+    lengths do not link; repeated rows and rows that share an id are rows of their own;
+    a null id is kept as it is, links like any other and is nobody's component, which is
+    null if it has null ids only; no rows, no result; other columns are ignored.
     """
     ws = Workspace(spark)
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
@@ -60,7 +61,7 @@ def near_links(spark: SparkSession, vectors: DataFrame, threshold: float = THRES
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (dim,), rows in runs(batches, 1):
-            x = _unit(np.array(rows.column(4).flatten(), dtype=np.float64).reshape(-1, dim))
+            x = _unit(np.array(rows.column(3).flatten(), dtype=np.float64).reshape(-1, dim))
             p = pivots[dim]
             c = x @ p.T
             home = c.argmax(1)
@@ -71,17 +72,18 @@ def near_links(spark: SparkSession, vectors: DataFrame, threshold: float = THRES
             a, b = np.nonzero(near)
             raw = [r.tobytes() for r in x]
             take = pa.array(a)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), dim, dtype=np.int32)), pa.array(b.astype(np.int32)), pa.array((home[a] != b).astype(np.int32)), *(rows.column(i).take(take) for i in (1, 2, 3)), pa.array([raw[i] for i in a], pa.binary())], names=["dim", "cell", "guest", "least", "slot", "copies", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), dim, dtype=np.int32)), pa.array(b.astype(np.int32)), pa.array((home[a] != b).astype(np.int32)), *(rows.column(i).take(take) for i in (1, 2)), pa.array([raw[i] for i in a], pa.binary())], names=["dim", "cell", "guest", "slot", "copies", "v"])
 
-    dealt = classes.select("dim", "least", F.xxhash64("k1", "k2").alias("slot"), "copies", "v").sortWithinPartitions("dim")
-    dealt = ws.save(dealt.mapInArrow(deal, "dim int, cell int, guest int, least long, slot long, copies long, v binary"), "dealt")
+    # A class goes by one number, not by an id, which several classes may share.
+    dealt = classes.select("dim", F.xxhash64("k1", "k2").alias("slot"), "copies", "v").sortWithinPartitions("dim")
+    dealt = ws.save(dealt.mapInArrow(deal, "dim int, cell int, guest int, slot long, copies long, v binary"), "dealt")
     cells = dealt.filter("guest = 0").groupBy("dim", "cell").count().collect()  # PIVOTS rows a length at most
     shape = F.broadcast(spark.createDataFrame([(r[0], r[1], -(-r[2] // SLICE)) for r in cells], "dim int, cell int, slices long"))
     sliced = dealt.join(shape, ["dim", "cell"]).withColumn("own", F.when(F.col("guest") == 0, F.pmod("slot", "slices")))
-    residents = sliced.filter("guest = 0").select("dim", "cell", F.col("own").alias("slice"), F.lit(0).alias("kind"), "least", "copies", "v")
+    residents = sliced.filter("guest = 0").select("dim", "cell", F.col("own").alias("slice"), F.lit(0).alias("kind"), "slot", "copies", "v")
     # A resident of a slice also visits the slices before its own; a guest visits all.
     visits = sliced.withColumn("last", F.when(F.col("guest") == 0, F.col("own") - 1).otherwise(F.col("slices") - 1)).filter("last >= 0")
-    visits = visits.select("dim", "cell", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("slice"), F.lit(1).alias("kind"), "least", "copies", "v")
+    visits = visits.select("dim", "cell", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("slice"), F.lit(1).alias("kind"), "slot", "copies", "v")
 
     def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Cosine >= threshold in double precision; single precision where it is clear."""
@@ -163,9 +165,13 @@ def near_links(spark: SparkSession, vectors: DataFrame, threshold: float = THRES
     found = ws.save(met.mapInArrow(join, "a long, n long, b long"), "found")
     counts = found.filter("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     group = components(found.filter("n = 0").select("a", "b"), ws)
-    links = ws.save(counts.join(group, counts.a == group.node, "left").select("a", "n", "component"), "links")
-    named = classes.select("k1", "k2", "least", "copies").join(links, F.col("least") == F.col("a"), "left").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
-    k, c = keyed.drop("v").alias("k"), named.alias("c")
+    named = classes.select("k1", "k2", "least", "copies", F.xxhash64("k1", "k2").alias("slot"))
+    named = named.join(counts, F.col("slot") == F.col("a"), "left").join(group, F.col("slot") == F.col("node"), "left")
+    named = ws.save(named.select("k1", "k2", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "slot").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    labelled = ws.save(named.join(least, "component").select("k1", "k2", "n_links", "component_id"), "labelled")
+    ws.keep("keyed", "labelled")
+    k, c = keyed.drop("v").alias("k"), labelled.alias("c")
     out = k.join(c, (F.col("k.k1") == F.col("c.k1")) & (F.col("k.k2") == F.col("c.k2")), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
