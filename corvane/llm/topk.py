@@ -22,8 +22,9 @@ from corvane.llm.vectors import is_sound, matrix, runs, spread_pivots
 #: Vectors from which pivots are drawn, pivots per dimension, and annuli of a pivot: so
 #: many bounds at most does a query compare itself with.
 SAMPLE, PIVOTS, ANNULI = 4096, 64, 64
-#: Vectors that a task holds at once; a larger annulus is cut into slices.
-SLICE = 4096
+#: Vectors that an annulus aims at, and that a task holds at once; a larger annulus is
+#: cut into slices.
+RING, SLICE = 512, 4096
 
 
 def _dot(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -53,8 +54,10 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
     A row is not compared with rows of its own id, nor with vectors of another length.
     Cases: vectors that are null, empty or hold null or non-finite components take no
-    part; fewer than k candidates give fewer rows; repeated rows are candidates each;
-    no rows, no result; other columns are ignored.
+    part, nor do rows with a null id; fewer than k candidates give fewer rows; repeated
+    rows are candidates each, and queries each, with a result of its own; a score that
+    64 bits cannot hold is clipped to their range; no rows, no result; other columns are
+    ignored.
     """
     ws = Workspace(spark)
     whole = lambda df: df.filter(is_sound(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dim"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
@@ -82,15 +85,16 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
     index = ws.save(data.select("dim", "id", "v").sortWithinPartitions("dim").mapInArrow(place, "dim int, cell int, dist double, id long, v binary"), "index")
     cells = {(r[0], r[1]): r[2:] for r in index.groupBy("dim", "cell").agg(F.count(F.lit(1)), F.min("dist"), F.max("dist")).collect()}  # PIVOTS rows a length at most
-    ring = {key: (lo, max((hi - lo) / n, 1e-9), n) for key, (count, lo, hi) in cells.items() for n in [int(min(ANNULI, max(1, -(-count // SLICE))))]}
+    ring = {key: (lo, max((hi - lo) / n, 1e-9), n) for key, (count, lo, hi) in cells.items() for n in [int(min(ANNULI, max(1, -(-count // RING))))]}
     shape = spark.createDataFrame([(d, c, float(lo), float(w), n) for (d, c), (lo, w, n) in ring.items()], "dim int, cell int, lo double, width double, rings int")
     keyed = index.join(F.broadcast(shape), ["dim", "cell"]).withColumn("ring", F.least(F.col("rings") - 1, F.floor((F.col("dist") - F.col("lo")) / F.col("width")).cast("int"))).drop("lo", "width", "rings")
     rings = keyed.groupBy("dim", "cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")).collect()  # PIVOTS * ANNULI rows a length at most
     slices = spark.createDataFrame([(r.dim, r.cell, r.ring, -(-r.n // SLICE)) for r in rings], "dim int, cell int, ring int, slices long")
     at = {d: [(r.cell, r.ring, r.near, r.far, r.n) for r in rings if r.dim == d] for d in pivots}
-    resident = keyed.join(F.broadcast(slices), ["dim", "cell", "ring"]).select("dim", "cell", "ring", F.pmod(F.xxhash64("id"), "slices").alias("slice"), F.lit(0).alias("kind"), "id", "v")
+    resident = keyed.join(F.broadcast(slices), ["dim", "cell", "ring"]).select("dim", "cell", "ring", F.pmod(F.xxhash64("id"), "slices").alias("slice"), F.lit(0).alias("kind"), "id", "v", F.lit(0).cast("long").alias("asker"))
 
-    asked = ws.save(whole(queries).select("dim", "id", "v"), "queries").withColumn("floor", F.lit(None).cast("long"))
+    # A query goes by the number of its row: rows may share an id.
+    asked = ws.save(whole(queries).select("dim", "id", "v", F.monotonically_increasing_id().alias("asker")), "queries").withColumn("floor", F.lit(None).cast("long"))
 
     def expand(nearest: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +115,11 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                     hit = np.zeros(best.shape, dtype=bool)
                     hit[np.arange(len(q)), pick] = True
                 else:
-                    least = rows.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+                    least = rows.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
                     hit = np.isnan(least)[:, None] | (best + slack >= np.nan_to_num(least)[:, None])
                 a, b = np.nonzero(hit)
                 vec = [x.tobytes() for x in q]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), dim, dtype=np.int32)), pa.array(cell[b].astype(np.int32)), pa.array(annulus[b].astype(np.int32)), pa.array(rows.column(1).to_numpy()[a]), pa.array([vec[i] for i in a], pa.binary())], names=["dim", "cell", "ring", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), dim, dtype=np.int32)), pa.array(cell[b].astype(np.int32)), pa.array(annulus[b].astype(np.int32)), pa.array(rows.column(1).to_numpy()[a]), pa.array([vec[i] for i in a], pa.binary()), pa.array(rows.column(3).to_numpy()[a])], names=["dim", "cell", "ring", "id", "v", "asker"])
 
         return run
 
@@ -131,24 +135,24 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                 continue
             if v is None:
                 ids, v = (np.concatenate(held_ids), np.concatenate(held)) if held else (np.zeros(0, dtype=np.int64), np.zeros((0, dim)))
-            own = rows.column(5).to_numpy()
+            own, asker = rows.column(5).to_numpy(), rows.column(7).to_numpy()
             scores = _dot(matrix(rows.column(6), dim, "f8"), v)
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for i, who, what in _top(scores, ids, own, k):
-                for c, x in zip(out, (np.full(len(who), own[i]), who, what), strict=True):
+                for c, x in zip(out, (np.full(len(who), asker[i]), np.full(len(who), own[i]), who, what), strict=True):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["asker", "query_id", "vec_id", "score"])
 
     def look(asked: DataFrame, nearest: bool) -> DataFrame:
-        probes = asked.select("dim", "id", "v", "floor").sortWithinPartitions("dim").mapInArrow(expand(nearest), "dim int, cell int, ring int, id long, v binary")
-        probes = probes.join(F.broadcast(slices), ["dim", "cell", "ring"]).select("dim", "cell", "ring", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("kind"), "id", "v")
+        probes = asked.select("dim", "id", "v", "asker", "floor").sortWithinPartitions("dim").mapInArrow(expand(nearest), "dim int, cell int, ring int, id long, v binary, asker long")
+        probes = probes.join(F.broadcast(slices), ["dim", "cell", "ring"]).select("dim", "cell", "ring", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("kind"), "id", "v", "asker")
         both = resident.unionByName(probes).repartition(parallelism(spark), "dim", "cell", "ring", "slice").sortWithinPartitions("dim", "cell", "ring", "slice", "kind")
-        found = both.mapInArrow(compare, "query_id long, vec_id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = both.mapInArrow(compare, "asker long, query_id long, vec_id long, score long")
+        order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    first = look(asked, True).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    bounded = ws.save(asked.drop("floor").join(first.groupBy("id").agg(F.max("floor").alias("floor")), "id", "left").select("dim", "id", "v", "floor"), "bounded")
+    first = look(asked, True).filter(F.col("rank") == k).select("asker", F.col("score").alias("floor"))
+    bounded = ws.save(asked.drop("floor").join(first, "asker", "left").select("dim", "id", "v", "asker", "floor"), "bounded")
     return look(bounded, False).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
