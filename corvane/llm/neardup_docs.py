@@ -3,8 +3,8 @@
 Documents are sets of word shingles. Equal sets are one class. Classes with the same
 prefix and size are collapsed into one group; groups are joined through the tokens of
 their prefixes, and pairs of groups are filtered by length, position and the number of
-prefix tokens that they share; groups are then expanded and members verified on their
-whole sets.
+prefix tokens that they share; groups are then expanded, filtered by bitmaps of their sets and
+verified on their whole sets.
 
 Components are what is asked for, so a pair that is known to be connected already
 needs no check: first each group is checked against one partner, then only pairs
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corvane.llm import setjoin
 from corvane.llm.common import Workspace, parallelism, table
 from corvane.llm.graph import components
-from corvane.llm.setjoin import FLUSH, Counter, Order, Postings, bands, bitmaps, candidates, digests, distinct_runs, first_of, prefix_length, verify
+from corvane.llm.setjoin import FLUSH, MAP, Counter, Order, Postings, bands, bitmaps, candidates, digests, distinct_runs, first_of, hopeful, prefix_length, verify
 from corvane.llm.words import Hasher, chunks, mix64
 
 SHINGLE = 5
@@ -53,9 +53,9 @@ def _shingled(texts: pa.Array, hasher: Hasher, k: int) -> Iterator[tuple[int, in
 
 
 def describe(k: int, similar: tuple[int, int], buckets: int):
-    """kind 0: (doc_id, row, n, d), d the digest of the set; kind 1: counts of the tokens
-    that a prefix in the order of hashes alone would hold."""
-    names = ["kind", "doc_id", "row", "n", "d", "bucket", "blob"]
+    """kind 0: (doc_id, row, n, d, MAP), d the digest of the set and MAP its bitmap; kind
+    1: counts of the tokens that a prefix in the order of hashes alone would hold."""
+    names = ["kind", "doc_id", "row", "n", "d", *MAP, "bucket", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counter = Hasher(), Counter(buckets)
@@ -63,7 +63,7 @@ def describe(k: int, similar: tuple[int, int], buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             for bucket, raw in counter.flush():
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), none, none, none, none, pa.array([bucket], pa.int32()), pa.array([raw], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[none] * (4 + len(MAP)), pa.array([bucket], pa.int32()), pa.array([raw], pa.binary())], names=names)
 
         for batch in batches:
             for lo, hi, hashes, at in _shingled(batch.column(2), hasher, k):
@@ -74,7 +74,8 @@ def describe(k: int, similar: tuple[int, int], buckets: int):
                 once[np.unique(d, return_index=True)[1]] = True  # copies side by side count once
                 counter.add(sets[0][first_of(sets, np.where(once, prefix_length(n, *similar), 0))[0]])
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, dtype=np.int32)), batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), pa.array(n), pa.array(d.astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+                maps = bitmaps(sets).view(np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, dtype=np.int32)), batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), pa.array(n), pa.array(d.astype(np.int64)), *[pa.array(np.ascontiguousarray(x)) for x in maps], pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
             if counter.full:
                 yield from flush()
         yield from flush()
@@ -115,7 +116,7 @@ def post(k: int, similar: tuple[int, int], buckets: int, hot: list[int]):
 
 
 def whole_sets(k: int):
-    """(d, bitmap, set as sorted token hashes) of (text) rows. Copies in a task give one."""
+    """(d, set as sorted token hashes) of (text) rows. Copies in a task give one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(), np.zeros(0, dtype=np.uint64)
@@ -126,8 +127,7 @@ def whole_sets(k: int):
                 new = np.unique(d, return_index=True)[1]
                 new = np.sort(new[~np.isin(d[new], seen)])
                 seen = np.append(seen, d[new])[-FLUSH:]
-                maps = bitmaps(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(d[new].astype(np.int64)), pa.array([maps[i].tobytes() for i in new], pa.binary()), pa.array([sets[0][sets[1][i] : sets[1][i + 1]].tobytes() for i in new], pa.binary())], names=["d", "bitmap", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(d[new].astype(np.int64)), pa.array([sets[0][sets[1][i] : sets[1][i + 1]].tobytes() for i in new], pa.binary())], names=["d", "tokens"])
 
     return run
 
@@ -149,12 +149,14 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
     base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     parts = parallelism(spark)
     buckets = max(64, 2 * parts)
-    base.mapInArrow(describe(shingle, similar, buckets), "kind int, doc_id long, row long, n long, d long, bucket int, blob binary").write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/described")
+    profile = ", ".join(f"{c} long" for c in ("doc_id", "row", "n", "d", *MAP))
+    base.mapInArrow(describe(shingle, similar, buckets), f"kind int, {profile}, bucket int, blob binary").write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/described")
     read = lambda name, kind, schema: spark.read.schema(f"kind int, {schema}").parquet(f"{ws.root}/{name}").filter(F.col("kind") == kind).drop("kind")
     hot = setjoin.frequent_tokens(read("described", 1, "bucket int, blob binary"))
     ws.drop("described/kind=1")
-    members = read("described", 0, "doc_id long, row long, n long, d long")
-    classes = ws.save(members.filter("n > 0").groupBy("d").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "classes")
+    members = read("described", 0, profile)
+    classes = members.filter("n > 0").groupBy("d").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("n").alias("n"), *[F.min(m).alias(m) for m in MAP])
+    classes = ws.save(classes, "classes")
 
     posted = base.select("text").mapInArrow(post(shingle, similar, buckets, hot), "bucket int, blob binary")
     posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(candidates(*similar, buckets), setjoin.CANDIDATES).write.partitionBy("kind").option("compression", "zstd").parquet(f"{ws.root}/candidates")
@@ -176,16 +178,21 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
     ws.drop("counted")
     ws.drop("candidates/kind=0")
 
-    # The sets that any check may need: of groups in pairs, on long lists or with members.
+    # The sets that may link: of groups in pairs, on long lists or with members.
     wanted = likely.select(F.explode(F.array("a", "b")).alias("g")).union(long_lists.select("g")).union(groups.filter("size > 1").select("g")).distinct()
     used = ws.save(belongs.join(wanted, "g", "left_semi"), "used")
-    need = used.select("d").distinct().join(classes, "d").select("row").distinct()
-    everything = ws.save(base.select("row", "text").join(need.hint("shuffle_hash"), "row").select("text").mapInArrow(whole_sets(shingle), "d long, bitmap binary, tokens binary"), "sets")
-    ws.release()
-    sets, maps = everything.select("d", "tokens"), everything.select("d", "bitmap")
 
     def checked(pairs: DataFrame, turn: str) -> DataFrame:
+        """The pairs that are similar: those that their bitmaps allow, by whole sets, which
+        are read again from the texts of these pairs alone."""
+        pairs = ws.save(hopeful(pairs, classes, similar), f"hopeful-{turn}")
+        if not pairs.limit(1).collect():
+            return pairs
+        need = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct().join(classes, "d").select("row").distinct()
+        sets = ws.save(base.select("row", "text").join(need.hint("shuffle_hash"), "row").select("text").mapInArrow(whole_sets(shingle), "d long, tokens binary"), f"sets-{turn}")
+        ws.release()
         out = ws.save(verify(pairs, sets, similar), f"edges-{turn}")
+        ws.drop(f"sets-{turn}")
         ws.release()
         return out
 
@@ -216,7 +223,7 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
         listed = long_lists.select("token", "g", "pos").unionByName(crowd).join(named, "g")
         mixed = listed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
         listed = ws.save(listed.join(mixed, "token", "left_semi").withColumn("band", band), f"listed-{turn}")
-        found = setjoin.meet_lists(listed, maps, similar, near, parts)
+        found = setjoin.meet_lists(listed, classes.select("d", *MAP), similar, near, parts)
         if near:
             # Of an item's nearest partners on all its lists and slices one.
             found = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
@@ -224,7 +231,6 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
         pairs = ws.save(pairs, f"tried-{turn}")
         edges = edges.unionByName(checked(pairs, turn))
         tried = tried.unionByName(pairs)
-    ws.drop("sets")
 
     linked = components(edges, ws, "linked")
     label = classes.join(linked.select(F.col("node").alias("d"), "component"), "d", "left").select("d", "least", F.coalesce("component", "d").alias("component"))
@@ -243,4 +249,17 @@ def op5_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_ngram_links": op5_ngram_links}
-ORACLE_SQL: dict[str, str] = {}
+_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), each AS MATERIALIZED (SELECT doc_id, unnest(s) AS t FROM sets), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM each a JOIN each b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * pairs.n >= 80 * (x.n + y.n - pairs.n)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN least ON n.doc_id = least.doc_id
+"""
+ORACLE_SQL = {"op5_ngram_links": _SQL}

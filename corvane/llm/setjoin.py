@@ -270,18 +270,27 @@ def keep(item: np.ndarray, n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.
 #: 64-bit words of a parity bitmap: bit i tells whether an odd number of tokens hash to
 #: i. Sets that differ in x tokens have bitmaps that differ in x bits at most.
 WORDS = 8
+MAP = [f"b{i}" for i in range(WORDS)]
 
 
 def bitmaps(sets: Sets) -> np.ndarray:
     """A row of WORDS numbers for each set."""
     keys, offsets = sets
-    h = mix64(keys)
-    bit, word = np.uint64(1) << (h >> np.uint64(58)), (h & np.uint64(WORDS - 1)).astype(np.int64)
-    out = np.zeros((len(offsets) - 1, WORDS), dtype=np.uint64)
-    for w in range(WORDS):
-        flags = np.concatenate([np.zeros(1, dtype=np.uint64), np.bitwise_xor.accumulate(np.where(word == w, bit, np.uint64(0)))]) if len(keys) else np.zeros(1, dtype=np.uint64)
-        out[:, w] = flags[offsets[1:]] ^ flags[offsets[:-1]]
-    return out
+    n, bits = len(offsets) - 1, 64 * WORDS
+    own = np.repeat(np.arange(n), np.diff(offsets))
+    odd = np.bincount(own * bits + (keys & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view(np.uint64)
+
+
+def hopeful(pairs: DataFrame, profiles: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs(a, b) whose sizes and bitmaps, from profiles(d, n, MAP), let them be
+    similar."""
+    of = lambda k: profiles.select(F.col("d").alias(k), F.col("n").alias(f"n{k}"), *[F.col(m).alias(f"{k}_{m}") for m in MAP])
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MAP), F.lit(0))
+    x, y = similar
+    least = F.expr(f"({x} * (na + nb) + {x + y - 1}) div {x + y}")
+    return both.filter((F.least("na", "nb") >= least) & (apart <= F.col("na") + F.col("nb") - 2 * least)).select("a", "b")
 
 
 def bands(a: int, b: int, most: int = 1 << 31) -> list[int]:
@@ -299,8 +308,8 @@ SLICE = 4096
 
 def list_pairs(a: int, b: int, nearest: bool, block: int = 512):
     """Pairs (a, b, apart) of one slice of a band of a long list that may be similar and
-    are in different components. Rows (token, band, slice, guest, d, c, n, pos, bitmap)
-    are sorted by the first four; a guest comes from the band below or a later slice and
+    are in different components. Rows (token, band, slice, guest, d, c, n, pos, MAP) are
+    sorted by the first four; a guest comes from the band below or a later slice and
     meets the slice's own rows only. Pairs are looked at in blocks and filtered before
     any is given out: by size, by whether the token can be the first that both share,
     and by the bits in which their bitmaps differ. With `nearest`, each row gives the
@@ -356,8 +365,7 @@ def list_pairs(a: int, b: int, nearest: bool, block: int = 512):
             if now != (token, band, part):
                 yield from close()
                 now, own = (token, band, part), None
-            raw = b"".join(rows.column(8).to_pylist())
-            some = (rows.column(4).to_numpy(), rows.column(5).to_numpy(), rows.column(6).to_numpy().astype(np.int64), rows.column(7).to_numpy().astype(np.int64), np.frombuffer(raw, dtype=np.uint64).reshape(-1, WORDS))
+            some = (rows.column(4).to_numpy(), rows.column(5).to_numpy(), rows.column(6).to_numpy().astype(np.int64), rows.column(7).to_numpy().astype(np.int64), np.stack([c.to_numpy().view(np.uint64) for c in rows.columns[8:]], axis=1))
             if guest == 0:
                 held.append(some)
                 continue
@@ -370,8 +378,8 @@ def list_pairs(a: int, b: int, nearest: bool, block: int = 512):
 
 
 def meet_lists(listed: DataFrame, maps: DataFrame, similar: tuple[int, int], nearest: bool, parts: int) -> DataFrame:
-    """list_pairs() of listed(token, band, d, c, n, pos), with bitmaps from maps(d,
-    bitmap). Each row stays in its slice of its band, visits the earlier slices, and all
+    """list_pairs() of listed(token, band, d, c, n, pos), with bitmaps from maps(d, MAP).
+    Each row stays in its slice of its band, visits the earlier slices, and all
     slices of the band above, so no task holds a whole list."""
     slices = listed.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
     own = listed.join(slices, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("d"), F.col("slices")))
@@ -379,7 +387,7 @@ def meet_lists(listed: DataFrame, maps: DataFrame, similar: tuple[int, int], nea
     stay = own.select(*columns[:2], F.col("own").alias("slice"), F.lit(0).alias("guest"), *columns[4:])
     visit = own.filter("own > 0").select(*columns[:2], F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("slice"), F.lit(1).alias("guest"), *columns[4:])
     above = listed.withColumn("band", F.col("band") + 1).join(slices, ["token", "band"]).select(*columns[:2], F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("guest"), *columns[4:])
-    met = maps.join(stay.unionByName(visit).unionByName(above).hint("shuffle_hash"), "d").select(*columns, "bitmap")
+    met = maps.join(stay.unionByName(visit).unionByName(above).hint("shuffle_hash"), "d").select(*columns, *MAP)
     return met.repartition(parts, *columns[:3]).sortWithinPartitions(*columns[:4]).mapInArrow(list_pairs(*similar, nearest), "a long, b long, apart long")
 
 
