@@ -466,4 +466,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_line_dedup": op7_line_dedup}
-ORACLE_SQL: dict[str, str] = {}
+_SQL = """
+WITH l AS (
+  SELECT doc_id, i, line, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)
+), sets AS (SELECT list_sort(w) AS s, min((doc_id, i)) AS at_ FROM l WHERE len(w) > 0 GROUP BY ALL), c AS MATERIALIZED (SELECT row_number() OVER () AS k, s, at_, len(s) AS n FROM sets),
+words AS MATERIALIZED (SELECT k, n, unnest(s) AS t FROM c), often AS (SELECT t, count(*) AS f FROM words GROUP BY t),
+placed AS (SELECT k, n, words.t, row_number() OVER (PARTITION BY k ORDER BY f, words.t) AS p FROM words JOIN often ON words.t = often.t),
+prefix AS MATERIALIZED (SELECT k, n, t FROM placed WHERE p <= n - ceil(0.8 * n) + 1),
+pairs AS MATERIALIZED (SELECT DISTINCT a.k AS x, b.k AS y FROM prefix a JOIN prefix b ON a.t = b.t AND a.k <> b.k AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+late AS (SELECT DISTINCT y AS k FROM pairs JOIN c a ON a.k = x JOIN c b ON b.k = y WHERE a.at_ < b.at_ AND 9 * len(list_intersect(a.s, b.s)) >= 4 * (a.n + b.n)),
+gone AS (SELECT l.doc_id, l.i FROM l JOIN c ON list_sort(l.w) = c.s LEFT JOIN late ON c.k = late.k WHERE late.k IS NOT NULL OR c.at_ <> (l.doc_id, l.i)),
+left_ AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (g.i IS NOT NULL) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS t FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(length(t) AS BIGINT) AS n_chars_left, sha256(t) AS text_sha256 FROM documents d LEFT JOIN left_ ON d.doc_id = left_.doc_id
+"""
+ORACLE_SQL = {"op7_line_dedup": _SQL}
