@@ -11,7 +11,10 @@ import base64
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,10 +68,11 @@ def _packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or (len(raw) > 1 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
 
 
-def _inflated(parts: Iterator[bytes], left: list[int] | None = None) -> Iterator[bytes]:
-    """The unpacked bytes of the gzip or zlib data that `parts` start with, up to its
-    end or first fault. `left` gets the number of bytes of the last part after it."""
-    d, data = zlib.decompressobj(47), b""
+def _inflated(parts: Iterator[bytes], left: list[int] | None = None, form: int = 47) -> Iterator[bytes]:
+    """The unpacked bytes of the gzip or zlib data (or of the given form) that `parts`
+    start with, up to its end or first fault. `left` gets the number of bytes of the last
+    part after it."""
+    d, data = zlib.decompressobj(form), b""
     for part in parts:
         data += part
         while data:
@@ -126,28 +130,42 @@ def _kinds(blocks: Callable[[], Iterator[bytes]], chain: int) -> set[int] | None
     return found if some else None
 
 
-def _replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], list[int]] | None:
-    """text with the matches decoded, and for each character the span that it came from."""
-    parts, starts, ends, at, found = [], [], [], 0, False
+#: Of a layer's characters s to e (exclusive) the span that they came from.
+Span = Callable[[int, int], tuple[int, int]]
+
+
+def _replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, Span] | None:
+    """text with the matches decoded, and where its parts came from: runs that were kept
+    are one entry each, whatever their length, and so are decoded characters."""
+    parts, at, done = [], 0, 0
+    new, old, end = array("q"), array("q"), array("q")  # end: -1 for a kept run
+
+    def add(piece: str, a: int, b: int) -> None:
+        nonlocal done
+        if piece:
+            parts.append(piece)
+            new.append(done)
+            old.append(a)
+            end.append(b)
+            done += len(piece)
+
     for m in pattern.finditer(text):
         got = decode(m)
         if got is None:
             continue
-        found = True
-        parts.append(text[at : m.start()])
-        starts.extend(range(at, m.start()))
-        ends.extend(range(at + 1, m.start() + 1))
+        add(text[at : m.start()], at, -1)
         for piece, a, b in got:
-            parts.append(piece)
-            starts.extend([m.start() + a] * len(piece))
-            ends.extend([m.start() + b] * len(piece))
+            add(piece, m.start() + a, m.start() + b)
         at = m.end()
-    if not found:
+    if not at:
         return None
-    parts.append(text[at:])
-    starts.extend(range(at, len(text)))
-    ends.extend(range(at + 1, len(text) + 1))
-    return "".join(parts), starts, ends
+    add(text[at:], at, -1)
+
+    def span(s: int, e: int) -> tuple[int, int]:
+        i, j = bisect_right(new, s) - 1, bisect_right(new, e - 1) - 1
+        return old[i] + (s - new[i] if end[i] < 0 else 0), old[j] + e - new[j] if end[j] < 0 else end[j]
+
+    return "".join(parts), span
 
 
 def _url(m: re.Match) -> list[tuple[str, int, int]] | None:
@@ -191,10 +209,10 @@ def _chains(text: str) -> list[list[tuple[int, int]]]:
     return [c for c in out if len(c) > 1 and sum(b - a for a, b in c) >= 19]
 
 
-def _base64(text: str) -> Iterator[tuple[bytes, list[int], list[int], set[int]]]:
-    """(decoded bytes, start and end of each byte's characters, bytes that begin a line)
-    of base64 runs, decoded from each of the first four characters on: whatever foreign
-    characters a run begins with, one of these is in step with what follows."""
+def _base64(text: str) -> Iterator[tuple[bytes, Span, set[int]]]:
+    """(decoded bytes, where they came from, bytes that begin a line) of base64 runs,
+    decoded from each of the first four characters on: whatever foreign characters a run
+    begins with, one of these is in step with what follows."""
     chains = _chains(text) if "\n" in text else []
     taken = {a for c in chains for a, _ in c}
     runs = chains + [[(m.start(), m.start() + len(m[0].rstrip("=")))] for m in BASE64.finditer(text) if m.start() not in taken]
@@ -203,72 +221,95 @@ def _base64(text: str) -> Iterator[tuple[bytes, list[int], list[int], set[int]]]
         if run.isalpha() and (run.islower() or run[1:].islower()):
             continue  # a word; no base64 of text stays in lower case for 19 letters
         plain = run.replace("-", "+").replace("_", "/")
-        place = [i for a, b in pieces for i in range(a, b)]
-        end = pieces[-1][1]
-        end += len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+        before = [0, *accumulate(b - a for a, b in pieces)]
+        last = pieces[-1][1]
+        last += len(text[last : last + 2]) - len(text[last : last + 2].lstrip("="))
         for skip in range(4):
             body = plain[skip:]
             body = body[: len(body) - (len(body) % 4 == 1)]
             if len(body) < 19:
                 break
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
-            starts = [place[skip + i * 4 // 3] for i in range(len(raw))]
-            ends = [place[min(skip - (-(i + 1) * 4 // 3), len(place)) - 1] + 1 for i in range(len(raw))]
-            ends[-1] = end if skip + len(body) >= len(place) else ends[-1]
-            lines, at = {0}, 0
-            for a, b in pieces:
-                lines.add(max(0, at - skip) * 3 // 4)
-                at += b - a
-            yield raw, starts, ends, lines
+
+            def place(k: int, pieces=pieces, before=before) -> int:
+                i = bisect_right(before, k) - 1
+                return pieces[i][0] + k - before[i]
+
+            def span(s: int, e: int, skip=skip, place=place, n=before[-1], size=len(raw), whole=skip + len(body) >= before[-1], last=last) -> tuple[int, int]:
+                return place(skip + s * 4 // 3), last if e == size and whole else place(min(skip - (-e * 4 // 3), n) - 1) + 1
+
+            yield raw, span, {0} | {max(0, x - skip) * 3 // 4 for x in before[:-1]}
 
 
 def _unpacked(raw: bytes, lines: set[int], chain: int) -> Iterator[tuple[int, int, int]]:
-    """(first byte, kind, byte after the last) for the kinds in compressed data in raw."""
-    at = 0
+    """(first byte, kind, byte after the last) for the kinds in compressed data in raw:
+    gzip and zlib data wherever it stands, deflate data without a header that fills raw."""
+    at, found = 0, False
     for i in sorted({m.start() for m in PACKED.finditer(raw)} | {i for i in lines if _packed(raw[i : i + 2])}):
         if i < at:
             continue
         left: list[int] = []
         kinds = _kinds(lambda i=i, left=left: _inflated(iter([raw[i:]]), left), chain)
-        if kinds:
+        if kinds is not None:
+            found = True
             end = len(raw) - (left[0] if left else 0)
             at = end if left else at
             yield from ((i, k, end) for k in kinds)
+    if not found and _deflated(raw):
+        for k in _kinds(lambda: _inflated(iter([raw]), None, -15), chain) or ():
+            yield 0, k, len(raw)
+
+
+def _deflated(raw: bytes) -> bool:
+    """Whether raw is deflate data from end to end: few other bytes are."""
+    d = zlib.decompressobj(-15)
+    try:
+        data = raw
+        while data and not d.eof:
+            d.decompress(data, WINDOW)
+            data = d.unconsumed_tail
+    except zlib.error:
+        return False
+    return d.eof and len(d.unused_data) < 3  # base64 of other steps adds a byte or two
 
 
 def _layers(text: str, chain: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """scan() of a text in `chain` compressed layers.
 
-    The worklist holds layers still to unwrap. A layer is a string with, for each of
-    its characters, the span of the text that it stands for; one whose string and place
-    were met before is left out. Decoded bytes are read as Latin-1: all that is looked
-    for is ASCII, which is the same in it and in UTF-8, whatever stands around it.
+    The worklist holds layers still to unwrap. A layer is a string with the way from its
+    characters back to the span of the text that they stand for; one whose string and
+    place were met before is left out. Decoded bytes are read as Latin-1: all that is
+    looked for is ASCII, which is the same in it and in UTF-8, whatever stands around it.
     """
     base = base_spans(text)
     every = set(base)
-    work: list[tuple[str, list[int] | None, list[int] | None]] = [(text, None, None)]
+    work: list[tuple[str, Span]] = [(text, lambda s, e: (s, e))]
     seen = {(text, 0)}
     while work:
-        layer, starts, ends = work.pop()
-        fresh = []
+        layer, back = work.pop()
+        fresh: list[tuple[str, Span]] = []
         if "%" in layer and (got := _replaced(layer, URL_ESCAPES, _url)):
             fresh.append(got)
         if ("\\" in layer or "&#" in layer or "+" in layer) and (got := _replaced(layer, UNICODE_ESCAPES, _unicode)):
             fresh.append(got)
-        for raw, a, b, lines in _base64(layer):
-            fresh.append((raw.decode("latin-1"), a, b))
+        for raw, span, lines in _base64(layer):
+            fresh.append((raw.decode("latin-1"), span))
             for i, kind, j in _unpacked(raw, lines, chain + 1) if chain < MAX_CHAIN else ():
-                every.add((a[i], kind, b[j - 1]) if starts is None else (starts[a[i]], kind, ends[b[j - 1] - 1]))
+                a, b = back(*span(i, j))
+                every.add((a, kind, b))
             if chain >= MAX_CHAIN and any(next(_inflated(iter([raw[m.start() :]])), None) for m in PACKED.finditer(raw)):
-                every.add((a[0] if starts is None else starts[a[0]], UNREAD, b[-1] if starts is None else ends[b[-1] - 1]))
-        for string, a, b in fresh:
-            if starts is not None:
-                a, b = [starts[i] for i in a], [ends[i - 1] for i in b]
-            if (string, a[0] if a else 0) in seen:
+                a, b = back(*span(0, len(raw)))
+                every.add((a, UNREAD, b))
+        for string, span in fresh:
+            if not string:
                 continue
-            seen.add((string, a[0] if a else 0))
-            every.update((min(a[s:e]), kind, max(b[s:e])) for s, kind, e in base_spans(string))
-            work.append((string, a, b))
+            to = lambda s, e, span=span, back=back: back(*span(s, e))
+            key = string, to(0, 1)[0]
+            if key in seen:
+                continue
+            seen.add(key)
+            every.update((a, kind, b) for s, kind, e in base_spans(string) for a, b in [to(s, e)])
+            work.append((string, to))
     return base, sorted(every)
 
 
@@ -316,5 +357,27 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan}
-ORACLE_SQL: dict[str, str] = {}
+def base_of_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2_secret_scan finds in the texts themselves, which SQL can state."""
+    return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN_SQL = f"""({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_PATTERNS = ((0, "assign", _ASSIGN_SQL), (1, "access", "AKIA[A-Z0-9]{12,}"), (2, "hex", "[0-9a-f]{32,}"))
+#: Matches are marked by two control characters, and places counted from what stands before.
+_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS kind, '{name}' AS name, string_split(regexp_replace(t, '{p}', chr(1) || '{chr(92)}0' || chr(2), 'g'), chr(1)) AS p FROM t" for k, name, p in _PATTERNS)}),
+each AS (SELECT doc_id, kind, name, unnest(list_transform(range(2, len(p) + 1), lambda j: struct_pack(s := list_sum(list_transform(p[1:j - 1], lambda x: length(replace(x, chr(2), '')))), m := split_part(p[j], chr(2), 1)))) AS x FROM parts),
+found AS (SELECT doc_id, kind, name, CAST(x.s AS BIGINT) AS s, CAST(x.s AS BIGINT) + length(x.m) AS e FROM each WHERE kind > 0 OR length(regexp_extract(x.m, '{_ASSIGN_SQL}', 2)) >= 8),
+told AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans FROM found GROUP BY doc_id)
+SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN told ON t.doc_id = told.doc_id
+"""
+
+QUERIES = {"op2_secret_scan": op2_secret_scan, "base_of_op2": base_of_op2}
+ORACLE_SQL = {"base_of_op2": _SQL}
