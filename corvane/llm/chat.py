@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Workspace, parallelism, table
@@ -63,7 +63,7 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def repair(roles: list[str | None], enter: int = 0, leave: int | None = None) -> tuple[list[int], int]:
     """(role of each turn, total cost) of the cheapest repair that starts in state
     `enter` and ends in `leave`, if given. Ties: the earlier role in ROLES, from the
-    last turn back."""
+    last turn back; between segments, from the last segment back."""
     best = np.full(STATES, BIG, dtype=np.int64)
     best[enter] = 0
     back = []
@@ -79,14 +79,25 @@ def repair(roles: list[str | None], enter: int = 0, leave: int | None = None) ->
     return out[::-1], cost
 
 
+def escape(text: str | None) -> str:
+    """text with `<|` as `<||`, which no marker begins with; unescape() undoes it."""
+    return (text or "").replace("<|", "<||")
+
+
+def unescape(text: str) -> str:
+    return text.replace("<||", "<|")
+
+
 def render(roles: list[str | None], texts: list[str | None], fixed: list[int], state: int, last: bool) -> tuple[str, int, int, int, int]:
-    """(text, turns out, merges, relabels, insertions). A header ends the turn before."""
+    """(text, turns out, merges, relabels, insertions). A header ends the turn before.
+    Texts are escaped, so that none holds a marker."""
+    texts = [escape(t) for t in texts]
     parts, out, merged, relabeled, inserted = [], 0, 0, 0, 0
     for role, text, r in zip(roles, texts, fixed, strict=True):
         relabeled += role != ROLES[r - 1]
         if state == r and (state, r) not in LEGAL:
             merged += 1
-            parts.append("\n\n" + (text or ""))
+            parts.append("\n\n" + text)
         else:
             between = STEP[state][r][1]
             for x in ([between] if between else []) + [r]:
@@ -94,7 +105,7 @@ def render(roles: list[str | None], texts: list[str | None], fixed: list[int], s
                 state = x
                 out += 1
             inserted += bool(between)
-            parts.append(text or "")
+            parts.append(text)
         state = r
     if last and state:
         parts.append("<|end|>\n")
@@ -102,32 +113,55 @@ def render(roles: list[str | None], texts: list[str | None], fixed: list[int], s
 
 
 def format_chats(spark: SparkSession, turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """One row per segment: conv_id, segment, n_turns, n_out, n_merged, n_relabeled,
+    """One row per segment: conv_id, segment, piece, n_turns, n_out, n_merged, n_relabeled,
     n_inserted, cost, rendered. A conversation whose turn numbers span less than
-    `segment` is one row; else its rendered pieces concatenate by segment.
+    `segment` is one row; else its rendered pieces concatenate by segment and piece.
 
     Needs conv_id, turn, role, text; other columns are ignored. Turns are ordered by
-    number (null last), then role, then text. Cases: a role that is null or unknown
-    must be relabelled; a null or empty text is an empty turn; repeated rows are turns
-    of their own (equal roles, so they merge); rows with a null conv_id form one
-    conversation; no rows, no result.
+    number (null last), then role, then a hash of the text, then the text. Segments are
+    cut by number, and where more than `segment` turns share one, by role and hash too,
+    so no task holds a conversation. Long conversations stay in pieces, since no row need
+    hold one. Cases: a role that is null or unknown must be relabelled; a null or empty
+    text is an empty turn; repeated rows are turns of their own (equal roles, so they
+    merge), in one segment; rows with a null conv_id form one conversation; `<|` in a
+    text is escaped; no rows, no result.
     """
     ws = Workspace(spark)
     seg = F.coalesce(F.floor(F.col("turn") / segment), F.lit((1 << 62))).cast("long")
     rows = turns.select(F.col("conv_id").isNull().alias("lost"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_id"), seg.alias("segment"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
     keys = ["lost", "conv_id", "segment"]
+    # Numbers that more than `segment` turns share: 0 < shift bits of the hash cut them.
+    crowd = rows.groupBy("lost", "conv_id", "segment", "turn").count().filter(F.col("count") > segment)
+    crowd = ws.save(crowd.select(*keys, "turn", F.least(F.lit(40), F.ceil(F.log2(F.col("count") / segment))).cast("int").alias("shift")), "crowd")
+    if crowd.limit(1).collect():
+        a, b = rows.alias("a"), crowd.alias("b")
+        on = (F.col("a.lost") == F.col("b.lost")) & (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.segment") == F.col("b.segment")) & F.col("a.turn").eqNullSafe(F.col("b.turn"))
+        part = F.struct(F.col("a.turn").isNull().alias("last"), F.col("a.turn").alias("turn"), F.when(F.col("shift").isNotNull(), F.col("a.role")).alias("role"), F.when(F.col("shift").isNotNull(), F.expr("shiftright(a.hash, 64 - shift)")).alias("cut"))
+        rows = ws.save(a.join(b, on, "left").select("a.*", part.alias("part"), F.col("shift").isNotNull().alias("crowded")), "rows")
+        # Pieces of a segment in order: what comes before a crowded number, its parts, and so on.
+        pieces = rows.filter("crowded").select(*keys, "part").distinct()
+        turns_of = rows.filter("NOT crowded").join(pieces.select(*keys).distinct(), keys, "left_semi").select(*keys, "part").distinct()
+        place = Window.partitionBy(*keys).orderBy("part")
+        numbered = ws.save(pieces.unionByName(turns_of).withColumn("piece", F.row_number().over(place)), "pieces")
+        a, b = rows.alias("a"), numbered.alias("b")
+        on = (F.col("a.lost") == F.col("b.lost")) & (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.segment") == F.col("b.segment")) & F.col("a.part").eqNullSafe(F.col("b.part"))
+        rows = a.join(b, on, "left").select("a.lost", "a.conv_id", F.col("a.segment"), "a.turn", "a.role", "a.text", "a.hash", F.coalesce("b.piece", F.lit(0)).alias("piece"))
+    else:
+        rows = rows.withColumn("piece", F.lit(0))
+    keys = [*keys, "piece"]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list, list, tuple]]:
         """(key, roles, texts, states) of each segment of a sorted partition."""
         now, roles, texts, extra = None, [], [], ()
-        for key, rows in runs(batches, 3):
+        for key, rows in runs(batches, 4):
             if key != now:
                 if now is not None:
                     yield now, roles, texts, extra
                 now, roles, texts = key, [], []
-                extra = tuple(rows.column(i)[0].as_py() for i in range(5, rows.num_columns))
-            roles += rows.column(3).to_pylist()
-            texts += rows.column(4).to_pylist()
+                extra = tuple(rows.column(i)[0].as_py() for i in range(6, rows.num_columns))
+            roles += rows.column(4).to_pylist()
+            texts += rows.column(5).to_pylist()
         if now is not None:
             yield now, roles, texts, extra
 
@@ -140,11 +174,11 @@ def format_chats(spark: SparkSession, turns: DataFrame, segment: int = SEGMENT)
             out.append((*key, total.ravel().tolist()))
         if out:
             c = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.bool_()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.int64()))], names=[*keys, "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.bool_()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.list_(pa.int64()))], names=[*keys, "m"])
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Entry and exit state of each segment of one conversation."""
-        pdf = pdf.sort_values("segment")
+        pdf = pdf.sort_values(["segment", "piece"])
         ms = [np.array(m, dtype=np.int64).reshape(STATES, STATES) for m in pdf["m"]]
         best, back = np.full(STATES, BIG, dtype=np.int64), []
         best[0] = 0
@@ -159,21 +193,21 @@ def format_chats(spark: SparkSession, turns: DataFrame, segment: int = SEGMENT)
         return pdf[keys].assign(enter=leave[:-1], leave=leave[1:], final=[False] * (len(ms) - 1) + [True])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (lost, conv, part), roles, texts, (enter, leave, final) in whole(batches):
+        for (lost, conv, part, piece), roles, texts, (enter, leave, final) in whole(batches):
             # A conversation of one segment needs no settled states.
             fixed, cost = repair(roles, enter or 0, leave)
             text, *n = render(roles, texts, fixed, enter or 0, True if final is None else final)
-            yield pa.RecordBatch.from_pylist([{"conv_id": None if lost else conv, "segment": part, "n_turns": len(roles), "n_out": n[0], "n_merged": n[1], "n_relabeled": n[2], "n_inserted": n[3], "cost": cost, "rendered": text}], schema=pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), *((k, pa.int64()) for k in ("n_turns", "n_out", "n_merged", "n_relabeled", "n_inserted", "cost")), ("rendered", pa.string())]))
+            yield pa.RecordBatch.from_pylist([{"conv_id": None if lost else conv, "segment": part, "piece": piece, "n_turns": len(roles), "n_out": n[0], "n_merged": n[1], "n_relabeled": n[2], "n_inserted": n[3], "cost": cost, "rendered": text}], schema=pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("piece", pa.int32()), *((k, pa.int64()) for k in ("n_turns", "n_out", "n_merged", "n_relabeled", "n_inserted", "cost")), ("rendered", pa.string())]))
 
     def ordered(df: DataFrame, *more: str) -> DataFrame:
-        return df.repartition(parallelism(spark), *keys).sortWithinPartitions(*keys, F.col("turn").asc_nulls_last(), "role", "text").select(*keys, "role", "text", *more)
+        return df.repartition(parallelism(spark), *keys).sortWithinPartitions(*keys, F.col("turn").asc_nulls_last(), "role", "hash", "text").select(*keys, "role", "text", *more)
 
-    several = ws.save(rows.groupBy("lost", "conv_id").agg(F.min("segment").alias("a"), F.max("segment").alias("b")).filter("a < b").select("lost", "conv_id"), "several")
+    several = ws.save(rows.groupBy("lost", "conv_id").agg(F.min(F.struct("segment", "piece")).alias("a"), F.max(F.struct("segment", "piece")).alias("b")).filter("a < b").select("lost", "conv_id"), "several")
     long_rows = rows.join(several, ["lost", "conv_id"], "left_semi")
-    matrices = ordered(long_rows.withColumn("text", F.lit(None).cast("string"))).mapInArrow(reduce, "lost boolean, conv_id long, segment long, m array<long>")
-    states = ws.save(matrices.groupBy("lost", "conv_id").applyInPandas(settle, "lost boolean, conv_id long, segment long, enter int, leave int, final boolean"), "states")
+    matrices = ordered(long_rows.withColumn("text", F.lit(None).cast("string"))).mapInArrow(reduce, "lost boolean, conv_id long, segment long, piece int, m array<long>")
+    states = ws.save(matrices.groupBy("lost", "conv_id").applyInPandas(settle, "lost boolean, conv_id long, segment long, piece int, enter int, leave int, final boolean"), "states")
     both = rows.join(states, keys, "left")
-    return ordered(both, "enter", "leave", "final").mapInArrow(write, "conv_id long, segment long, n_turns long, n_out long, n_merged long, n_relabeled long, n_inserted long, cost long, rendered string")
+    return ordered(both, "enter", "leave", "final").mapInArrow(write, "conv_id long, segment long, piece int, n_turns long, n_out long, n_merged long, n_relabeled long, n_inserted long, cost long, rendered string")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
