@@ -58,8 +58,9 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
     return bounds[::-1]
 
 
-def pack(spark: SparkSession, docs: DataFrame, length: str | Column = "n_tokens", id_col: str = "doc_id", max_length: int = MAX_LENGTH, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, seed: int = 11) -> DataFrame:
-    """One row per piece: doc_id, piece, start, n_tokens, bucket, padded, batch, slot.
+def pack(spark: SparkSession, docs: DataFrame, length: str | Column = "n_tokens", id_col: str = "doc_id", max_length: int = MAX_LENGTH, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, seed: int = 11, tokens: str | Column | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, n_tokens, bucket, padded, batch, slot, and
+    with `tokens`, an array of `length` tokens, the piece's own tokens.
 
     `length` names the column (or is the expression) of token counts. A sequence of n
     tokens gives ceil(n / max_length) pieces, no token is lost. padded is the bound of
@@ -72,10 +73,13 @@ def pack(spark: SparkSession, docs: DataFrame, length: str | Column = "n_tokens"
     """
     ws = Workspace(spark)
     n = F.greatest(F.coalesce((F.col(length) if isinstance(length, str) else length).cast("long"), F.lit(0)), F.lit(0))
-    sized = docs.select(F.col(id_col).alias("doc_id"), n.alias("__n"))
+    given = [] if tokens is None else [(F.col(tokens) if isinstance(tokens, str) else tokens).alias("tokens")]
+    sized = docs.select(F.col(id_col).alias("doc_id"), n.alias("__n"), *given)
+    own = [] if tokens is None else [F.slice("tokens", (F.col("piece") * max_length + 1).cast("int"), F.lit(max_length)).alias("tokens")]
+    more = [] if tokens is None else ["tokens"]
     pieces = ws.save(
-        sized.select("doc_id", "__n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("__n") / max_length).cast("long") - 1, F.lit(0)))).alias("piece")).select(
-            "doc_id", "piece", (F.col("piece") * max_length).alias("start"), F.least(F.lit(max_length), F.col("__n") - F.col("piece") * max_length).cast("int").alias("n_tokens")
+        sized.select("doc_id", "__n", *more, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("__n") / max_length).cast("long") - 1, F.lit(0)))).alias("piece")).select(
+            "doc_id", "piece", (F.col("piece") * max_length).alias("start"), F.least(F.lit(max_length), F.col("__n") - F.col("piece") * max_length).cast("int").alias("n_tokens"), *own
         ),
         "pieces",
     )
@@ -90,11 +94,17 @@ def pack(spark: SparkSession, docs: DataFrame, length: str | Column = "n_tokens"
     rows = pieces.withColumns({"bucket": F.when(zero, 0).otherwise(bucket), "padded": F.when(zero, 0).otherwise(padded), "__h": F.xxhash64("doc_id", "piece", F.lit(seed))})
     placed = ordinal(rows, ["bucket"], "__h", "__place", ws, ["doc_id", "piece"])
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("padded"), F.lit(1)))).cast("long")
-    return placed.select("doc_id", "piece", "start", "n_tokens", "bucket", "padded", F.expr("__place").alias("__place"), room.alias("__room")).select(
-        "doc_id", "piece", "start", "n_tokens", "bucket", "padded", F.floor(F.col("__place") / F.col("__room")).alias("batch"), (F.col("__place") % F.col("__room")).cast("int").alias("slot")
+    return placed.select("doc_id", "piece", "start", "n_tokens", "bucket", "padded", *more, F.expr("__place").alias("__place"), room.alias("__room")).select(
+        "doc_id", "piece", "start", "n_tokens", "bucket", "padded", F.floor(F.col("__place") / F.col("__room")).alias("batch"), (F.col("__place") % F.col("__room")).cast("int").alias("slot"), *more
     )
 
 
+def padding(packed: DataFrame) -> DataFrame:
+    """bucket, padded, pieces, batches, tokens and padding (empty places) of each bucket."""
+    totals = packed.groupBy("bucket", "padded").agg(F.count(F.lit(1)).alias("pieces"), (F.max("batch") + 1).alias("batches"), F.sum("n_tokens").alias("tokens"))
+    return totals.withColumn("padding", F.col("pieces") * F.col("padded") - F.col("tokens"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed by their number of words."""
     return pack(spark, table(spark, sf_dir, "documents"), word_count("text"))
