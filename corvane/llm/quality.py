@@ -22,6 +22,8 @@ from corvane.llm.words import Hasher, chunks
 PASSAGE = 64
 #: Labelled documents, the first by a seeded hash of their id, that the model is fitted on.
 SAMPLE = 6000
+#: Passages of a document that the fit sees, evenly spaced over it. Scores see all.
+MOST_PASSAGES = 64
 BUCKETS = 32
 HIDDEN, GATES = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.004, 1e-4
@@ -164,17 +166,22 @@ def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         out = []
         for x, bags in encode(batch.column(0), hasher, classes):
-            out += [part.tobytes() for part in np.split(x, np.cumsum(bags)[:-1])]
+            for part in np.split(x, np.cumsum(bags)[:-1]):
+                out.append(part[np.unique(np.linspace(0, len(part) - 1, min(len(part), MOST_PASSAGES)).astype(np.int64))].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["bag", "label"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """A model of `label_col`, fitted on at most `sample` labelled documents of the
-    learning folds. Of several labels of a document the mean counts, rounded up."""
+    learning folds and MOST_PASSAGES of their passages, which bounds what the driver
+    gets. Of several labels of a document the mean counts, rounded up; of several texts
+    the one with the least hash."""
     small_batches(docs.sparkSession)
     usable = labels.filter(~held_out()).filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
     picked = usable.groupBy("doc_id").agg((F.avg(label_col) >= 0.5).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label").mapInArrow(_encode_batches, "bag binary, label double").collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # `sample` rows
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    rows = texts.select("text", "label").mapInArrow(_encode_batches, "bag binary, label double").collect()
     rows.sort(key=lambda r: (r[0], r[1]))  # the order of arrival must not show
     bags = [np.frombuffer(r[0], dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64) for r in rows]
     return fit(bags, np.array([r[1] for r in rows]))
