@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Workspace, ordinal, table, word_count
+from corvane.llm.common import Workspace, ordinal, parallelism, table, word_count
 
 #: Largest number of times that a document may be taken.
 MAX_REPEATS = 3
@@ -21,20 +21,33 @@ MAX_REPEATS = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 
 
-def fill_targets(sizes: np.ndarray, weights: np.ndarray, repeats: int = MAX_REPEATS) -> np.ndarray:
-    """Share sum(sizes) by weight; a target stops at repeats * size, and its excess is
-    shared again among the others by weight until none is above."""
-    caps = repeats * sizes.astype("float64")
-    total = float(sizes.sum())
-    capped = np.zeros(len(sizes), dtype=bool)
+def fill_targets(totals: DataFrame, weights: tuple[float, ...], repeats: int, ws: Workspace) -> DataFrame:
+    """source, source_size, target of totals(source, source_size): the sum of all sizes
+    is shared by weight; a target stops at repeats * size, and its excess is shared again
+    among the others by weight until none is above.
+
+    Sources get their weights in turn, by code point, null last, without meeting in one
+    task: they are range-partitioned, and counts of the parts give each part's first
+    place. A source stops when what a unit of weight gets reaches repeats * size /
+    weight, so each turn is one sum over those that stop and those that do not.
+    """
+    parts = parallelism(totals.sparkSession)
+    order = [F.col("source").asc_nulls_last()]
+    dealt = ws.save(totals.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "dealt")
+    before = dealt.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count"))  # a row a part
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    weight = F.array(*[F.lit(w) for w in weights])
+    known = dealt.join(F.broadcast(before.select("part", "before")), "part").withColumn("weight", F.get(weight, (place % len(weights)).cast("int")))
+    known = ws.save(known.select("source", "source_size", "weight", (repeats * F.col("source_size")).cast("double").alias("most")), "known")
+    total = float(known.agg(F.sum("source_size")).first()[0] or 0)
+    unit, turn = 0.0, 0
     while True:
-        left = total - caps[capped].sum()
-        free = weights[~capped].sum()
-        target = np.where(capped, caps, weights * (left / free) if free else 0.0)
-        over = ~capped & (target > caps)
-        if not over.any():
-            return target
-        capped |= over
+        stopped = F.col("most") <= F.col("weight") * unit if turn else F.lit(False)
+        full, free, n = known.agg(F.sum(F.when(stopped, F.col("most"))), F.sum(F.when(~stopped, F.col("weight"))), F.count_if(stopped)).first()
+        if turn and n == held or not free:
+            break
+        unit, held, turn = (total - (full or 0.0)) / free, n, turn + 1
+    return known.select("source", "source_size", F.least(F.col("most"), F.col("weight") * unit).alias("target"))
 
 
 #: Budgets up to this many words are fitted by the knapsack alone.
@@ -114,16 +127,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", we
     histogram = ws.save(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     weights = tuple(float(w) for w in weights)
 
-    def targets(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = pdf["source"].tolist()
-        rank = sorted(range(len(names)), key=lambda i: (names[i] is None, names[i] or ""))
-        pdf = pdf.iloc[rank].reset_index(drop=True)
-        w = np.array([weights[i % len(weights)] for i in range(len(pdf))])
-        return pdf[["source", "source_size"]].assign(target=fill_targets(pdf["source_size"].to_numpy("float64"), w, repeats))
-
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    # One row a source meets in one group; the documents do not.
-    target = ws.save(totals.groupBy(F.lit(0).alias("g")).applyInPandas(lambda key, pdf: targets(key, pdf), "source string, source_size long, target double"), "target")
+    target = ws.save(fill_targets(totals, weights, repeats, ws), "target")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         size, budget = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
@@ -157,5 +162,22 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {"op9_mix_sources": op9_mix_sources}
-ORACLE_SQL: dict[str, str] = {}
+def targets_of_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op9_mix_sources, which SQL can state."""
+    return op9_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+#: Sources in the order in which they stop: what a unit of weight gets is settled by the
+#: first that does not.
+_SQL = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ([1.0, 2.0, 3.0])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w, CAST(3 * source_size AS DOUBLE) AS most FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY most / w, source) AS k FROM w),
+u AS (SELECT k, most / w AS stop, ((SELECT sum(source_size) FROM s) - coalesce((SELECT sum(most) FROM o b WHERE b.k < a.k), 0)) / (SELECT sum(b.w) FROM o b WHERE b.k >= a.k) AS unit FROM o a),
+unit AS (SELECT coalesce(min_by(unit, k) FILTER (stop >= unit), 1e300) AS unit FROM u)
+SELECT doc_id, size, source_size, round(least(most, w * unit), 4) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, unit
+"""
+
+QUERIES = {"op9_mix_sources": op9_mix_sources, "targets_of_op9": targets_of_op9}
+ORACLE_SQL = {"targets_of_op9": _SQL}
