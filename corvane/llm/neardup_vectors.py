@@ -21,8 +21,8 @@ from corvane.llm.graph import components
 from corvane.llm.vectors import is_sound, matrix, runs, spread_pivots
 
 THRESHOLD = 0.9
-#: Vectors from which pivots are drawn, most pivots, and vectors a cell aims at.
-SAMPLE, PIVOTS, CELL = 4096, 256, 8192
+#: Vectors from which pivots are drawn, least and most pivots, and vectors a cell aims at.
+SAMPLE, FEW, PIVOTS, CELL = 4096, 4, 256, 8192
 #: Vectors that a task holds at once; a larger cell is cut into slices.
 SLICE = 2048
 
@@ -57,7 +57,7 @@ def near_links(spark: SparkSession, vectors: DataFrame, threshold: float = THRES
     for dim, n in sizes.items():
         x = [r[3] for r in sample if r[2] == dim]
         x = _unit(np.array(x, dtype=np.float64)) if x else np.eye(1, dim)
-        pivots[dim] = spread_pivots(x, int(min(PIVOTS, max(1, -(-n // CELL)))), 2 * sine)
+        pivots[dim] = spread_pivots(x, int(min(PIVOTS, max(FEW, -(-n // CELL)))), 2 * sine)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (dim,), rows in runs(batches, 1):
@@ -182,4 +182,12 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_near_vectors": op3_near_vectors}
-ORACLE_SQL: dict[str, str] = {}
+_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding, embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm FROM v WHERE ok),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least ON v.vec_id = least.vec_id LEFT JOIN n ON v.vec_id = n.vec_id
+"""
+ORACLE_SQL = {"op3_near_vectors": _SQL}
