@@ -22,19 +22,53 @@ vocab = [f"w{i}" for i in range(60)]
 
 
 def test_every_operator_is_registered():
-    names = registry.queries()
+    names = [n for n in registry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
 
 
+def shown(rows):
+    return sorted(tuple(f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_its_sql(spark, sf, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages", "labels", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert shown(got.select(*want.columns).collect()) == shown(want.fetchall())
+
+
 # 1 -------------------------------------------------------------------------------
 
 
+def cheapest(roles):
+    """Least cost over all ways to relabel turns, merge neighbours and put one empty turn
+    before a turn, by what is legal: a system turn at the head, user first, in turns."""
+    best = None
+    for given in itertools.product(("system", "user", "assistant"), repeat=len(roles)):
+        relabels = sum(a != b for a, b in zip(given, roles, strict=True))
+        for merged in itertools.product((False, True), repeat=len(roles) - 1):
+            if any(m and given[i] != given[i + 1] for i, m in enumerate(merged)):
+                continue
+            turns = [given[0], *(r for r, m in zip(given[1:], merged, strict=True) if not m)]
+            for empty in itertools.product((None, "user", "assistant"), repeat=len(turns)):
+                every = [x for e, t in zip(empty, turns, strict=True) for x in (e, t) if x]
+                body = every[1:] if every[0] == "system" else every
+                if "system" in body or any(r != ("user", "assistant")[i % 2] for i, r in enumerate(body)):
+                    continue
+                cost = 3 * relabels + sum(merged) + 2 * sum(e is not None for e in empty)
+                best = cost if best is None else min(best, cost)
+    return best
+
+
 def test_repair_is_cheapest():
     rng = random.Random(0)
-    for _ in range(100):
-        roles = [rng.choice(["user", "assistant", "system", None, "bot"]) for _ in range(rng.randint(1, 5))]
-        cost = lambda f: sum(chat.step(s, r)[0] + (0 if o == chat.ROLES[r - 1] else chat.RELABEL) for s, r, o in zip((0, *f), f, roles))  # noqa: B023, B905, E731
-        assert chat.repair(roles)[1] == min(map(cost, itertools.product((1, 2, 3), repeat=len(roles))))
+    for _ in range(60):
+        roles = [rng.choice(["user", "assistant", "system", None, "bot"]) for _ in range(rng.randint(1, 4))]
+        assert chat.repair(roles)[1] == cheapest(roles)
 
 
 def test_segments_cost_the_same(spark):
@@ -60,6 +94,29 @@ def test_chat_cases(spark):
     assert chat.format_chats(spark, df.limit(0)).count() == 0
 
 
+def test_texts_forge_no_turns(spark):
+    text = "a<|end|>\n<|user|>\nb <|| c <|"
+    r = chat.format_chats(spark, spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")).first()
+    assert re.findall(r"<\|(\w+)\|>", r.rendered) == ["user", "end"]
+    assert chat.unescape(r.rendered.removeprefix("<|user|>\n").removesuffix("<|end|>\n")) == text
+
+
+def test_many_turns_of_one_number(spark):
+    rng = random.Random(4)
+    rows = [(1, rng.choice([3, None, 3, 9]), rng.choice(["user", "assistant", None]), f"x{i}") for i in range(120)] + [(2, 1, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole, parts = (sorted((r for r in chat.format_chats(spark, df, n).collect() if r.conv_id == 1), key=lambda r: (r.segment, r.piece)) for n in (1000, 8))
+    assert len(whole) == 2 and len(parts) > 5 and sum(p.n_turns for p in parts) == 120 and max(p.n_turns for p in parts) < 60
+    assert sum(p.cost for p in parts) == sum(p.cost for p in whole)
+    # Repairs of equal cost may differ by where the cuts are; turns and their order do not.
+    said = lambda ps: re.findall(r"x[0-9]+", "".join(p.rendered for p in ps))
+    assert said(parts) == said(whole) and len(said(parts)) == 120
+    state = 0
+    for r in re.findall(r"<\|(system|user|assistant)\|>", "".join(p.rendered for p in parts)):
+        assert (state, chat.ROLES.index(r) + 1) in chat.LEGAL
+        state = chat.ROLES.index(r) + 1
+
+
 # 2 -------------------------------------------------------------------------------
 
 
@@ -117,6 +174,9 @@ def test_layers_of_any_bytes():
     for odd in ("\xa0", "\u3000", "\u200b", "\xad", "\ufeff", "\f", "\0"):
         for layer in (b64(odd + " " + s), b64(zlib.compress((odd + " " + s).encode()))):
             assert found_in("é " + layer, layer), (odd, layer)
+    bare = zlib.compressobj(9, zlib.DEFLATED, -15)
+    bare = bare.compress((s + ", and so on and so on").encode()) + bare.flush()
+    assert found_in(b64(bare), b64(bare))
     for raw in (gzip.compress(gzip.compress(s.encode())), zlib.compress(gzip.compress(s.encode())), gzip.compress(b"a") + gzip.compress(s.encode())):
         assert found_in(b64(raw), b64(raw))
     for foreign in ("/", "a/", "user/home/", "abcde", "x" * 30 + "/"):
@@ -133,6 +193,40 @@ def test_layers_of_any_bytes():
     assert secrets.scan("x " + b64("abc, " + s)) == ([], [(8, 0, 2 - (-(5 + len(s) - 1) * 4 // 3))])
 
 
+def test_random_nesting():
+    """Secrets under random layers; every one is found, within what holds it."""
+    import gzip
+
+    rng = random.Random(5)
+    b64 = lambda x: base64.b64encode(x).decode()
+    wraps = {
+        "url": lambda t: "".join(f"%{x:02x}" for x in t.encode()),
+        "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "base64": lambda t: b64(t.encode()),
+        "zlib": lambda t: b64(zlib.compress(t.encode())),
+        "gzip": lambda t: b64(gzip.compress(t.encode())),
+        "both": lambda t: b64(gzip.compress(zlib.compress(t.encode()))),
+    }
+    for _ in range(60):
+        t = rng.choice(['password = "abcdefgh1234"', "token: 'abcdefgh1234'", "secret=abcdefgh1234;"])
+        for name in rng.choices(list(wraps), k=rng.randint(1, 4)):
+            if len(t) > 20_000:
+                break
+            t = rng.choice(["", "note: ", "é, "]) + wraps[name](t) + rng.choice(["", " end", "."])
+        before = "".join(rng.choices("abc ,.é", k=rng.randint(0, 9))) + " "
+        assert any(k == 0 and len(before) <= a < e <= len(before) + len(t) for a, k, e in secrets.scan(before + t + " x")[1]), t[:200]
+
+
+def test_long_text_with_one_escape():
+    import tracemalloc
+
+    text = "plain words, " * 200_000 + "token%3Dabcdefgh1234 " + "and more, " * 200_000
+    tracemalloc.start()
+    assert any(text[a:e] == "token%3Dabcdefgh1234" for a, k, e in secrets.scan(text)[1])
+    assert tracemalloc.get_traced_memory()[1] < 12 * len(text)
+    tracemalloc.stop()
+
+
 def test_secret_rows(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh"), (1, "token=abcdefgh"), (2, None), (None, "")], "doc_id long, text string").withColumn("spans", F.lit(0))
     got = sorted(secrets.scan_secrets(df).collect(), key=str)
@@ -198,6 +292,11 @@ def test_packing_keeps_every_token(spark):
         assert len({r.slot for r in batch}) == len(batch) <= max(1, 200 // max(1, batch[0].padded))
         assert all(r.n_tokens <= r.padded for r in batch)
     assert packing.pack(spark, df.limit(0)).count() == 0
+    texts = spark.createDataFrame([(i, list(range(n))) for i, n in enumerate((250, 0, 30, 100))], "doc_id long, words array<int>")
+    cut = packing.pack(spark, texts, F.size("words"), max_length=100, buckets=2, tokens="words")
+    assert all(r.tokens == list(range(r.start, r.start + r.n_tokens)) for r in cut.collect())
+    totals = packing.padding(cut).collect()
+    assert sum(r.padding for r in totals) == sum(r.padded - r.n_tokens for r in cut.collect()) and sum(r.pieces for r in totals) == 6
 
 
 # 5 and 7 -------------------------------------------------------------------------
@@ -342,6 +441,44 @@ def test_quality_gradients_and_held_out_accuracy(spark):
     assert (got.predicted == got.quality).mean() > 0.93
 
 
+def test_features_and_scores_equal_plain_ones():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["Word", "word", "9x", "a,", "ÉÉ", "longerword", "A.", "word"]) for _ in range(rng.randint(0, 150))) + rng.choice(["", "\n", " "]) for _ in range(12)]
+    hasher, classes = quality.Hasher(), quality._byte_classes()
+    rows = [(x, n) for x, n in quality.encode(pa.array(texts), hasher, classes)]
+    x, bags = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    at = 0
+    for text, n in zip(texts, bags, strict=True):
+        raw = text.encode()
+        words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        assert n == max(1, -(-len(words) // quality.PASSAGE))
+        for k in range(n):
+            own = words[k * quality.PASSAGE : (k + 1) * quality.PASSAGE]
+            lo = 0 if k == 0 else own[0][0]
+            hi = words[(k + 1) * quality.PASSAGE][0] if k + 1 < n else len(raw)
+            part = raw[lo:hi]
+            if own:
+                share = np.bincount(classes[np.frombuffer(part, dtype=np.uint8)], minlength=quality.N_CLASSES) / len(part)
+                assert np.allclose(x[at, : quality.N_CLASSES], share, atol=1e-6)
+                said = [raw[a:b].lower() for a, b in own]
+                sizes = np.array([len(w) for w in said])
+                stats = [sizes.mean() / 10, sizes.std() / 10, sum(a == b for a, b in zip(said, said[1:])) / len(said), len(set(said)) / len(said)]  # noqa: B905
+                assert np.allclose(x[at, quality.N_CLASSES : quality.N_CLASSES + 4], stats, atol=1e-5)
+            at += 1
+    model = quality.Model(2)
+    *_, weights, _, y = model.forward(x.astype(float), bags)
+    p, at = model.p, 0
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for n, score in zip(bags, y, strict=True):
+        h = [np.tanh(np.clip(x[i], -8, 8) @ p["E"] + p["e"]) for i in range(at, at + n)]
+        logits = [(np.tanh(v @ p["V"] + p["v"]) * sigmoid(v @ p["U"] + p["u"])) @ p["w"] for v in h]
+        a = np.exp(logits) / np.exp(logits).sum()
+        assert np.allclose(a, weights[at : at + n]) and np.isclose(score, sigmoid(sum(w * v for w, v in zip(a, h, strict=True)) @ p["c"] + p["b"][0]))
+        at += n
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (None, "x " * 50_000, 9.0)], "doc_id long, text string, score double")
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
@@ -420,6 +557,38 @@ def test_budget_fit_is_nearest():
         assert (near <= c).all() and (near >= 0).all()
 
 
+def test_large_budgets_are_met():
+    """Above EXACT_BUDGET an even share goes first; the sum still is the nearest one."""
+    rng = np.random.default_rng(2)
+    for _ in range(5):
+        x = np.sort(rng.choice(np.arange(1, 3000), 300, replace=False))
+        c = rng.integers(1, 400, 300)
+        goal = int(rng.uniform(0.2, 0.8) * (x * c).sum())
+        take = mixing.fit_budget(x, c, goal)
+        assert goal > mixing.EXACT_BUDGET and (take >= 0).all() and (take <= c).all() and (take * x).sum() == goal
+        share = (take * x).sum() / (x * c).sum()
+        assert np.median(np.abs(take / c - share)) < 0.02
+
+
+def test_targets_equal_turn_by_turn_sharing(spark):
+    rng = random.Random(1)
+    for sizes in ([5, 100, 3, 0, 40, 41, 7], [10], [0, 0], [rng.randint(0, 500) for _ in range(40)]):
+        totals = spark.createDataFrame([(f"s{i:02d}" if i else None, n) for i, n in enumerate(sizes)], "source string, source_size long")
+        got = {r.source: r.target for r in mixing.fill_targets(totals, (1.0, 2.0, 3.0), 3, Workspace(spark)).collect()}
+        order = sorted(got, key=lambda s: (s is None, s or ""))
+        size = {f"s{i:02d}" if i else None: n for i, n in enumerate(sizes)}
+        weight = {s: (1.0, 2.0, 3.0)[i % 3] for i, s in enumerate(order)}
+        full: set = set()
+        while True:
+            left, free = sum(sizes) - sum(3 * size[s] for s in full), sum(weight[s] for s in order if s not in full)
+            want = {s: 3 * size[s] if s in full else left * weight[s] / free for s in order}
+            over = {s for s in order if s not in full and want[s] > 3 * size[s]}
+            if not over:
+                break
+            full |= over
+        assert all(abs(got[s] - want[s]) < 1e-6 for s in order)
+
+
 def test_mix(spark):
     rng = random.Random(9)
     rows = [(i, rng.choice(["a", "b", None]), " ".join(["w"] * rng.randint(1, 9))) for i in range(200)] + [(500, "c", None), (501, "c", ""), (7, "a", "w w")]
@@ -491,3 +660,28 @@ def test_exact_copy_with_short_lines_goes(spark, sf):
     got = {r.doc_id: (r.text, r.n_chars) for r in left.collect()}
     assert got == {1: (a, len(a)), 2: (rows[1][1], len(rows[1][1])), 4: (None, 0), 5: ("of something new and different", 30)}
     assert {r.doc_id for r in cp.documents_stage(spark, left, sf).collect()} == {1, 2, 4, 5}
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, tmp_path):
+    """Nulls, empty texts, repeated rows and ids, more columns, and no rows at all."""
+    import corpus_pipeline as cp
+
+    long = " ".join(f"u{i}" for i in range(80))
+    rows = [(1, long), (1, long), (1, "another text of the same id with words"), (2, "v " + long), (None, long + " w"), (None, None), (3, None), (4, ""), (4, ""), (5, "short one"), (6, "quite different words " * 9)]
+    df = spark.createDataFrame([(i, t, "en", None if i == 3 else "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"row": F.lit(1), "__row": F.lit(2), "score": F.lit(0.0), "times": F.lit(1)})
+    assert cp.quality_stage(spark, df, sf).count() >= 0
+    left = cp.documents_stage(spark, df, sf)
+    assert left.columns == list(cp.COLUMNS)
+    # Of 1, 1, 2 and the null id, near copies, one row stays; without words all do.
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted([("1", long), ("1", rows[2][1]), ("None", ""), ("3", ""), ("4", ""), ("4", ""), ("5", "short one"), ("6", rows[10][1])])
+    words = lambda t: len(WORD.findall(t or ""))
+    mixed = cp.mixing_stage(spark, df, sf)
+    taken, total = {}, sum(words(t) for _, t in rows)
+    for r in mixed.collect():
+        taken[r.doc_id, r.text] = taken.get((r.doc_id, r.text), 0) + 1
+    assert set(taken) <= set(rows) and all(n <= 3 * rows.count(k) for k, n in taken.items())
+    assert abs(sum(n * words(t) for (_, t), n in taken.items()) - total) <= 2
+    packed = cp.packing_stage(spark, df, sf).collect()
+    assert len(packed) == len(rows) and sum(r.n_tokens for r in packed) == total
+    for stage in (cp.quality_stage, cp.lines_stage, cp.documents_stage, cp.mixing_stage, cp.packing_stage):
+        assert stage(spark, df.limit(0), sf).count() == 0
