@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Workspace, table, word_count
-from corvane.llm.lines import EVERY, dedup_lines
+from corvane.llm.lines import dedup_lines
 from corvane.llm.mixing import mix_sources
 from corvane.llm.neardup_docs import ngram_links
 from corvane.llm.packing import pack
@@ -33,37 +33,42 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones. A document that loses its last
     words by that goes; one that had none from the start stays."""
-    out = dedup_lines(spark, _documents(docs), least=EVERY)
+    out = dedup_lines(spark, _documents(docs))
     left = out.filter((F.col("n_removed") == 0) | (word_count("text") > 0))
     changed = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return _documents(left.withColumn("n_chars", changed))
 
 
 def documents_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: the one with the least id. Rows that
-    repeat an id count as copies where the texts link; else all stay."""
+    """One document of each group of near-copies: the one with the least id. Of rows that
+    share this id the one with the least hash stays, of equal rows one. Documents without
+    words are no copies of one another."""
     docs = _documents(docs)
     ws = Workspace(spark)
-    links = ws.save(ngram_links(spark, docs).select("doc_id", "kept"), "links")
-    repeated = ws.save(links.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    gone = links.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    once = left.join(repeated, "doc_id", "left_anti")
-    twice = left.join(repeated, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return _documents(once).unionByName(twice)
+    links = ws.save(ngram_links(spark, docs).select("doc_id", "row", "component"), "links")
+    grouped = links.filter("component IS NOT NULL")
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    gone = ws.save(grouped.join(first, "component").filter("row != first.row").select("row").distinct(), "gone")
+    twice = ws.save(grouped.groupBy("row").count().filter("count > 1").select("row"), "twice")
+    ws.keep("gone", "twice")
+    keyed = docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    left = keyed.join(gone.hint("shuffle_hash"), "row", "left_anti")
+    if not twice.limit(1).collect():
+        return _documents(left)
+    once = left.join(twice, "row", "left_anti")
+    return _documents(once).unionByName(_documents(left.join(twice, "row", "left_semi").dropDuplicates(["row"])))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    docs = _documents(docs)
+    """Documents as often as the mix takes them. Equal rows count together."""
     ws = Workspace(spark)
-    mix = mix_sources(spark, docs).filter("taken > 0").select("doc_id", "size", F.col("source").alias("own"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    # Rows that repeat an id, a source and a length share the times of all of them.
-    mix = ws.save(mix.groupBy("doc_id", "own", "size").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows")), "times")
-    keyed = docs.withColumns({"__size": word_count("text")})
-    on = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.own")) & (F.col("d.__size") == F.col("m.size"))
-    taken = keyed.alias("d").join(mix.alias("m"), on).withColumn("__times", F.ceil(F.col("m.times") / F.col("m.rows")).cast("int"))
-    return taken.select(*[F.col(f"d.{c}") for c in COLUMNS], F.explode(F.sequence(F.lit(1), "__times")).alias("__copy")).select(*COLUMNS)
+    docs = _documents(docs).withColumn("row", F.xxhash64(*COLUMNS))
+    mix = mix_sources(spark, docs, id_col="row").select(F.col("doc_id").alias("row"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).cast("int").alias("times"))
+    mix = ws.save(mix.filter("times > 0").groupBy("row").agg(F.sum("times").cast("int").alias("times"), F.count(F.lit(1)).alias("n")), "times")
+    taken = docs.join(mix.hint("shuffle_hash"), "row")
+    if mix.filter("n > 1").limit(1).collect():
+        taken = taken.filter("n = 1").unionByName(taken.filter("n > 1").dropDuplicates(["row"]))
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times")).alias("__copy")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
