@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import corpus, counts, features, metrics, models, resample
-from corvane.plans.common import any_term, load, rounded, screened
+from corvane.plans.common import any_term, classify_sql, load, rounded, screened
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -104,7 +105,7 @@ def multilabel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.multi_label(_tagged(spark, sf_dir), "gold", "pred"), "subset_accuracy", "micro_f1", "macro_f1", "samples_f1", "samples_jaccard", "hamming_loss")
 
 
-@query(f"WITH {_TAGGED}, l AS ({_multi_label_sql('g')}) SELECT label, support, predicted, round(tp / predicted, 6) AS precision, round(tp / support, 6) AS recall, round(2 * tp / (support + predicted), 6) AS f1 FROM l")
+@query(f"WITH {_TAGGED}, l AS ({_multi_label_sql('g')}) SELECT label, support, predicted, round(CASE WHEN predicted = 0 THEN 0 ELSE tp / predicted END, 6) AS precision, round(CASE WHEN support = 0 THEN 0 ELSE tp / support END, 6) AS recall, round(2 * tp / (support + predicted), 6) AS f1 FROM l")
 def per_label_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.per_label_multi(_tagged(spark, sf_dir), "gold", "pred").drop("tp"), "precision", "recall", "f1")
 
@@ -235,7 +236,8 @@ def tfidf_char_wb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _term_sums(features.tfidf_rows(docs, "doc_id", features.char_ngrams("text", 3, 4)))
 
 
-@query("SELECT 'screening' AS task, count(*) AS n, 1.0 AS accuracy, 1.0 AS macro_f1 FROM documents")
+@query(f"""WITH {classify_sql()}, r AS (SELECT x.screening_status AS a, y.screening_status AS b FROM screened x JOIN screened y ON x.doc_id = y.doc_id), {_label_sql('r')}
+SELECT 'screening' AS task, CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1 FROM f""")
 def rule_reproduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classifier run again on its own output scores one."""
     one = screened(spark, sf_dir).select("doc_id", F.col("screening_status").alias("gold"))
@@ -251,17 +253,18 @@ _WORDS, _CHARS = (lambda: features.word_ngrams("text", 1, 3), 120_000), (lambda:
 _PAIRS = (lambda: features.word_ngrams("text", 1, 2, strip_accents=True), (1 << 31) - 1)
 
 
-def _vectors(spark: SparkSession, sf_dir: str, *kinds: tuple) -> tuple[DataFrame, DataFrame]:
-    """Labelled documents with TF-IDF vectors: three quarters to learn, the rest to test.
-    Vectors of several kinds of terms stand one after another."""
+def _vectors(spark: SparkSession, sf_dir: str, *kinds: tuple) -> tuple[DataFrame, DataFrame, int]:
+    """Labelled documents with TF-IDF features, three quarters to learn and the rest to
+    test, and the number of features; those of several kinds stand one after another."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(load(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
     docs = docs.withColumns({"quality": F.col("quality").cast("string"), "tags": F.filter(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"), F.col("lang")), lambda x: x.isNotNull())})
-    docs = docs.withColumn("learn", F.crc32(F.col("doc_id").cast("string")) % 4 != 0).cache()
-    out, names = docs, [f"features{i}" for i in range(len(kinds))]
+    docs = docs.withColumn("learn", F.crc32(F.col("doc_id").cast("string")) % 4 != 0)
+    out, names, size = docs, [f"features{i}" for i in range(len(kinds))], 0
     for (terms, most), name in zip(kinds, names, strict=True):
-        out = features.TfIdf(terms(), most, name).fit(docs.filter("learn")).transform(out).cache()
-    out = features.joined_vectors(out, names, "features").drop("text", *names)
-    return out.filter("learn"), out.filter("NOT learn")
+        found = features.TfIdf(terms(), most, name, first=size).fit(docs.filter("learn"))
+        out, size = found.transform(out), size + found.size
+    out = features.joined(out, names, "features").drop("text", *names).persist(StorageLevel.MEMORY_AND_DISK)
+    return out.filter("learn"), out.filter("NOT learn"), size
 
 
 def _scores(df: DataFrame, label: str) -> DataFrame:
@@ -270,30 +273,31 @@ def _scores(df: DataFrame, label: str) -> DataFrame:
 
 @query()
 def logreg_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _vectors(spark, sf_dir, _PAIRS)
-    return _scores(models.logistic_regression(train, test, "features", "lang"), "lang")
+    train, test, size = _vectors(spark, sf_dir, _PAIRS)
+    return _scores(models.logistic_regression(train, test, "features", "quality", size), "quality")
 
 
 @query()
 def svc_ovr_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _vectors(spark, sf_dir, _CHARS)
-    return _scores(models.linear_svc(train, test, "features", "lang"), "lang")
+    train, test, size = _vectors(spark, sf_dir, _CHARS)
+    return _scores(models.linear_svc(train, test, "features", "quality", size), "quality")
 
 
 @query()
 def svc_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _vectors(spark, sf_dir, _WORDS, _CHARS)
-    return _scores(models.calibrated_svc(train, test, "features", "quality", "doc_id"), "quality")
+    train, test, size = _vectors(spark, sf_dir, _WORDS, _CHARS)
+    return _scores(models.calibrated_svc(train, test, "features", "quality", "doc_id", size), "quality")
 
 
 @query()
 def multilabel_ovr_svc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _vectors(spark, sf_dir, _WORDS, _CHARS)
-    out = models.multi_label_svc(train, test, "features", "tags")
+    train, test, size = _vectors(spark, sf_dir, _WORDS, _CHARS)
+    out = models.multi_label_svc(train, test, "features", "tags", size)
     return rounded(metrics.multi_label(out, "tags", "predicted_labels"), "subset_accuracy", "micro_f1", "macro_f1", "samples_f1", "samples_jaccard", "hamming_loss")
 
 
 @query()
 def embedding_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), features.unit_embedding("embedding").alias("features"))
-    return _scores(models.logistic_regression(rows.filter("vec_id % 4 <> 0"), rows.filter("vec_id % 4 = 0"), "features", "label"), "label")
+    size = rows.agg(F.max(F.size("features.indices"))).first()[0] or 0
+    return _scores(models.logistic_regression(rows.filter("vec_id % 4 <> 0"), rows.filter("vec_id % 4 = 0"), "features", "label", size), "label")
