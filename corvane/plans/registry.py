@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import corpus_queries, metric_queries, text_queries
+from corvane.plans import corpus_queries, label_queries, metric_queries, text_queries
 
-MODULES = (text_queries, corpus_queries, metric_queries)
+MODULES = (text_queries, corpus_queries, metric_queries, label_queries)
 
 
 def queries() -> dict:
