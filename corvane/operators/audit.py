@@ -77,11 +77,13 @@ def _all(cs: list[Column]) -> Column:
 CHECKS = ("missing_raw", "missing_manifest", "rule_mismatches", "blank_required", "include_not_relevant", "exclude_relevant", "include_without_evidence", "evidence_not_in_source", "date_outside_window")
 
 
-def roll_up(df: DataFrame, at: Layout) -> DataFrame:
-    """One row: rows, the count of every check, blocking_errors and verdict."""
+def roll_up(df: DataFrame, at: Layout, keys: DataFrame | None = None) -> DataFrame:
+    """One row: rows, the count of every check, blocking_errors and verdict. `keys` is
+    the table's id and key, if these are known before the joins that df holds: repeats
+    are then counted without them."""
     flagged = flags(df, at)
     sums = flagged.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in CHECKS])
-    repeated = lambda k, name: df.groupBy(k).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias(name))
+    repeated = lambda k, name: (df if keys is None else keys).groupBy(k).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias(name))
     out = sums.crossJoin(repeated(at.id, "duplicate_ids")).crossJoin(repeated(at.key, "duplicate_keys"))  # one row each
     blocking = sum((F.col(c) for c in BLOCKING[1:]), F.col(BLOCKING[0]))
     return out.withColumn("blocking_errors", blocking).withColumn("verdict", F.when(F.col("blocking_errors") == 0, F.lit("PASS_WITH_CAVEATS")).otherwise(F.lit("FAIL")))

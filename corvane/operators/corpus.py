@@ -37,18 +37,22 @@ def _pick(df: DataFrame, key: str, by, order: list[str], sets: dict[str, str] |
     return out.select(key, *[F.col(f"__row.{c}").alias(c) for c in kept], *(sets or {}))
 
 
-def ranked_ids(df: DataFrame, order: list[Column], prefix: str, digits: int, name: str) -> DataFrame:
-    """df with ids prefix + rank from 1 by `order`, zero-padded.
-
-    Ranks need a total order but no single task: rows are range-partitioned and sorted,
-    and each partition's ranks start after the counts of those before it.
-    """
+def ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its rank from 1 by `order`. Ranks need a total order but no single task:
+    rows are range-partitioned and sorted, and each partition's ranks start after the
+    counts of those before it."""
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    w = Window.partitionBy("__p").orderBy(*order)
-    sizes = ordered.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))  # a row a partition
-    return ordered.withColumn("__r", F.row_number().over(w)).join(F.broadcast(before), "__p").withColumn(name, F.format_string(f"{prefix}%0{digits}d", F.col("__r") + F.col("__b"))).drop("__p", "__r", "__b")
+    ordered = df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before_part"))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    out = ordered.withColumn("__place", place).join(F.broadcast(before), "__part")
+    return out.withColumn(name, (F.col("__place") + F.col("__before_part")).cast("long")).drop("__part", "__place", "__before_part")
+
+
+def ranked_ids(df: DataFrame, order: list[Column], prefix: str, digits: int, name: str) -> DataFrame:
+    """df with ids prefix + rank from 1 by `order`, zero-padded."""
+    return ranks(df, order, name).withColumn(name, F.format_string(f"{prefix}%0{digits}d", F.col(name)))
 
 
 def quota_sample(df: DataFrame, key: str, groups: str, quotas: list[tuple[str, int]], size: int, seed: int) -> DataFrame:

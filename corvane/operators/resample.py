@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.corpus import ranks
 from corvane.operators.metrics import single_label
 
 
@@ -25,8 +26,10 @@ def draws(df: DataFrame, order: str, replicates: int, seed: int, by: list[str] =
     given by `order`, which must be unique in the group. Every group is replicated in
     full, so this is for tables of labels of moderate size; resample_counts() is the
     form for large ones."""
-    key = [F.col(c) for c in by]
-    placed = df.withColumns({"__at": F.row_number().over(Window.partitionBy(*(key or [F.lit(0)])).orderBy(order)).cast("long") - 1})
+    if by:
+        placed = df.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long") - 1)
+    else:
+        placed = ranks(df, [F.col(order)], "__at").withColumn("__at", F.col("__at") - 1)
     sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")) if by else placed.agg(F.count(F.lit(1)).alias("__n"))
     picks = (
         sizes.filter("__n > 0").select(*by, "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))

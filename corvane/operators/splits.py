@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.corpus import MissingRows, seeded
+from corvane.operators.corpus import MissingRows, ranks, seeded
 
 SPLITS = ("train", "dev", "test")
 TRAIN, DEV = 0.7, 0.15
@@ -20,17 +20,18 @@ def targets(n: int) -> dict[str, int]:
 
 def hash_split(df: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
     """df with split: in each stratum the rows in seeded order are cut at the targets.
-    Declarative, for rows whose groups are single rows."""
-    w = Window.partitionBy(stratum)
-    place = F.row_number().over(w.orderBy(seeded(key, seed), key))
-    n = F.count(F.lit(1)).over(w)
-    out = df.withColumns({"__r": place, "__n": n})
+    Declarative, for rows whose groups are single rows. Ranks over all rows, less those
+    of the strata before, so no task holds a stratum."""
+    ranked = ranks(df.withColumn("__h", seeded(key, seed)), [F.col(stratum), F.col("__h"), F.col(key)], "__r")
+    sizes = df.groupBy(F.col(stratum).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__s")) - F.col("__n"))  # a row a stratum
+    out = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("__s"))).withColumn("__r", F.col("__r") - F.col("__before")).drop("__s", "__before", "__h")
     train, dev = F.rint(F.col("__n") * TRAIN), F.rint(F.col("__n") * DEV)
     return out.withColumn("split", F.when(F.col("__r") <= train, "train").when(F.col("__r") <= train + dev, "dev").otherwise("test")).drop("__r", "__n")
 
 
 def group_split(df: DataFrame, group: str, stratum: str, seed: int) -> DataFrame:
-    """df with split: groups stay whole and strata keep their shares.
+    """df with split (replaced, if there): groups stay whole and strata keep their shares.
 
     A group belongs to the stratum of its least row, so that it cannot straddle splits
     even if its rows differ in stratum. Groups of a stratum are dealt in seeded order to
@@ -56,7 +57,7 @@ def group_split(df: DataFrame, group: str, stratum: str, seed: int) -> DataFrame
         return pd.DataFrame({group: pdf[group], "split": out})
 
     placed = sizes.groupBy("__s").applyInPandas(deal, schema)
-    a, b = df.alias("a"), placed.alias("b")
+    a, b = df.drop("split").alias("a"), placed.alias("b")
     return a.join(b, F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}"))).select("a.*", "b.split")
 
 

@@ -119,7 +119,8 @@ def audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date": F.concat((2008 + F.col("doc_id") % 20).cast("string"), F.lit("-05")), "key": F.concat(F.lit("k"), F.floor(F.col("doc_id") / 2).cast("string")),
     })
     at = audit.Layout(id="doc_id", primary="stored", evidence=("ground_evidence", "passage"), required=("src", "lang"), rules={"stored": "primary_event_type"})
-    return audit.roll_up(rows, at)
+    keys = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("k"), F.floor(F.col("doc_id") / 2).cast("string")).alias("key"))
+    return audit.roll_up(rows, at, keys)
 
 
 @query("SELECT doc_id, 'CAND_' || lpad(CAST(row_number() OVER (ORDER BY doc_id DESC) AS VARCHAR), 6, '0') AS candidate_id FROM documents")
