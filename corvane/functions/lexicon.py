@@ -41,7 +41,6 @@ class Lexicon:
     cabin: tuple[str, ...]
     allowed: dict[str, tuple[str, ...]] = field(default_factory=dict)
     guards: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = ()
-    fallback_evidence: tuple[str, ...] = ()
 
 
 # Label names, their priority and groups, and which labels may follow which.

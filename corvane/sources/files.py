@@ -60,12 +60,17 @@ def append_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records of JSON array files, with file (name), file_ord (place of the path) and
-    pos (place in the file)."""
-    df = spark.read.option("multiLine", True).schema(RECORD).json(paths)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    df = df.withColumns({"file": name, "pos": F.monotonically_increasing_id()})
-    order = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p.rstrip("/").rsplit("/", 1)[-1]), F.lit(i))])
-    return df.withColumn("file_ord", F.element_at(order, F.col("file"))).filter("acn IS NOT NULL")
+    pos (place in the file). Each path is a plan of its own, so paths may share names; a
+    file is one split, whose rows are numbered as they stand."""
+    out = None
+    for i, path in enumerate(paths):
+        df = spark.read.option("multiLine", True).schema(RECORD).json(path)
+        name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+        df = df.withColumns({"file": name, "pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), "file_ord": F.lit(i)})
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        out = spark.createDataFrame([], RECORD).withColumns({"file": F.lit(""), "pos": F.lit(0).cast("long"), "file_ord": F.lit(0)})
+    return out.filter("acn IS NOT NULL")
 
 
 def write_json_config(spark: SparkSession, config: dict, path: str) -> None:

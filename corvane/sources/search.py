@@ -17,14 +17,28 @@ from corvane.operators.corpus import ranked_ids
 from corvane.sources.files import RECORD
 
 BATCH = 300
-#: Empty attribute slots of a search request.
-SLOTS = 44
+# The search request, in the interface's form; `text` is the query.
+REQUEST = {
+    "narrative": True,
+    "synopsis": True,
+    "callback": True,
+    "searchRelatedWords": False,
+    "fullformOnly": True,
+    "abbreviatedOnly": False,
+    "generalAviation": False,
+    "uas": False,
+    "eavs": [[] for _ in range(44)],
+    "acns": "",
+    "text": "",
+    "locations": [],
+    "stateProvinces": [],
+    "makeModels": [],
+}
 
 
 def payload(text: str) -> dict:
     """The search request for a query text: narratives and synopses, full forms only."""
-    flags = {"narrative": True, "synopsis": True, "callback": True, "searchRelatedWords": False, "fullformOnly": True, "abbreviatedOnly": False, "generalAviation": False, "uas": False}
-    return flags | {"eavs": [[] for _ in range(SLOTS)], "acns": "", "text": text, "locations": [], "stateProvinces": [], "makeModels": []}
+    return {**REQUEST, "text": text}
 
 
 def search(post: Callable[[dict], object], text: str) -> list[int]:
