@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import audit, corpus, counts, features, metrics, models, resample, splits
+from corvane.operators import audit, corpus, counts, features, labels, metrics, models, resample, splits
 from corvane.sources import files, report, search
 from corvane.streaming import resume
 
@@ -88,19 +88,114 @@ def test_features_and_models(spark):
     df = spark.createDataFrame([(i, "good text here number" if i % 2 else "bad words there count", "x" if i % 2 else "y") for i in range(40)], "id long, t string, y string")
     assert df.limit(1).select(features.char_ngrams(F.lit("ab c"), 3, 4)).first()[0] == [" ab", "ab ", " ab ", " c "]
     assert df.limit(1).select(features.word_ngrams(F.lit("Aa bb c dd"), 1, 2)).first()[0] == ["aa", "bb", "dd", "aa bb", "bb dd"]
-    vectors = features.TfIdf(features.word_ngrams("t", 1, 2), 100, "f", max_df=0.9).fit(df).transform(df).coalesce(1).cache()
+    assert df.limit(1).select(features.word_ngrams(F.lit("Éa ﬁx Straße łó"), 1, 1, strip_accents=True)).first()[0] == ["ea", "fix", "straße", "ło"]
+    found = features.TfIdf(features.word_ngrams("t", 1, 2), 100, "f", max_df=0.9).fit(df)
+    vectors = found.transform(df).coalesce(1).cache()
     for predict in (models.logistic_regression, models.linear_svc):
-        out = predict(vectors, vectors, "f", "y", iterations=5)
+        out = predict(vectors, vectors, "f", "y", found.size)
         assert out.filter("predicted = y").count() == 40
-    cal = models.calibrated_svc(vectors, vectors, "f", "y", "id", folds=2, iterations=5)
+    cal = models.calibrated_svc(vectors, vectors, "f", "y", "id", found.size, folds=2)
     assert cal.filter("predicted = y").count() == 40 and cal.filter("confidence < 0.5").count() == 0
     tags = vectors.withColumn("tags", F.array("y"))
-    assert models.multi_label_svc(tags, tags, "f", "tags", iterations=5).filter("predicted_labels = tags").count() == 40
+    assert models.multi_label_svc(tags, tags, "f", "tags", found.size).filter("predicted_labels = tags").count() == 40
+    both = features.joined(vectors.withColumn("g", F.col("f")), ["f", "g"], "h").first()
+    assert both.h["values"] == both.f["values"] * 2
     assert models.majority_label(df, "y") == "x"
     with pytest.raises(models.NeuralBackendMissing):
         models.fine_tuned(df, df, "t", "y", "m")
 
 
+@pytest.mark.parametrize("loss", ["squared_hinge", "logistic"])
+def test_linear_weights_are_optimal(spark, loss):
+    """The gradient of the stated objective, computed here without the library, is 0 at
+    the weights, and no step from them is better."""
+    import numpy as np
+
+    from corvane.operators import linear
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 4)) * (rng.random((50, 4)) < 0.6)
+    label = np.array(["a", "b", "c"])[np.argmax(x @ rng.normal(size=(4, 3)) + rng.normal(size=(50, 3)) * 0.3, axis=1)]
+    rows = [(i, [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r != 0]], str(y)) for i, (r, y) in enumerate(zip(x, label, strict=True))]
+    df = spark.createDataFrame(rows, "id long, i array<int>, v array<double>, y string").select("id", "y", F.struct(F.col("i").alias("indices"), F.col("v").alias("values")).alias("f"))
+    names = models.Labels(df, "y")
+    w = models.one_vs_rest(df, names, "f", 4, loss, 1.0, 200)
+    design = np.hstack([x, np.ones((50, 1))])
+    for k, name in enumerate(names.names):
+        y = np.where(label == name, 1.0, -1.0)
+        u = np.where(label == name, 50 / (3 * (label == name).sum()), 1.0)
+
+        def value(v):
+            m = y * (design @ v)  # noqa: B023
+            return v @ v / 2 + (u * (np.maximum(0, 1 - m) ** 2 if loss == "squared_hinge" else np.log1p(np.exp(-m)))).sum()  # noqa: B023
+
+        best = value(w[:, k])
+        assert all(value(w[:, k] + 0.02 * rng.normal(size=5)) > best - 1e-4 for _ in range(50))
+        numeric = [(value(w[:, k] + 1e-5 * e) - value(w[:, k] - 1e-5 * e)) / 2e-5 for e in np.eye(5)]
+        assert np.abs(numeric).max() < 0.1
+    got = {r.id: r.predicted for r in models._classified(df, df, "f", "y", 4, loss, 1.0, 200).collect()}
+    assert [got[i] for i in range(50)] == [names.names[j] for j in np.argmax(design @ w, axis=1)]
+
+
+def test_label_tables(spark):
+    manifest = spark.createDataFrame([("C1", "K1", "1", "Q1", "n1"), ("C2", "K2", "2", "Q1", "n2"), ("C3", "K3", "3", "Q1", "n3")], "corpus_id string, candidate_id string, acn string, query_id string, expanded_selection_note string")
+    records = spark.createDataFrame([("2", "Fuel truck blocked the stand.", "Fuel truck blocked the stand.")], "acn string, synopsis string, all_text string")
+    seeds = spark.createDataFrame([("1", "include_ground_cabin_event", None)], "acn string, silver_screening_status string, notes string")
+    out = labels.label_rows(manifest, seeds, records, "me", "2026-01-01", "open", "made")
+    assert out.columns == [*labels.SILVER_COLUMNS, *labels.VERIFIED_COLUMNS, *labels.EXPANDED_COLUMNS]
+    got = {r.acn: r for r in out.collect()}
+    assert (got["1"].corpus_id, got["1"].notes, got["1"].expanded_label_provenance, got["1"].expanded_selection_note) == ("C1", "", "preserved_seed_label", "n1")
+    assert got["2"].silver_screening_status == "include_ground_cabin_event" and got["2"].labeler == "me"
+    assert (got["3"].silver_screening_status, got["3"].silver_primary_event_type, got["3"].reason_for_exclusion) == ("uncertain_needs_review", "not_relevant", "raw_record_not_found")
+    assert {r.acn for r in labels.relevant_rows(out).collect()} == {"2"}
+    rows = spark.createDataFrame([("train", "C1", "1", ["b", "a"], ["a", "b"]), ("dev", "C2", "2", [], ["a"])], "split string, corpus_id string, acn string, gold array<string>, predicted array<string>")
+    assert [(r.gold_labels, r.predicted_labels, r.exact_match) for r in labels.multi_predictions(rows, "t", "m").collect()] == [("a;b", "a;b", "true"), ("", "a", "false")]
+
+
+CLIENT = '''
+class Client:
+    """A search client of two records."""
+
+    def post(self, request):
+        assert request["text"] and request["fullformOnly"]
+        return [{"acn": 1}, {"acn": 2}]
+
+    def fetch(self, acns):
+        return [{"acn": a, "dateOfOccurrence": f"20{10 + a}-05", "synopsis": "s", "people": []} for a in acns]
+'''
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from corvane import cli
+
+    (tmp_path / "client_of_test.py").write_text(CLIENT)
+    monkeypatch.syspath_prepend(tmp_path)
+    spark.sparkContext.addPyFile(str(tmp_path / "client_of_test.py"))  # a client runs on executors
+
+    records = [{"acn": 1, "synopsis": "Fuel truck blocked the stand.", "people": []}, {"acn": 1, "synopsis": "Company memo.", "people": [{"9107": "n"}]}]
+    for i, folder in enumerate(("a", "b")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "records.json").write_text(json.dumps(records[i:]))
+    paths = [str(tmp_path / f / "records.json") for f in ("a", "b")]
+    assert [(r.acn, r.file_ord, r.pos) for r in files.read_records(spark, paths).collect()] == [("1", 0, 0), ("1", 0, 1), ("1", 1, 0)]
+    (tmp_path / "m.csv").write_text("corpus_id,candidate_id,acn,query_id,expanded_selection_note\nC1,K1,1,Q1;Q2,n\nC2,K2,2,Q1,n\n")
+    base = ["--manifest", str(tmp_path / "m.csv"), "--records", *paths, "--out"]
+    got = {r.acn: r for r in cli.main(["screen", *base, str(tmp_path / "s")], spark)["screening"].collect()}
+    assert got["1"].primary_event_type == "dispatch_or_coordination" and got["2"].exclusion_reason == "raw_record_not_found"
+    assert {r.query_id: r.n for r in files.read_csv(spark, str(tmp_path / "s" / "query_counts")).collect()} == {"Q1": "2", "Q2": "1"}
+    assert "## status_counts" in json.loads((tmp_path / "s" / "summary.json").read_text())["summary"]
+    assert cli.main(["label", *base, str(tmp_path / "l")], spark)["labels"].count() == 2
+    (tmp_path / "p.csv").write_text("task,model,split,corpus_id,acn,gold_label,predicted_label\nt,m,test,1,1,a,a\nt,m,test,2,2,a,b\n")
+    assert cli.main(["score", "--predictions", str(tmp_path / "p.csv"), "--out", str(tmp_path / "r")], spark)["metrics"].first().accuracy == 0.5
+    assert cli.main(["split", "--rows", str(tmp_path / "p.csv"), "--group", "acn", "--stratum", "gold_label", "--out", str(tmp_path / "x")], spark)["leaks"].count() == 0
+    client = ["--client", "client_of_test:Client", "--out"]
+    assert cli.main(["collect", *client, str(tmp_path / "c"), "--query-id", "Q1", "--text", "gate", "--last-year", "2011"], spark)["manifest"].count() == 1
+    assert cli.main(["counts", *client, str(tmp_path / "q"), "--queries", '{"Q1": "gate"}'], spark)["query_counts"].first().result_count == 2
+    assert cli.main(["run", "distinct_counts", "--data", "/root/testdata/sf0.001", "--out", str(tmp_path / "d")], spark)["distinct_counts"].count() == 1
+    cli.main(["list"])
+    assert "distinct_counts" in capsys.readouterr().out
+
+
 def test_external_scorer_and_retry(spark):
     class Busy(Exception):
         status = 503
@@ -164,14 +259,14 @@ def test_streaming_scores_each_key_once(spark, tmp_path):
 
 
 def test_model_queries_have_the_reference_settings(spark, sf, monkeypatch):
-    from pyspark.ml.functions import array_to_vector
-
     from corvane.plans import metric_queries as q
 
     asked = []
 
     class Recorded:
-        def __init__(self, terms, most, out):
+        size = 2
+
+        def __init__(self, terms, most, out, first=0):
             asked.append(most)
             self.out = out
 
@@ -179,7 +274,7 @@ def test_model_queries_have_the_reference_settings(spark, sf, monkeypatch):
             return self
 
         def transform(self, df):
-            return df.withColumn(self.out, array_to_vector(F.array(F.lit(1.0), F.lit(2.0))))
+            return df.withColumn(self.out, F.struct(F.array(F.lit(0), F.lit(1)).alias("indices"), F.array(F.lit(1.0), F.lit(2.0)).alias("values")))
 
     def grams(kind):
         def run(text, low, high, strip_accents=False):
@@ -189,7 +284,7 @@ def test_model_queries_have_the_reference_settings(spark, sf, monkeypatch):
         return run
 
     def model(train, test, *args, **given):
-        asked.append((train.select("features").first()[0].size, given))
+        asked.append((args[-1], given))
         return test.withColumns({"predicted": F.lit("a"), "predicted_labels": F.array(F.lit("a"))})
 
     monkeypatch.setattr(q.features, "TfIdf", Recorded)

@@ -8,8 +8,6 @@ import pytest
 
 from corvane.plans import registry
 
-SLOW = {"svc_ovr_tfidf", "svc_calibrated", "multilabel_ovr_svc", "tfidf_word"}
-
 
 def rows(frame):
     columns = sorted(frame.columns)
@@ -17,7 +15,7 @@ def rows(frame):
     return columns, sorted(tuple(show(v) for v in r) for r in frame[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, sf, name):
     got = registry.queries()[name](spark, sf).toPandas()
     sql = registry.oracle_sql().get(name)
