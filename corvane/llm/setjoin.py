@@ -381,12 +381,15 @@ def meet_lists(listed: DataFrame, maps: DataFrame, similar: tuple[int, int], nea
     """list_pairs() of listed(token, band, d, c, n, pos), with bitmaps from maps(d, MAP).
     Each row stays in its slice of its band, visits the earlier slices, and all
     slices of the band above, so no task holds a whole list."""
-    slices = listed.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
-    own = listed.join(slices, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("d"), F.col("slices")))
+    # Only lists that are cut need a row here: a small table, which is joined without
+    # dealing out the lists by token.
+    slices = listed.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices")).filter("slices > 1")
+    cut = lambda df: df.join(slices, ["token", "band"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    own = cut(listed).withColumn("own", F.pmod(F.xxhash64("d"), F.col("slices")))
     columns = ["token", "band", "slice", "guest", "d", "c", "n", "pos"]
     stay = own.select(*columns[:2], F.col("own").alias("slice"), F.lit(0).alias("guest"), *columns[4:])
     visit = own.filter("own > 0").select(*columns[:2], F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("slice"), F.lit(1).alias("guest"), *columns[4:])
-    above = listed.withColumn("band", F.col("band") + 1).join(slices, ["token", "band"]).select(*columns[:2], F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("guest"), *columns[4:])
+    above = cut(listed.withColumn("band", F.col("band") + 1)).select(*columns[:2], F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("guest"), *columns[4:])
     met = maps.join(stay.unionByName(visit).unionByName(above).hint("shuffle_hash"), "d").select(*columns, *MAP)
     return met.repartition(parts, *columns[:3]).sortWithinPartitions(*columns[:4]).mapInArrow(list_pairs(*similar, nearest), "a long, b long, apart long")
 
