@@ -242,7 +242,7 @@ def test_search(spark):
     post = lambda p: [{"acn": i} for i in records] + [{}]
     got, listed = search.collect_query(spark, "Q01", "x", post, lambda acns: [records[a] for a in acns], 2011, 2014, limit=6)
     assert sorted(r.acn for r in got.collect()) == ["2", "3", "4", "5"]
-    assert listed.first().people_count == 1 and len(search.payload("x")["eavs"]) == search.SLOTS
+    assert listed.first().people_count == 1 and len(search.payload("x")["eavs"]) == 44
     assert search.query_counts(spark, post, {"Q01": "x"}, "d", "i", "w").first().result_count == 7
     with pytest.raises(TypeError):
         search.search(lambda p: {}, "x")
