@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat, lines, mixing, neardup_docs, neardup_vectors, packing, quality, secrets, topk, urls
+from corvane.llm import chat, lines, merkle, mixing, neardup_docs, neardup_vectors, packing, quality, secrets, topk, urls, warc, whitening
 
-MODULES = (chat, secrets, neardup_vectors, packing, neardup_docs, quality, lines, urls, mixing, topk)
+MODULES = (chat, secrets, neardup_vectors, packing, neardup_docs, quality, lines, urls, mixing, topk, merkle, whitening, warc)
 
 
 def queries() -> dict:

@@ -23,7 +23,7 @@ vocab = [f"w{i}" for i in range(60)]
 
 def test_every_operator_is_registered():
     names = [n for n in registry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def shown(rows):
