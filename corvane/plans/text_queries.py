@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,6 +158,23 @@ def token_cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "cost_usd")
 
 
+#: A text as a JSON string in ASCII: code by code, beyond 16 bits as two.
+_ASCII = """array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '(?s).'), lambda c: CASE
+  WHEN c IN ('"', chr(92)) THEN chr(92) || c WHEN c = chr(10) THEN chr(92) || 'n' WHEN c = chr(13) THEN chr(92) || 'r' WHEN c = chr(9) THEN chr(92) || 't'
+  WHEN c = chr(8) THEN chr(92) || 'b' WHEN c = chr(12) THEN chr(92) || 'f' WHEN unicode(c) BETWEEN 32 AND 126 THEN c
+  WHEN unicode(c) < 65536 THEN chr(92) || 'u' || printf('%04x', unicode(c))
+  ELSE chr(92) || 'u' || printf('%04x', 55296 + ((unicode(c) - 65536) >> 10)) || chr(92) || 'u' || printf('%04x', 56320 + ((unicode(c) - 65536) & 1023)) END), '')"""
+_HEAD = json.dumps({"task": structured.TASK, "allowed_screening_status": list(structured.STATUS_LABELS), "allowed_event_types": list(structured.EVENT_LABELS), "output_schema": structured.SHAPE, "rules": list(structured.RULES)})[:-1]
+
+
+@query(f"""SELECT doc_id, {q(structured.SYSTEM)} AS system, md5({q(_HEAD + ', "asrs_report": "')} || {_ASCII} || '"}}') AS user_md5, length({_ASCII}) AS coded_chars FROM documents""")
+def structured_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two messages that a scorer gets for every document; the long one as its hash."""
+    p = load(spark, sf_dir, "documents").select("doc_id", structured.prompt("text").alias("p"))
+    size = F.length(F.col("p")[1]["content"]) - len(_HEAD) - len(', "asrs_report": ""}')
+    return p.select("doc_id", F.col("p")[0]["content"].alias("system"), F.md5(F.col("p")[1]["content"].cast("binary")).alias("user_md5"), size.cast("long").alias("coded_chars"))
+
+
 #: Replies made from events: whole, fenced, cut off, with text around, of a wrong shape.
 _REPLY = """CASE event_id % 7
  WHEN 0 THEN '{"screening_status": "include_ground_cabin_event", "primary_event_type": "fueling", "secondary_event_types": ["cabin_service", "cabin_service", "x"], "possible_multi_event": true, "confidence": "High"}'

@@ -1,5 +1,7 @@
 """Text scalars, classifier fixtures, the query language, structured replies."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,4 +89,14 @@ def test_structured_replies(spark):
     assert abs(cost - 0.000336) < 1e-12
     content = spark.createDataFrame([("plain",), ('["a", {"text": "b"}, {"content": "c"}]',)], "c string").select(structured.message_content("c")).collect()
     assert [r[0] for r in content] == ["plain", "a\nb\nc"]
-    assert "report" in spark.range(1).select(structured.prompt(F.lit("x"))).first()[0]
+
+
+def test_prompt_is_python_json(spark):
+    """The whole message equals what Python's json writes, over odd characters too."""
+    texts = ["", None, 'a "b" \\u00E9 \\ /', "é€😀\x7f\x00\x1f\t\n\u2028", "x" * 100_000, "\\\\uABCD\\uABCD Ü"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", structured.prompt("t").alias("p")).orderBy("i").collect()
+    for t, row in zip(texts, got, strict=True):
+        system, user = row.p
+        assert (system.role, system.content, user.role) == ("system", structured.SYSTEM, "user")
+        want = {"task": structured.TASK, "allowed_screening_status": list(structured.STATUS_LABELS), "allowed_event_types": list(structured.EVENT_LABELS), "output_schema": structured.SHAPE, "rules": list(structured.RULES), "asrs_report": t or ""}
+        assert user.content == json.dumps(want, ensure_ascii=True)
