@@ -301,3 +301,36 @@ def embedding_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), features.unit_embedding("embedding").alias("features"))
     size = rows.agg(F.max(F.size("features.indices"))).first()[0] or 0
     return _scores(models.logistic_regression(rows.filter("vec_id % 4 <> 0"), rows.filter("vec_id % 4 = 0"), "features", "label", size), "label")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Labelled documents to train on, to choose the epoch by and to test."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text").join(load(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id")
+    part = F.crc32(F.col("doc_id").cast("string")) % 8
+    return [docs.filter(part > 2), docs.filter(part == 1), docs.filter(part.isin(0, 2))]
+
+
+@query()
+def encoder_finetune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text encoder trained on labelled documents, scored on held-out ones."""
+    found = models.fine_tuned(*_texts(spark, sf_dir), "text", "quality", seeds=(1,))
+    return _scores(found, "quality")
+
+
+@query()
+def encoder_seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three seeds trained at once, and what their held-out scores have in common."""
+    found = models.fine_tuned(*_texts(spark, sf_dir), "text", "quality")
+    scores = metrics.single_label(metrics.confusion(found, "quality", "predicted", ["seed"]), ["seed"]).withColumn("task", F.lit("quality"))
+    return rounded(metrics.seed_summary(scores, ["task"], ["accuracy", "macro_f1"]), "accuracy_mean", "accuracy_std", "macro_f1_mean", "macro_f1_std")
+
+
+@query()
+def text_embedding_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frozen sentence embeddings, learned from the documents' languages, under a linear model."""
+    train, dev, test = _texts(spark, sf_dir)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 8
+    encoder = models.TextEncoder("text", "lang", settings=models.Settings(epochs=1)).fit(docs.filter(chosen > 2), docs.filter(chosen == 1))
+    rows = [encoder.embed(d).select("quality", features.unit_embedding("embedding").alias("features")) for d in (train.unionByName(dev), test)]
+    return _scores(models.logistic_regression(*rows, "features", "quality", encoder.settings.hidden), "quality")

@@ -101,8 +101,6 @@ def test_features_and_models(spark):
     both = features.joined(vectors.withColumn("g", F.col("f")), ["f", "g"], "h").first()
     assert both.h["values"] == both.f["values"] * 2
     assert models.majority_label(df, "y") == "x"
-    with pytest.raises(models.NeuralBackendMissing):
-        models.fine_tuned(df, df, "t", "y", "m")
 
 
 @pytest.mark.parametrize("loss", ["squared_hinge", "logistic"])
