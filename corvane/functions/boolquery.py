@@ -5,8 +5,9 @@
     term   := "several words" | word        % in a word stands for any word characters
 
 Text and terms are compared in lower case as sequences of word tokens, runs of letters,
-digits and underscores; AND binds more tightly than OR. NEAR holds if tokens of two
-different listed terms are at most n places apart, in either order.
+digits and underscores; AND binds more tightly than OR. NEAR holds if two different listed
+terms, single words or phrases, stand next to each other without sharing a token, in
+either order, and their nearest tokens are at most n places apart.
 """
 
 from __future__ import annotations
@@ -49,7 +50,12 @@ class Term:
     words: tuple[str, ...]
 
     def regex(self) -> str:
-        return "".join(WORD_CHARS + "*" if part == "%" else re.escape(part) for part in re.split("(%)", self.words[0])) if len(self.words) == 1 else " ".join(Term((w,)).regex() for w in self.words)
+        """Words between single spaces; a word of % alone is any word."""
+        if len(self.words) > 1:
+            return " ".join(Term((w,)).regex() for w in self.words)
+        if not self.words[0].strip("%"):
+            return WORD_CHARS + "+"
+        return "".join(WORD_CHARS + "*" if part == "%" else re.escape(part) for part in re.split("(%)", self.words[0]))
 
 
 @dataclass(frozen=True)
@@ -146,34 +152,57 @@ def parse(query: str) -> Node:
     return tree
 
 
+def leaves(node: Node) -> list[Term]:
+    return [t for p in node.parts for t in ([p] if isinstance(p, Term) else leaves(p))]
+
+
 def token_text(text: Column) -> Column:
     """Word tokens in lower case, each between single spaces."""
     lowered = F.lower(F.coalesce(text.cast("string"), F.lit("")))
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, r"[^\p{L}\p{N}_]+", " ")), F.lit(" "))
 
 
-def _near(node: Node, tokens: Column) -> Column:
-    """Places of each term's tokens, compared as arrays within the row."""
-    words = F.filter(F.split(tokens, " "), lambda w: w != "")
-    if any(len(t.words) != 1 for t in node.parts):
-        raise QuerySyntaxError("terms of NEAR are single words")
+def near_places(one: Column, length: int, other: Column, other_length: int, n: int) -> Column:
+    """Whether a run of `length` tokens at a place of `one` and a run of `other_length`
+    at a place of `other` stand apart, the nearest of their tokens at most n places.
 
-    def places(term: Term) -> Column:
-        return F.filter(F.transform(words, lambda w, i: F.when(w.rlike(f"^{term.regex()}$"), i)), lambda i: i.isNotNull())
+    The last places of the first runs and the places of the second merge into one sorted
+    list, and then the other way about: the smallest gap is one of two neighbours. A place
+    is twice its number, and one more if a run ends there, so that a run that begins where
+    another ends comes before it.
+    """
+
+    def before(a: Column, size: int, b: Column) -> Column:
+        merged = F.array_sort(F.concat(F.transform(a, lambda x: 2 * (x + size - 1) + 1), F.transform(b, lambda x: 2 * x)))
+        pairs = F.zip_with(merged, F.slice(merged, 2, 1 << 30), lambda x, y: (x % 2 == 1) & (y % 2 == 0) & (y - x <= 2 * n - 1))
+        return F.coalesce(F.exists(pairs, lambda hit: hit), F.lit(False))
+
+    return before(one, length, other) | before(other, other_length, one)
 
-    def close(one: Column, other: Column) -> Column:
-        # Both lists are bound to a variable, or the inner one would be made anew for each a.
-        both = F.array(F.struct(one.alias("one"), other.alias("other")))
-        return F.exists(both, lambda p: F.exists(p["one"], lambda a: F.exists(p["other"], lambda b: (F.abs(a - b) <= node.n) & (a != b))))
 
-    at = [places(t) for t in node.parts]
+def every_pair(node: Node, places: list[Column]) -> Column:
+    """NEAR over the places of its terms."""
     out = F.lit(False)
-    for i in range(len(at)):
-        for j in range(i + 1, len(at)):
-            out = out | close(at[i], at[j])
+    for i in range(len(places)):
+        for j in range(i + 1, len(places)):
+            out = out | near_places(places[i], len(node.parts[i].words), places[j], len(node.parts[j].words), node.n)
     return out
 
 
+def _near(node: Node, tokens: Column) -> Column:
+    """Places of each term's runs of tokens, as arrays within the row."""
+    words = F.filter(F.split(tokens, " "), lambda w: w != "")
+
+    def places(term: Term) -> Column:
+        runs = words
+        for k in range(2, len(term.words) + 1):  # runs grow word by word
+            size = F.greatest(F.size(words) - (k - 1), F.lit(0))
+            runs = F.zip_with(F.slice(runs, F.lit(1), size), F.slice(words, F.lit(k), size), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.filter(F.transform(runs, lambda w, i: F.when(w.rlike(f"^{term.regex()}$"), i)), lambda i: i.isNotNull())
+
+    return every_pair(node, [places(t) for t in node.parts])
+
+
 def matches(query: str | Node, text: Column | str) -> Column:
     """Whether the text satisfies the query; a null text has no tokens."""
     tokens = token_text(F.col(text) if isinstance(text, str) else text)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import boolquery, structured, text
+from corvane.operators import postings
+from corvane.operators.encoder import Folder
 from corvane.plans.common import RE2_WHITE, classify_sql, clean_sql, load, q, rounded, screened
 
 Q: dict = {}
@@ -130,6 +132,29 @@ def near_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").filter(boolquery.matches("NEAR((that, was), 3)", "text")).select("doc_id")
 
 
+#: Searches of the index, and what each is in SQL over t(doc_id, x, w), the tokens as text
+#: and as a list. A run of two tokens ends one place after it begins.
+_RUN = "list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')"
+_SEARCHES = {
+    "words": ('(the OR und OR "of the") AND (tion% OR ge%) AND NOT token', "regexp_matches(x, ' (the|und|of the) ') AND regexp_matches(x, ' (tion|ge)[\\p{L}\\p{N}_]* ') AND NOT contains(x, ' token ')"),
+    "inner": ("%able AND NOT w%d", "regexp_matches(x, ' [\\p{L}\\p{N}_]*able ') AND NOT regexp_matches(x, ' w[\\p{L}\\p{N}_]*d ')"),
+    "none": ("NOT (the OR der OR la OR que)", "NOT regexp_matches(x, ' (the|der|la|que) ')"),
+    "near": ("NEAR((that, was), 3)", "len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'that' AND list_contains(w[greatest(1, i - 3):i + 3], 'was'))) > 0"),
+    "near_phrase": ('NEAR(("of the", that), 4)', f"len(list_filter({_RUN}, lambda i: list_contains(w[greatest(1, i - 4):i - 1], 'that') OR list_contains(w[i + 2:i + 5], 'that'))) > 0"),
+}
+
+
+@query("WITH t AS (SELECT doc_id, ' ' || trim(" + _TOKENS + ") || ' ' AS x, string_split(trim(" + _TOKENS + "), ' ') AS w FROM documents) " + " UNION ALL ".join(f"SELECT '{name}' AS search, doc_id FROM t WHERE {sql}" for name, (_, sql) in _SEARCHES.items()))
+def boolean_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents indexed, and searched: words, patterns, phrases, NOT and NEAR."""
+    index = postings.PositionalIndex(spark, Folder(spark, None).root).build(load(spark, sf_dir, "documents"), "doc_id", "text")
+    out = None
+    for name, (text_query, _) in _SEARCHES.items():
+        found = index.search(text_query).select(F.lit(name).alias("search"), F.col("key").alias("doc_id"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(f"WITH {classify_sql()} SELECT coarse, count(*) AS n FROM (SELECT CASE primary_event_type {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in text.COARSE.items())} ELSE primary_event_type END AS coarse FROM screened) GROUP BY coarse")
 def coarse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screened(spark, sf_dir).groupBy(text.coarse_label("primary_event_type").alias("coarse")).agg(F.count(F.lit(1)).alias("n"))
