@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import col, content_lengths
+from corvane.operators.folder import Folder
 
 
 def seeded(key: Column | str, seed: int) -> Column:
@@ -40,9 +41,11 @@ def _pick(df: DataFrame, key: str, by, order: list[str], sets: dict[str, str] |
 def ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with its rank from 1 by `order`. Ranks need a total order but no single task:
     rows are range-partitioned and sorted, and each partition's ranks start after the
-    counts of those before it."""
+    counts of those before it. The partitions are a table: a second look at the rows would
+    sample their bounds anew and cut them elsewhere."""
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    dealt = df.repartitionByRange(int(parts), *order).withColumn("__part", F.spark_partition_id())
+    ordered = Folder(df.sparkSession, None).table("ordered", lambda: dealt)
     sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before_part"))  # a row a partition
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import corpus, counts, features, metrics, models, resample
+from corvane.operators.folder import Folder
+from corvane.operators.vocabulary import Vocabulary
 from corvane.plans.common import any_term, classify_sql, load, rounded, screened
 
 Q: dict = {}
@@ -249,8 +251,6 @@ def rule_reproduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The reference's features: words in runs of 1 to 3 and characters in runs of 3 to 6,
 #: with the most terms of each.
 _WORDS, _CHARS = (lambda: features.word_ngrams("text", 1, 3), 120_000), (lambda: features.char_ngrams("text", 3, 6), 160_000)
-#: Its logistic regression has words in runs of 1 and 2, without accents, as many as there are.
-_PAIRS = (lambda: features.word_ngrams("text", 1, 2, strip_accents=True), (1 << 31) - 1)
 
 
 def _vectors(spark: SparkSession, sf_dir: str, *kinds: tuple) -> tuple[DataFrame, DataFrame, int]:
@@ -273,8 +273,15 @@ def _scores(df: DataFrame, label: str) -> DataFrame:
 
 @query()
 def logreg_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test, size = _vectors(spark, sf_dir, _PAIRS)
-    return _scores(models.logistic_regression(train, test, "features", "quality", size), "quality")
+    """Words in runs of 1 and 2, without accents, as many as there are: their vocabulary is a
+    table, and from models.DRIVER_WEIGHTS on so are the weights."""
+    folder = Folder(spark, None)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text").join(load(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id")
+    docs = docs.select("text", "quality", (F.crc32(F.col("doc_id").cast("string")) % 4 != 0).alias("learn"), F.monotonically_increasing_id().alias("row"))
+    docs = folder.table("documents", lambda: docs)
+    words = Vocabulary(features.word_ngrams("text", 1, 2, strip_accents=True), folder).fit(docs.filter("learn"))
+    vectors = folder.table("vectors", lambda: docs.select("row", "quality", "learn").join(words.rows(docs), "row", "left"))
+    return _scores(models.logistic_regression(vectors.filter("learn"), vectors.filter("NOT learn"), "features", "quality", words.size), "quality")
 
 
 @query()

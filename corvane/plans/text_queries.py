@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import boolquery, structured, text
 from corvane.operators import postings
-from corvane.operators.encoder import Folder
+from corvane.operators.folder import Folder
 from corvane.plans.common import RE2_WHITE, classify_sql, clean_sql, load, q, rounded, screened
 
 Q: dict = {}

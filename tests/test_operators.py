@@ -285,14 +285,29 @@ def test_model_queries_have_the_reference_settings(spark, sf, monkeypatch):
         asked.append((args[-1], given))
         return test.withColumns({"predicted": F.lit("a"), "predicted_labels": F.array(F.lit("a"))})
 
+    class Unlimited:
+        """A vocabulary of all terms, as a table."""
+
+        size = 2
+
+        def __init__(self, terms, folder, **bounds):
+            asked.append(bounds)
+
+        def fit(self, df):
+            return self
+
+        def rows(self, df):
+            return Recorded.transform(type("At", (), {"out": "features"}), df).select("row", "features")
+
     monkeypatch.setattr(q.features, "TfIdf", Recorded)
+    monkeypatch.setattr(q, "Vocabulary", Unlimited)
     for name, kind in (("word_ngrams", "word"), ("char_ngrams", "char")):
         monkeypatch.setattr(q.features, name, grams(kind))
     for name in ("logistic_regression", "linear_svc", "calibrated_svc", "multi_label_svc"):
         monkeypatch.setattr(q.models, name, model)
     word, char = [("word", 1, 3, False), 120_000], [("char", 3, 6, False), 160_000]
     for query, expected in (
-        (q.logreg_tfidf, [("word", 1, 2, True), (1 << 31) - 1, (2, {})]),
+        (q.logreg_tfidf, [("word", 1, 2, True), {}, (2, {})]),  # no bound is given
         (q.svc_ovr_tfidf, [*char, (2, {})]),
         (q.svc_calibrated, [*word, *char, (4, {})]),
         (q.multilabel_ovr_svc, [*word, *char, (4, {})]),
