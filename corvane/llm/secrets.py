@@ -35,18 +35,29 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|[Uu]\+([0-9A-Fa-f]{4,6})")
-#: The shortest secret has 14 characters, hence 19 in base64.
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
+#: The shortest secret has 14 characters, hence 19 in base64; compressed, a run of equal
+#: characters takes 7, so shorter runs count that have a character on which zlib data
+#: (whose first byte is 8 to 120, ending in 8), gzip data or a last block of deflate data in
+#: fixed codes (the short kind) can begin.
+LEAST, LEAST_PACKED = 19, 7
+_HEADS = "[CGKOSWae][A-P]|H4|[ACEGIKMOQSUWYacegikmoqsuwy02468+-][w-z0-9+/_-]"
+HEAD = re.compile(_HEADS)
+BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{19,}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,3}(?:" + _HEADS + r")[A-Za-z0-9+/_-]{5})[A-Za-z0-9+/_-]{7,18})={0,2}")
+#: Text in two bytes a character, either order: an ASCII character beside a zero.
+UTF16 = re.compile("(?:[\\t\\n\\r\\x20-\\x7e]\\x00){12,}|(?:\\x00[\\t\\n\\r\\x20-\\x7e]){12,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-#: Where compressed data can start among other bytes.
+#: Where compressed data can start among other bytes, or other characters.
 PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+PACKED_TEXT = re.compile("\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 #: Bytes that a secret, an escape or a run of base64 lines can hold. Unpacked data is
 #: scanned in windows that end after any other byte, so nothing is cut in two.
 JOINED = ALPHABET.encode() + b".=\"' :%\\&#;{}\t\r\n"
-#: Bytes unpacked at once.
-WINDOW = 1 << 20
-#: Compressed layers in one another. Other layers are shorter than what they come from,
-#: so they end; these can go on for ever. What is below is named as a span UNREAD.
+#: Bytes unpacked at once, bytes given to it at once, unpacked bytes that are looked at as
+#: a whole, and bytes by which the beginning of compressed data is told from chance.
+WINDOW, PIECE, WHOLE, PROBE = 1 << 20, 1 << 16, 8 << 20, 1 << 12
+#: Compressed layers in one another, if no other bound is given. Other layers are shorter
+#: than what they come from, so they end; these can go on for ever. What is below is named
+#: as a span UNREAD.
 MAX_CHAIN = 16
 UNREAD = len(KINDS)
 
@@ -68,66 +79,122 @@ def _packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or (len(raw) > 1 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
 
 
-def _inflated(parts: Iterator[bytes], left: list[int] | None = None, form: int = 47) -> Iterator[bytes]:
+def _begins(raw: bytes, at: int) -> bool:
+    """Whether compressed data begins there, as far as its next bytes tell."""
+    piece = raw[at : at + PROBE]
+    if not _packed(piece):
+        return False
+    d = zlib.decompressobj(47)
+    try:
+        return bool(d.decompress(piece, 1)) or d.eof or len(piece) == PROBE
+    except zlib.error:
+        return False
+
+
+def _pieces(raw: bytes, at: int = 0) -> Iterator[bytes]:
+    return (raw[i : i + PIECE] for i in range(at, len(raw), PIECE))
+
+
+def _inflated(parts: Iterator[bytes], end: list[int] | None = None, form: int = 47) -> Iterator[bytes]:
     """The unpacked bytes of the gzip or zlib data (or of the given form) that `parts`
-    start with, up to its end or first fault. `left` gets the number of bytes of the last
-    part after it."""
-    d, data = zlib.decompressobj(form), b""
+    start with, member by member, up to its end or first fault. `end` gets the number of
+    bytes that it takes, if it has an end."""
+    d, data, taken, whole = zlib.decompressobj(form), b"", 0, 0
+
+    def close() -> None:
+        if end is not None and whole:
+            end.append(whole)
+
     for part in parts:
         data += part
         while data:
             if d.eof:
-                if data[:2] != b"\x1f\x8b"[: len(data)]:
-                    if left is not None:
-                        left.append(len(data))
-                    return
+                if data[:2] != b"\x1f\x8b"[: len(data)] or form != 47:
+                    return close()
                 if len(data) == 1:
                     break
                 d = zlib.decompressobj(47)
             try:
                 out = d.decompress(data, WINDOW)
             except zlib.error:
-                return
+                return close()
             if out:
                 yield out
-            data = d.unused_data if d.eof else d.unconsumed_tail
+            rest = d.unused_data if d.eof else d.unconsumed_tail
+            taken += len(data) - len(rest)
+            whole = taken if d.eof else whole
+            data = rest
     while not d.eof:
         try:
             out = d.decompress(b"", WINDOW)
         except zlib.error:
-            return
+            return close()
         if not out:
-            return
+            return close()
         yield out
-    if left is not None:
-        left.append(len(data))
+    whole = taken
+    close()
 
 
-def _kinds(blocks: Callable[[], Iterator[bytes]], chain: int) -> set[int] | None:
+def _from(blocks: Iterator[bytes], at: int) -> Iterator[bytes]:
+    """The bytes from number `at` on."""
+    for b in blocks:
+        if at < len(b):
+            yield b[at:] if at else b
+        at = max(0, at - len(b))
+
+
+def _kinds(blocks: Callable[[], Iterator[bytes]], chain: int, most: int) -> set[int] | None:
     """Kinds found in the unpacked bytes that blocks() gives and in all layers below;
     null if there are none."""
-    found: set[int] = set()
-    head, held, some = b"", [], False
+    held, size = [], 0
+    for b in blocks():
+        held.append(b)
+        size += len(b)
+        if size > WHOLE:
+            return _kinds_in_windows(blocks, chain, most)
+    if not size:
+        return None
+    return {k for _, k, _ in _layers(b"".join(held).decode("latin-1"), chain, most)[1]}
+
 
-    def look(window: bytes) -> None:
-        if len(found - {UNREAD}) < len(KINDS):
-            found.update(k for _, k, _ in _layers(window.decode("latin-1"), chain)[1])
+def _kinds_in_windows(blocks: Callable[[], Iterator[bytes]], chain: int, most: int) -> set[int]:
+    """The same of more bytes than are held at once: in windows that end where nothing
+    that is looked for is cut, but compressed data, which is followed beyond them."""
+    found: set[int] = set()
+    held: list[bytes] = []
+    start = 0  # number of the first byte held
+
+    def look(window: bytes, last: bool) -> None:
+        found.update(k for _, k, _ in _layers(window.decode("latin-1"), chain, most)[1])
+        at = 0
+        for m in PACKED.finditer(window):
+            i = m.start()
+            if i < at or not _begins(window, i):
+                continue
+            end: list[int] = []
+            for _ in _inflated(_pieces(window, i), end):
+                pass
+            if end:
+                at = i + end[0]
+            elif not last and chain < most:
+                found.update(_kinds(lambda i=start + i: _inflated(_from(blocks(), i)), chain + 1, most) or ())
 
     for block in blocks():
-        some = True
-        head = head if len(head) > 1 else head + block[:2]
         cut = len(block.rstrip(JOINED))
-        if cut:
-            look(b"".join([*held, block[:cut]]))
-            held = []
-        held.append(block[cut:])
-    look(b"".join(held))
-    if _packed(head):
-        if chain < MAX_CHAIN:
-            found |= _kinds(lambda: _inflated(blocks()), chain + 1) or set()
-        elif next(_inflated(blocks()), None) is not None:
-            found.add(UNREAD)
-    return found if some else None
+        # The next window begins with the last bytes of this one, in which compressed data
+        # may begin that these do not tell from chance.
+        if cut > PROBE:
+            window = b"".join([*held, block[:cut]])
+            look(window, False)
+            keep = len(window) - PROBE
+            keep = len(window[:keep].rstrip(JOINED)) or keep
+            start += keep
+            held = [window[keep:], block[cut:]]
+        else:
+            held.append(block)
+    look(b"".join(held), True)
+    return found
 
 
 #: Of a layer's characters s to e (exclusive) the span that they came from.
@@ -168,24 +235,19 @@ def _replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, Span] | None
     return "".join(parts), span
 
 
-def _url(m: re.Match) -> list[tuple[str, int, int]] | None:
-    raw = bytes.fromhex(m[0].replace("%", ""))
-    out, i = [], 0
-    while i < len(raw):
-        n = 1 if raw[i] < 0x80 else 2 if raw[i] >> 5 == 6 else 3 if raw[i] >> 4 == 14 else 4
-        try:
-            out.append((raw[i : i + n].decode("utf-8"), 3 * i, 3 * min(i + n, len(raw))))
-            i += n
-        except UnicodeDecodeError:
-            out.append((m[0][3 * i : 3 * i + 3], 3 * i, 3 * i + 3))  # not text: left as it is
-            i += 1
-    return out
+def _url(m: re.Match) -> list[tuple[str, int, int]]:
+    """Bytes, each as the character of its number, as they may be compressed."""
+    return [(chr(x), 3 * i, 3 * i + 3) for i, x in enumerate(bytes.fromhex(m[0].replace("%", "")))]
+
+
+def _utf16(m: re.Match) -> list[tuple[str, int, int]]:
+    return [(c, 2 * i, 2 * i + 2) for i, c in enumerate(m[0].replace("\0", ""))]
 
 
 def _unicode(m: re.Match) -> list[tuple[str, int, int]] | None:
     hexed = next((g for i, g in enumerate(m.groups()) if g and i != 5), None)
     code = int(m[6]) if hexed is None else int(hexed, 16)
-    return [(chr(code), 0, len(m[0]))] if 0 < code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else None
+    return [(chr(code), 0, len(m[0]))] if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else None
 
 
 def _chains(text: str) -> list[list[tuple[int, int]]]:
@@ -206,7 +268,7 @@ def _chains(text: str) -> list[list[tuple[int, int]]]:
         tail = len(inner) - len(inner.rstrip(ALPHABET))
         chain = [(left + len(inner) - tail, left + len(inner))] if tail else []
     out.append(chain)
-    return [c for c in out if len(c) > 1 and sum(b - a for a, b in c) >= 19]
+    return [c for c in out if len(c) > 1 and sum(b - a for a, b in c) >= LEAST]
 
 
 def _base64(text: str) -> Iterator[tuple[bytes, Span, set[int]]]:
@@ -218,7 +280,7 @@ def _base64(text: str) -> Iterator[tuple[bytes, Span, set[int]]]:
     runs = chains + [[(m.start(), m.start() + len(m[0].rstrip("=")))] for m in BASE64.finditer(text) if m.start() not in taken]
     for pieces in runs:
         run = "".join(text[a:b] for a, b in pieces)
-        if run.isalpha() and (run.islower() or run[1:].islower()):
+        if len(run) >= LEAST and run.isalpha() and (run.islower() or run[1:].islower()):
             continue  # a word; no base64 of text stays in lower case for 19 letters
         plain = run.replace("-", "+").replace("_", "/")
         before = [0, *accumulate(b - a for a, b in pieces)]
@@ -227,8 +289,8 @@ def _base64(text: str) -> Iterator[tuple[bytes, Span, set[int]]]:
         for skip in range(4):
             body = plain[skip:]
             body = body[: len(body) - (len(body) % 4 == 1)]
-            if len(body) < 19:
-                break
+            if len(body) < LEAST and (len(body) < LEAST_PACKED or not HEAD.match(run, skip)):
+                continue
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
 
             def place(k: int, pieces=pieces, before=before) -> int:
@@ -241,23 +303,25 @@ def _base64(text: str) -> Iterator[tuple[bytes, Span, set[int]]]:
             yield raw, span, {0} | {max(0, x - skip) * 3 // 4 for x in before[:-1]}
 
 
-def _unpacked(raw: bytes, lines: set[int], chain: int) -> Iterator[tuple[int, int, int]]:
+def _unpacked(raw: bytes, lines: set[int], chain: int, most: int, fills: bool = False) -> Iterator[tuple[int, int, int]]:
     """(first byte, kind, byte after the last) for the kinds in compressed data in raw:
-    gzip and zlib data wherever it stands, deflate data without a header that fills raw."""
+    gzip and zlib data wherever it stands and, if it may, deflate data that fills raw."""
     at, found = 0, False
     for i in sorted({m.start() for m in PACKED.finditer(raw)} | {i for i in lines if _packed(raw[i : i + 2])}):
-        if i < at:
+        if i < at or not _begins(raw, i):
             continue
-        left: list[int] = []
-        kinds = _kinds(lambda i=i, left=left: _inflated(iter([raw[i:]]), left), chain)
-        if kinds is not None:
-            found = True
-            end = len(raw) - (left[0] if left else 0)
-            at = end if left else at
-            yield from ((i, k, end) for k in kinds)
-    if not found and _deflated(raw):
-        for k in _kinds(lambda: _inflated(iter([raw]), None, -15), chain) or ():
-            yield 0, k, len(raw)
+        found, end = True, []
+        if chain < most:
+            kinds = _kinds(lambda i=i, end=end: _inflated(_pieces(raw, i), end), chain + 1, most) or ()
+        else:
+            kinds = (UNREAD,)
+            for _ in _inflated(_pieces(raw, i), end):
+                pass
+        at = i + end[0] if end else at
+        yield from ((i, k, i + end[0] if end else len(raw)) for k in kinds)
+    if fills and not found and _deflated(raw):
+        kinds = _kinds(lambda: _inflated(_pieces(raw), None, -15), chain + 1, most) or () if chain < most else (UNREAD,)
+        yield from ((0, k, len(raw)) for k in kinds)
 
 
 def _deflated(raw: bytes) -> bool:
@@ -273,18 +337,24 @@ def _deflated(raw: bytes) -> bool:
     return d.eof and len(d.unused_data) < 3  # base64 of other steps adds a byte or two
 
 
-def _layers(text: str, chain: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def _layers(text: str, chain: int, most: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """scan() of a text in `chain` compressed layers.
 
     The worklist holds layers still to unwrap. A layer is a string with the way from its
     characters back to the span of the text that they stand for; one whose string and
-    place were met before is left out. Decoded bytes are read as Latin-1: all that is
+    span were met before is left out. Decoded bytes are read as Latin-1: all that is
     looked for is ASCII, which is the same in it and in UTF-8, whatever stands around it.
+    Compressed data is looked for in every layer. If layers that are equal put one find's
+    end at several places, as with and without padding, the last one counts.
     """
     base = base_spans(text)
-    every = set(base)
+    finds: dict[tuple, int] = {}
     work: list[tuple[str, Span]] = [(text, lambda s, e: (s, e))]
-    seen = {(text, 0)}
+    seen = {(text, 0, len(text))}
+
+    def add(key, kind: int, a: int, b: int) -> None:
+        finds[key, kind, a] = max(b, finds.get((key, kind, a), 0))
+
     while work:
         layer, back = work.pop()
         fresh: list[tuple[str, Span]] = []
@@ -292,31 +362,36 @@ def _layers(text: str, chain: int) -> tuple[list[tuple[int, int, int]], list[tup
             fresh.append(got)
         if ("\\" in layer or "&#" in layer or "+" in layer) and (got := _replaced(layer, UNICODE_ESCAPES, _unicode)):
             fresh.append(got)
+        if "\0" in layer and (got := _replaced(layer, UTF16, _utf16)):
+            fresh.append(got)
+        if PACKED_TEXT.search(layer):  # one byte a character; others are no compressed data
+            raw = layer.encode("latin-1", "replace")
+            for i, kind, j in _unpacked(raw, set(), chain, most):
+                add(raw[i:j], kind, *back(i, j))
         for raw, span, lines in _base64(layer):
-            fresh.append((raw.decode("latin-1"), span))
-            for i, kind, j in _unpacked(raw, lines, chain + 1) if chain < MAX_CHAIN else ():
-                a, b = back(*span(i, j))
-                every.add((a, kind, b))
-            if chain >= MAX_CHAIN and any(next(_inflated(iter([raw[m.start() :]])), None) for m in PACKED.finditer(raw)):
-                a, b = back(*span(0, len(raw)))
-                every.add((a, UNREAD, b))
+            if len(raw) >= 14:
+                fresh.append((raw.decode("latin-1"), span))
+            # What stands behind other bytes is looked for once more in the fresh layer.
+            for i, kind, j in _unpacked(raw, lines, chain, most, True):
+                add(raw[i:j], kind, *back(*span(i, j)))
         for string, span in fresh:
             if not string:
                 continue
             to = lambda s, e, span=span, back=back: back(*span(s, e))
-            key = string, to(0, 1)[0]
+            key = string, to(0, 1)[0], to(len(string) - 1, len(string))[1]
             if key in seen:
                 continue
             seen.add(key)
-            every.update((a, kind, b) for s, kind, e in base_spans(string) for a, b in [to(s, e)])
+            for s, kind, e in base_spans(string):
+                add((string, s), kind, *to(s, e))
             work.append((string, to))
-    return base, sorted(every)
+    return base, sorted({*base, *((a, kind, b) for (_, kind, a), b in finds.items())})
 
 
-def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan(text: str | None, most: int = MAX_CHAIN) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(finds in the text itself, finds in any layer), each (start, kind, end) in order.
-    A span of kind UNREAD holds more than MAX_CHAIN compressed layers in one another."""
-    return _layers(text or "", 0)
+    A span of kind UNREAD holds more than `most` compressed layers in one another."""
+    return _layers(text or "", 0, most)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -326,30 +401,33 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_decoded long"
 
 
-def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            base, every = scan(text.as_py())
-            kinds = [k for _, k, _ in base]
-            rows.append((doc_id, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), sum(k != UNREAD for _, k, _ in every) - len(base)))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_decoded"])
+def _scan_batches(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                base, every = scan(text.as_py(), most)
+                kinds = [k for _, k, _ in base]
+                rows.append((doc_id, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), sum(k != UNREAD for _, k, _ in every) - len(base)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_decoded"])
+
+    return run
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_CHAIN) -> DataFrame:
     """One row per row of `docs`: id, finds per kind in the text itself, the digest of
     those, and all spans with those of decoded layers, as kind:start:end in code
     points, end exclusive, by start, then kind. A span of kind unread, not counted, is
-    one that holds more than MAX_CHAIN compressed layers in one another.
+    one that holds more than `most` compressed layers in one another.
 
     Cases: null and empty texts have no finds (the digest is that of the empty
     string); repeated rows give repeated rows; no rows, no result; other columns are
     ignored. Texts are scanned whole, each by one task, without a shuffle.
     """
     small_batches(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(_scan_batches, SCHEMA)
+    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(_scan_batches(most), SCHEMA)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,6 +217,91 @@ def test_random_nesting():
         assert any(k == 0 and len(before) <= a < e <= len(before) + len(t) for a, k, e in secrets.scan(before + t + " x")[1]), t[:200]
 
 
+def test_layers_in_any_order():
+    """Every pair of layers, and random ones: text layers hold bytes, compressed or not,
+    and compressed data holds bytes before and after what counts."""
+    import gzip
+
+    rng = random.Random(6)
+    b64 = lambda x: base64.b64encode(x)
+    texts = {
+        "base64": b64,
+        "quoted": lambda x: "".join(chr(c) if chr(c).isalnum() and c < 128 else f"%{c:02X}" for c in x).encode(),
+        "url": lambda x: "".join(f"%{c:02x}" for c in x).encode(),
+        "x": lambda x: "".join(f"\\x{c:02x}" for c in x).encode(),
+        "u": lambda x: "".join(f"\\u{c:04x}" for c in x).encode(),
+        "utf16": lambda x: b64("".join(map(chr, x)).encode("utf-16-le")),
+        "utf16be": lambda x: b64("".join(map(chr, x)).encode("utf-16-be")),
+    }
+    packs = {
+        "gzip": lambda x: gzip.compress(x, mtime=0),
+        "zlib": lambda x: zlib.compress(x),
+        "behind": lambda x: gzip.compress(b"header, " + x + b"\xff trailer", mtime=0),
+        "same": lambda x: x + b" ",
+    }
+    secret = b'password = "abcdefgh1234"'
+    pairs = [(a, p, b, q) for a in texts for p in packs for b in texts for q in packs]
+    chosen = [(a, p, b, q) for a, p, b, q in pairs if p == q] + rng.sample(pairs, 150)
+    for a, p, b, q in chosen:
+        if "utf16" in a + b and "utf16" in (a if p != "same" else "") + (b if q != "same" else ""):
+            continue  # compressed bytes are no text of two-byte characters
+        t = texts[b](packs[q](texts[a](packs[p](secret)))).decode()
+        assert found_in("é, " + t + " x", t), (a, p, b, q)
+    for a, p in itertools.product(texts, packs):
+        if p == "same" or "utf16" not in a:
+            t = texts[a](packs[p](secret)).decode()
+            assert found_in(t, t), (a, p)
+
+
+def test_short_and_deep_packed_runs():
+    import gzip
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    for raw, kind in ((b"0" * 32, 2), (b"AKIA" + b"A" * 12, 1), (b"token=aaaaaaaa", 0)):
+        bare = zlib.compressobj(9, zlib.DEFLATED, -15)
+        for packed in (zlib.compress(raw, 9), gzip.compress(raw, mtime=0), bare.compress(raw) + bare.flush()):
+            for before in ("key ", "/", "a/"):
+                t = before + b64(packed)
+                assert any(k == kind and e <= len(t) and a >= len(before) for a, k, e in secrets.scan(t + " x")[1]), (raw, packed, before)
+    chain = b"token=abcdefgh1234"
+    for _ in range(20):
+        chain = gzip.compress(chain, mtime=0)
+    assert [k for _, k, _ in secrets.scan(b64(chain))[1]] == [secrets.UNREAD]
+    assert [k for _, k, _ in secrets.scan(b64(chain), 20)[1]] == [0]
+
+
+def test_packed_data_across_windows(monkeypatch):
+    """Compressed data in unpacked bytes that are not held whole, wherever it begins."""
+    import gzip
+
+    monkeypatch.setattr(secrets, "WHOLE", 3000)
+    monkeypatch.setattr(secrets, "WINDOW", 1000)
+    monkeypatch.setattr(secrets, "PROBE", 64)
+    rng = random.Random(7)
+    filler = rng.randbytes(1500).hex().upper().encode().replace(b"0", b", ")
+    for at in (0, 1, 900, 2950, 3000, 3100, 9000):
+        inner = gzip.compress(rng.randbytes(2500) + b" token=abcdefgh1234 ", mtime=0)
+        t = base64.b64encode(gzip.compress((filler * 4)[:at] + inner + filler, mtime=0)).decode()
+        assert found_in(t, t), at
+
+
+def test_a_find_ends_at_its_last_place():
+    s = 'xx password = "abcdefgh1234'
+    t = base64.b64encode(s.encode()).decode().rstrip("=")
+    whole = t + "%3D" * (-len(t) % 4)
+    ends = {e for _, k, e in secrets.scan(whole)[1] if k == 0}
+    assert len(ends) == 1 and (not -len(t) % 4 or ends == {len(whole)})
+
+
+def test_scan_of_noise_takes_little():
+    import time
+
+    text = base64.b64encode(random.Random(8).randbytes(1 << 20)).decode()
+    began = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - began < 10
+
+
 def test_long_text_with_one_escape():
     import tracemalloc
 
