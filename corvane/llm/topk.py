@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Workspace, parallelism, table
@@ -35,35 +35,40 @@ def _dot(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q @ v.T).astype(np.int64)
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, ids, scores) of the k best of each row, without its own id, ties to the least id."""
+def _top(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, places) of the k best of each query but for its own row, ties to the least id."""
     for i in range(len(scores)):
-        s, other = scores[i], ids != own[i]
+        s, other = scores[i], rows != own[i]
         if len(s) > k + 64:  # all that reach the k-th best but for the query itself
             least = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
             keep = np.flatnonzero((s >= least) & other)
         else:
             keep = np.flatnonzero(other)
-        best = keep[np.lexsort((ids[keep], -s[keep]))[:k]]
-        yield i, ids[best], s[best]
+        yield i, keep[np.lexsort((ids[keep], -s[keep]))[:k]]
 
 
-def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of `queries` its k best rows of
-    `vectors` by the inner product of floor(scale * x), ties to the smaller id.
+def top_k(spark: SparkSession, vectors: DataFrame, queries: Column | DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: for each query its k best rows of `vectors` by the
+    inner product of floor(scale * x), ties to the smaller id.
 
-    A row is not compared with rows of its own id, nor with vectors of another length.
-    Cases: vectors that are null, empty or hold null or non-finite components take no
-    part, nor do rows with a null id; fewer than k candidates give fewer rows; repeated
-    rows are candidates each, and queries each, with a result of its own; a score that
-    64 bits cannot hold is clipped to their range; no rows, no result; other columns are
-    ignored.
+    Queries are the rows of `vectors` for which a condition holds, each compared with
+    every row but itself, or the rows of another frame, compared with all. Vectors of
+    another length are no candidates. Cases: vectors that are null, empty or hold null or
+    non-finite components take no part; fewer than k candidates give fewer rows; repeated
+    rows and rows that share an id are candidates each, and queries each, with a result of
+    its own; a null id is a candidate like any other, the last of equal scores, and as a
+    query has a result of its own; a score that 64 bits cannot hold is clipped to their
+    range; no rows, no result; other columns are ignored.
     """
     ws = Workspace(spark)
-    whole = lambda df: df.filter(is_sound(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dim"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-    data = whole(vectors).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    numbers = lambda df, *more: df.filter(is_sound(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dim"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"), F.monotonically_increasing_id().alias("row"), *more)
+    inside = isinstance(queries, Column)
+    # A row goes by its number, which the saved table fixes: rows may share an id.
+    data = ws.save(numbers(vectors, F.coalesce(queries, F.lit(False)).alias("asks") if inside else F.lit(False).alias("asks")), "rows")
+    outside = None if inside else ws.save(numbers(queries), "outside").withColumn("own", F.lit(-1).cast("long"))
+    data = data.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     largest = {r[0]: r[1] for r in data.groupBy("dim").agg(F.max("norm2")).collect()}  # a row a vector length
-    sample = data.select("id", "dim", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = data.select("id", "dim", "v").orderBy(F.xxhash64("row"), "row").limit(SAMPLE).collect()
     pivots, bound = {}, {}
     for dim, m2 in largest.items():
         x = np.array([r[2] for r in sample if r[1] == dim]).reshape(-1, dim)
@@ -81,9 +86,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
             d2 = np.maximum(0, (lifted * lifted).sum(1)[:, None] + (p * p).sum(1) - 2 * lifted @ p.T)
             cell = d2.argmin(1)
             dist = np.sqrt(((lifted - p[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(cell.astype(np.int32)), pa.array(dist), rows.column(1), pa.array([r.tobytes() for r in v], pa.binary())], names=["dim", "cell", "dist", "id", "v"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(cell.astype(np.int32)), pa.array(dist), rows.column(1), rows.column(3), pa.array([r.tobytes() for r in v], pa.binary())], names=["dim", "cell", "dist", "id", "row", "v"])
 
-    index = ws.save(data.select("dim", "id", "v").sortWithinPartitions("dim").mapInArrow(place, "dim int, cell int, dist double, id long, v binary"), "index")
+    index = ws.save(data.select("dim", "id", "v", "row").sortWithinPartitions("dim").mapInArrow(place, "dim int, cell int, dist double, id long, row long, v binary"), "index")
     cells = {(r[0], r[1]): r[2:] for r in index.groupBy("dim", "cell").agg(F.count(F.lit(1)), F.min("dist"), F.max("dist")).collect()}  # PIVOTS rows a length at most
     ring = {key: (lo, max((hi - lo) / n, 1e-9), n) for key, (count, lo, hi) in cells.items() for n in [int(min(ANNULI, max(1, -(-count // RING))))]}
     shape = spark.createDataFrame([(d, c, float(lo), float(w), n) for (d, c), (lo, w, n) in ring.items()], "dim int, cell int, lo double, width double, rings int")
@@ -91,10 +96,10 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     rings = keyed.groupBy("dim", "cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")).collect()  # PIVOTS * ANNULI rows a length at most
     slices = spark.createDataFrame([(r.dim, r.cell, r.ring, -(-r.n // SLICE)) for r in rings], "dim int, cell int, ring int, slices long")
     at = {d: [(r.cell, r.ring, r.near, r.far, r.n) for r in rings if r.dim == d] for d in pivots}
-    resident = keyed.join(F.broadcast(slices), ["dim", "cell", "ring"]).select("dim", "cell", "ring", F.pmod(F.xxhash64("id"), "slices").alias("slice"), F.lit(0).alias("kind"), "id", "v", F.lit(0).cast("long").alias("asker"))
+    resident = keyed.join(F.broadcast(slices), ["dim", "cell", "ring"]).select("dim", "cell", "ring", F.pmod(F.xxhash64("row"), "slices").alias("slice"), F.lit(0).alias("kind"), "id", "v", F.col("row").alias("asker"), F.lit(0).cast("long").alias("own"))
 
-    # A query goes by the number of its row: rows may share an id.
-    asked = ws.save(whole(queries).select("dim", "id", "v", F.monotonically_increasing_id().alias("asker")), "queries").withColumn("floor", F.lit(None).cast("long"))
+    # A query is its asker's number; its own row is one that none has if it comes from outside.
+    asked = (data.filter("asks").withColumn("own", F.col("row")) if inside else outside).select("dim", "id", "v", F.col("row").alias("asker"), "own").withColumn("floor", F.lit(None).cast("long"))
 
     def expand(nearest: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,66 +120,67 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                     hit = np.zeros(best.shape, dtype=bool)
                     hit[np.arange(len(q)), pick] = True
                 else:
-                    least = rows.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
+                    least = rows.column(5).to_numpy(zero_copy_only=False).astype(np.float64)
                     hit = np.isnan(least)[:, None] | (best + slack >= np.nan_to_num(least)[:, None])
                 a, b = np.nonzero(hit)
                 vec = [x.tobytes() for x in q]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), dim, dtype=np.int32)), pa.array(cell[b].astype(np.int32)), pa.array(annulus[b].astype(np.int32)), pa.array(rows.column(1).to_numpy()[a]), pa.array([vec[i] for i in a], pa.binary()), pa.array(rows.column(3).to_numpy()[a])], names=["dim", "cell", "ring", "id", "v", "asker"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), dim, dtype=np.int32)), pa.array(cell[b].astype(np.int32)), pa.array(annulus[b].astype(np.int32)), rows.column(1).take(pa.array(a)), pa.array([vec[i] for i in a], pa.binary()), pa.array(rows.column(3).to_numpy()[a]), pa.array(rows.column(4).to_numpy()[a])], names=["dim", "cell", "ring", "id", "v", "asker", "own"])
 
         return run
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held_ids, held = None, [], []
-        ids = v = None
+        now, held = None, []
+        ids = nulls = numbers = v = None
         for (dim, cell, annulus, part, kind), rows in runs(batches, 5):
             if now != (dim, cell, annulus, part):
-                now, held_ids, held, v = (dim, cell, annulus, part), [], [], None
+                now, held, v = (dim, cell, annulus, part), [], None
             if kind == 0:
-                held_ids.append(rows.column(5).to_numpy())
-                held.append(matrix(rows.column(6), dim, "f8"))
+                given = rows.column(5)
+                held.append((given.fill_null(2**63 - 1).to_numpy(), np.array(given.is_null()), rows.column(7).to_numpy(), matrix(rows.column(6), dim, "f8")))
                 continue
             if v is None:
-                ids, v = (np.concatenate(held_ids), np.concatenate(held)) if held else (np.zeros(0, dtype=np.int64), np.zeros((0, dim)))
-            own, asker = rows.column(5).to_numpy(), rows.column(7).to_numpy()
+                ids, nulls, numbers, v = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64), np.zeros((0, dim)))
+            query, asker, own = rows.column(5), rows.column(7).to_numpy(), rows.column(8).to_numpy()
             scores = _dot(matrix(rows.column(6), dim, "f8"), v)
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for i, who, what in _top(scores, ids, own, k):
-                for c, x in zip(out, (np.full(len(who), asker[i]), np.full(len(who), own[i]), who, what), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["asker", "query_id", "vec_id", "score"])
+            who, what = [], []
+            for i, best in _top(scores, ids, numbers, own, k):
+                who.append(np.full(len(best), i))
+                what.append(best)
+            who, what = np.concatenate(who).astype(np.int64), np.concatenate(what).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(asker[who]), query.take(pa.array(who)), pa.array(ids[what], mask=nulls[what]), pa.array(scores[who, what])], names=["asker", "query_id", "vec_id", "score"])
 
     def look(asked: DataFrame, nearest: bool) -> DataFrame:
-        probes = asked.select("dim", "id", "v", "asker", "floor").sortWithinPartitions("dim").mapInArrow(expand(nearest), "dim int, cell int, ring int, id long, v binary, asker long")
-        probes = probes.join(F.broadcast(slices), ["dim", "cell", "ring"]).select("dim", "cell", "ring", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("kind"), "id", "v", "asker")
+        probes = asked.select("dim", "id", "v", "asker", "own", "floor").sortWithinPartitions("dim").mapInArrow(expand(nearest), "dim int, cell int, ring int, id long, v binary, asker long, own long")
+        probes = probes.join(F.broadcast(slices), ["dim", "cell", "ring"]).select("dim", "cell", "ring", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("kind"), "id", "v", "asker", "own")
         both = resident.unionByName(probes).repartition(parallelism(spark), "dim", "cell", "ring", "slice").sortWithinPartitions("dim", "cell", "ring", "slice", "kind")
         found = both.mapInArrow(compare, "asker long, query_id long, vec_id long, score long")
-        order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("asker").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     first = look(asked, True).filter(F.col("rank") == k).select("asker", F.col("score").alias("floor"))
-    bounded = ws.save(asked.drop("floor").join(first, "asker", "left").select("dim", "id", "v", "asker", "floor"), "bounded")
+    bounded = ws.save(asked.drop("floor").join(first, "asker", "left").select("dim", "id", "v", "asker", "own", "floor"), "bounded")
     return look(bounded, False).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best matches of every fiftieth vector among all."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return top_k(spark, vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+    return top_k(spark, vectors, F.col("vec_id") % 50 == 0)
 
 
 _SQL = """
 WITH ok AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  FROM ok q JOIN ok c ON q.r <> c.r AND len(q.v) = len(c.v)
   WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
