@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Workspace, ordinal, table, word_count
+from corvane.llm.common import WORD, Workspace, ordinal, table, word_count
 
 MAX_LENGTH = 4096
 BUCKETS = 16
@@ -105,10 +105,20 @@ def padding(packed: DataFrame) -> DataFrame:
     return totals.withColumn("padding", F.col("pieces") * F.col("padded") - F.col("tokens"))
 
 
+def words_of(text: str) -> Column:
+    """The words of a text, none of a null."""
+    return F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed by their number of words."""
-    return pack(spark, table(spark, sf_dir, "documents"), word_count("text"))
+    """All documents packed by their words, which the pieces carry."""
+    return pack(spark, table(spark, sf_dir, "documents"), word_count("text"), tokens=words_of("text"))
+
+
+def padding_of_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the buckets pad, from the packed documents."""
+    return padding(op4_pack(spark, sf_dir))
 
 
-QUERIES = {"op4_pack": op4_pack}
+QUERIES = {"op4_pack": op4_pack, "padding_of_op4": padding_of_op4}
 ORACLE_SQL: dict[str, str] = {}

@@ -706,16 +706,47 @@ def test_top_k_cases(spark, monkeypatch):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(100, None), (150, [float("inf")] * 3), (200, [1.0]), (250, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1))
     v = np.floor(x * 256).astype(int)
-    got = sorted(map(tuple, topk.top_k(spark, df, df.filter("vec_id % 50 = 0")).collect()))
+    got = sorted(map(tuple, topk.top_k(spark, df, F.col("vec_id") % 50 == 0).collect()))
     expected = []
     for q in (0, 50):
         order = sorted((i for i in range(60) if i != q), key=lambda i: (-int(v[q] @ v[i]), i))[:5]
         expected += [(q, n + 1, i, int(v[q] @ v[i])) for n, i in enumerate(order)]
+    # The query of one number has no other vector of its length to find.
     assert got == expected
-    assert topk.top_k(spark, df.limit(0), df.limit(0)).count() == 0
-    # Repeated queries have results of their own; a null id takes no part.
-    again = df.filter("vec_id = 50").unionByName(df.filter("vec_id = 50")).unionByName(df.filter("vec_id = 0").withColumn("vec_id", F.lit(None).cast("long")))
-    assert sorted(map(tuple, topk.top_k(spark, df, again).collect())) == sorted(2 * [r for r in expected if r[0] == 50])
+    assert topk.top_k(spark, df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(spark, df, F.lit(None).cast("boolean")).count() == 0
+
+
+def plain_top(rows, asks):
+    """Result rows of queries among (id, vector), by the number of the row."""
+    out = []
+    x = [np.floor(256 * np.array(v)).astype(int) for _, v in rows]
+    for i, (q, _) in enumerate(rows):
+        if asks(q):
+            order = sorted((j for j in range(len(rows)) if j != i), key=lambda j: (-int(x[i] @ x[j]), rows[j][0] is None, rows[j][0] or 0))[:5]
+            out += [(q, n + 1, rows[j][0], int(x[i] @ x[j])) for n, j in enumerate(order)]
+    return sorted(out, key=str)
+
+
+def test_top_k_goes_by_row(spark, tmp_path, monkeypatch):
+    """Rows that share an id find one another, and rows without an id are found."""
+    monkeypatch.setattr(topk, "SLICE", 8)
+    monkeypatch.setattr(topk, "RING", 4)
+    small = [(50, [1.0, 0.0]), (50, [2.0, 0.0]), (1, [0.5, 0.0])]
+    rng = np.random.default_rng(11)
+    large = [(rng.choice([0, 50, 7, None, 8, 9, 100]), (rng.integers(-8, 9, 4) / 8.0).tolist()) for _ in range(150)]
+    large = [(None if i is None else int(i), v) for i, v in large]
+    for name, rows in (("small", small), ("large", large), ("alike", [(50, [1.0, 2.0])] * 40 + [(None, [1.0, 2.0])] * 40)):
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        got = [tuple(r) for r in topk.op10_top_k(spark, f"{tmp_path}/{name}").select("query_id", "rank", "vec_id", "score").collect()]
+        assert sorted(got, key=str) == plain_top(rows, lambda q: q is not None and q % 50 == 0), name
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/{name}/embeddings.parquet/*.parquet'")
+        assert sorted(con.sql(topk.ORACLE_SQL["op10_top_k"]).fetchall(), key=str) == sorted(got, key=str)
+    # Queries from outside are compared with all rows, their equals too.
+    df = spark.createDataFrame(small, "vec_id long, embedding array<double>")
+    out = sorted(map(tuple, topk.top_k(spark, df, df.limit(1), 2).select("query_id", "rank", "vec_id", "score").collect()))
+    assert out == [(50, 1, 50, 2 * 256 * 256), (50, 2, 50, 256 * 256)]
 
 
 # pipeline ------------------------------------------------------------------------
