@@ -13,7 +13,7 @@ from corvane.llm.common import Workspace, table, word_count
 from corvane.llm.lines import dedup_lines
 from corvane.llm.mixing import mix_sources
 from corvane.llm.neardup_docs import ngram_links
-from corvane.llm.packing import pack
+from corvane.llm.packing import pack, words_of
 from corvane.llm.quality import score, train
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -72,8 +72,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their bucket, batch and slot."""
-    return pack(spark, _documents(docs), word_count("text"))
+    """The pieces of all documents with their words, bucket, batch and slot."""
+    return pack(spark, _documents(docs), word_count("text"), tokens=words_of("text"))
 
 
 STAGES = [
