@@ -63,25 +63,34 @@ def quota_sample(df: DataFrame, key: str, groups: str, quotas: list[tuple[str, i
     rows that list the group (semicolon-separated column) and are not yet taken, then
     any rest, all in seeded order. The column stage tells which step took a row.
 
-    All steps read one seeded order; each is a top-k, which merges partial results and
-    never sorts the table in one place.
+    A step takes the first of the rows that are left, so of rows that list the same of
+    the groups all steps together take a prefix in seeded order, of `most` rows at most.
+    A histogram of hashes finds where that many rows end; one more pass keeps the rows up
+    to there, and the steps run on these alone, whose number the rows do not change.
     """
-    pool = df.withColumn("__h", seeded(key, seed))
+    most = max(size, sum(q for _, q in quotas))
+    listed = F.split(groups, ";")
+    has = F.concat(F.lit(""), *[F.coalesce(F.array_contains(listed, g), F.lit(False)).cast("int").cast("string") for g, _ in quotas])
+    pool = df.withColumns({"__h": seeded(key, seed), "__has": has})
+    pool = pool.withColumn("__bin", F.substring("__h", 1, 5))  # 2^20 bins
+    bins = pool.groupBy("__has", "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__has").orderBy("__bin")) - F.col("__n")
+    last = bins.withColumn("__b", before).filter(F.col("__b") < most).groupBy("__has").agg(F.max("__bin").alias("__last"))
+    first = Folder(df.sparkSession, None).table("first", lambda: pool.join(last, "__has").filter(F.col("__bin") <= F.col("__last")).drop("__last", "__bin"))
     taken: list[DataFrame] = []
 
     def left() -> DataFrame:
         got = reduce(DataFrame.union, [t.select(key) for t in taken]) if taken else None
-        return pool if got is None else pool.join(got, key, "left_anti")
+        return first if got is None else first.join(got, key, "left_anti")
 
-    for group, quota in quotas:
-        has = F.array_contains(F.split(groups, ";"), group)
-        taken.append(left().filter(has).orderBy("__h", key).limit(quota).withColumn("stage", F.lit(group)))
-    out = reduce(DataFrame.unionByName, taken) if taken else pool.limit(0).withColumn("stage", F.lit(""))
+    for i, (group, quota) in enumerate(quotas):
+        taken.append(left().filter(F.substring("__has", i + 1, 1) == "1").orderBy("__h", key).limit(quota).withColumn("stage", F.lit(group)))
+    out = reduce(DataFrame.unionByName, taken) if taken else first.limit(0).withColumn("stage", F.lit(""))
     rest = max(0, size - sum(q for _, q in quotas))
     have = out.count() if taken else 0
     rest = max(rest, size - have)
     taken_all = out.unionByName(left().orderBy("__h", key).limit(rest).withColumn("stage", F.lit("top_up")))
-    return taken_all.orderBy(F.when(F.col("stage") == "top_up", 1).otherwise(0), "__h", key).limit(size).drop("__h")
+    return taken_all.orderBy(F.when(F.col("stage") == "top_up", 1).otherwise(0), "__h", key).limit(size).drop("__h", "__has")
 
 
 def drop_least_informative(df: DataFrame, keys: list[str], synopsis: str, narrative: str, all_text: str, drop: int = 1) -> DataFrame:

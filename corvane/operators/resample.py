@@ -7,13 +7,17 @@ replicate come from its own label set, so a rare label may be absent.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.corpus import ranks
-from corvane.operators.metrics import single_label
+from corvane.operators.metrics import _zero, single_label
 
 
 def hash_index(key: Column, n: Column | int) -> Column:
@@ -26,17 +30,24 @@ def draws(df: DataFrame, order: str, replicates: int, seed: int, by: list[str] =
     given by `order`, which must be unique in the group. Every group is replicated in
     full, so this is for tables of labels of moderate size; resample_counts() is the
     form for large ones."""
-    if by:
-        placed = df.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long") - 1)
+    placed = ranks(df, [*[F.col(c) for c in by], F.col(order)], "__at")
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    if by:  # places in the group are ranks over all rows less those of the groups before
+        a, b = placed.alias("a"), sizes.alias("b")
+        same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+        placed = a.join(b, same).select(*[f"a.{c}" for c in df.columns], (F.col("a.__at") - F.col("b.__first")).alias("__at"))
     else:
-        placed = ranks(df, [F.col(order)], "__at").withColumn("__at", F.col("__at") - 1)
-    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")) if by else placed.agg(F.count(F.lit(1)).alias("__n"))
+        placed = placed.withColumn("__at", F.col("__at") - 1)
     picks = (
         sizes.filter("__n > 0").select(*by, "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
         .select(*by, "__n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__d"))
         .select(*by, "rep", hash_index(F.concat_ws("-", F.lit(seed), "rep", "__d"), F.col("__n")).alias("__at"))
     )
-    return picks.join(placed, [*by, "__at"]).drop("__at")
+    if not by:
+        return picks.join(placed, "__at").drop("__at")
+    a, b = picks.alias("a"), placed.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "__at"]])
+    return a.join(b, same).select(*[f"b.{c}" for c in df.columns], "a.rep")
 
 
 def interval(df: DataFrame, metrics: list[str], by: list[str] = (), level: float = 0.95) -> DataFrame:
@@ -55,7 +66,7 @@ def bootstrap_single(df: DataFrame, gold: str, pred: str, order: str, replicates
 def bootstrap_multi(df: DataFrame, gold: str, pred: str, order: str, replicates: int = 1000, seed: int = 17) -> DataFrame:
     """Intervals of the six multi-label metrics. The label space is the union of the
     labels of all rows. Rows are reduced to counts before they are drawn."""
-    from corvane.operators.metrics import _zero, row_statistics
+    from corvane.operators.metrics import row_statistics
 
     labels = df.select(F.explode(F.array_union(F.coalesce(gold, F.array().cast("array<string>")), F.coalesce(pred, F.array().cast("array<string>")))).alias("l")).distinct()
     space = F.broadcast(labels.agg(F.count(F.lit(1)).alias("__labels")))
@@ -94,3 +105,71 @@ def resample_counts(counts: DataFrame, replicates: int = 1000, seed: int = 17, b
 
     keys = list(by) or [F.lit(0).alias("all")]
     return counts.groupBy(*keys).applyInPandas(draw, schema)
+
+
+#: Bytes of sums that a task holds before it hands them on.
+HELD = 64 << 20
+
+
+def poisson_multi(df: DataFrame, gold: str, pred: str, replicates: int = 1000, seed: int = 17, by: list[str] = (), level: float = 0.95) -> DataFrame:
+    """(by, interval of each of the six multi-label metrics) in one pass over the rows.
+
+    Every row counts a Poisson(1) number of times in a replicate, the limit of drawing
+    with replacement. Rows with equal label sets are one cell, which counts Poisson(n)
+    times: a cell's numbers for all replicates are one array, from a generator that the
+    cell and the seed alone determine, and tasks add the arrays up. What shuffles are sums
+    of each label and group, whatever the number of rows. A group's label space is the
+    union of its labels; nulls are empty sets; no rows, no result.
+    """
+    as_set = lambda c: F.array_sort(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))))
+    kinds = dict(df.dtypes)
+    keys = [f"__k{i}" for i in range(len(by))]  # groups go by their own columns under other names
+    cells = df.groupBy(*[F.col(c).alias(k) for k, c in zip(keys, by, strict=True)], as_set(gold).alias("g"), as_set(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumn("hash", F.xxhash64(*keys, "g", "p"))
+    schema = "".join(f"{k} {kinds[c]}, " for k, c in zip(keys, by, strict=True)) + "label string, raw binary"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types = None
+
+        def give():
+            columns = [pa.array([k[i] for k in held], types[i]) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([k[-1] for k in held], pa.string()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=[*keys, "label", "raw"])
+
+        for b in batches:
+            types = [f.type for f in b.schema][: len(keys)]
+            for r in b.to_pylist():
+                group, g, p = tuple(r[k] for k in keys), set(r["g"]), set(r["p"])
+                w = np.random.Generator(np.random.Philox(key=[seed, r["hash"] % 2**64])).poisson(r["n"], replicates).astype(np.float64)
+                hits, both = len(g & p), len(g) + len(p)
+                given = {None: (1, g == p, 2 * hits / both if both else 0, hits / (both - hits) if both else 0, hits, both)} | {x: (x in g and x in p, x in g, x in p) for x in g | p}
+                for label, values in given.items():
+                    at = (*group, label)
+                    if at not in held:
+                        held[at] = np.zeros((len(values), replicates))
+                    for i, v in enumerate(values):
+                        if v:
+                            held[at][i] += v * w
+                if len(held) * replicates * 24 > HELD:
+                    yield from give()
+                    held.clear()
+        if held:
+            yield from give()
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = sum(np.frombuffer(r) for r in pdf["raw"]).reshape(-1, replicates)
+        out = pdf[:1][[*keys, "label"]].loc[lambda d: d.index.repeat(replicates)].reset_index(drop=True)
+        return out.assign(rep=np.arange(replicates, dtype=np.int32), v=list(x.T))
+
+    sums = cells.mapInArrow(add, schema).groupBy(*keys, "label").applyInPandas(total, schema.replace("raw binary", "rep int, v array<double>"))
+    # Labels fold into their group's replicates: the sum of their F1 scores and their number.
+    at = lambda i: F.col("v")[i]
+    own = F.col("label").isNull()
+    f1 = F.when(~own, _zero(2 * at(0), at(1) + at(2)))
+    names = ("n", "subset", "sf1", "sj", "hits", "both")
+    each = sums.groupBy(*keys, "rep").agg(*[F.max(F.when(own, at(i))).alias(c) for i, c in enumerate(names)], F.coalesce(F.sum(f1), F.lit(0.0)).alias("f1"), F.count_if(~own).alias("labels"))
+    each = each.select(
+        *[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], _zero(F.col("subset"), F.col("n")).alias("subset_accuracy"), _zero(2 * F.col("hits"), F.col("both")).alias("micro_f1"), _zero(F.col("f1"), F.col("labels")).alias("macro_f1"),
+        _zero(F.col("sf1"), F.col("n")).alias("samples_f1"), _zero(F.col("sj"), F.col("n")).alias("samples_jaccard"), _zero(F.col("both") - 2 * F.col("hits"), F.col("n") * F.col("labels")).alias("hamming_loss"),
+    )
+    return interval(each, ["subset_accuracy", "micro_f1", "macro_f1", "samples_f1", "samples_jaccard", "hamming_loss"], by, level)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.corpus import MissingRows, ranks, seeded
+from corvane.operators.folder import Folder
 
 SPLITS = ("train", "dev", "test")
 TRAIN, DEV = 0.7, 0.15
@@ -30,34 +31,56 @@ def hash_split(df: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
     return out.withColumn("split", F.when(F.col("__r") <= train, "train").when(F.col("__r") <= train + dev, "dev").otherwise("test")).drop("__r", "__n")
 
 
+def dealt(lack: list[int], size: int, groups: int) -> list[int]:
+    """How many of `groups` groups of one size each split gets if every next one goes to
+    the split that lacks most rows, ties to the first.
+
+    A split's lacks along its groups are a falling progression in steps of `size`, and the
+    groups go to the `groups` largest terms of all of them: a threshold is halved for.
+    """
+    reach = lambda v: [max(0, (x - v) // size + 1) for x in lack]
+    low, high = min(lack) - groups * size, max(lack)
+    while low < high:  # the largest value that enough terms reach
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(reach(middle)) >= groups else (low, middle - 1)
+    out = reach(low + 1)
+    for i, n in enumerate(reach(low)):
+        if n > out[i] and sum(out) < groups:
+            out[i] += 1
+    return out
+
+
 def group_split(df: DataFrame, group: str, stratum: str, seed: int) -> DataFrame:
     """df with split (replaced, if there): groups stay whole and strata keep their shares.
 
     A group belongs to the stratum of its least row, so that it cannot straddle splits
-    even if its rows differ in stratum. Groups of a stratum are dealt in seeded order to
-    the split that lacks most of its target, ties to the one with the smallest share
-    filled, then train, dev, test; once all are full, to the least filled. Only (group,
-    rows) pairs of one stratum meet in a task, never the rows.
+    even if its rows differ in stratum. The groups of a stratum are dealt by falling size,
+    those of one size in seeded order, each to the split that lacks most of its target,
+    ties to train, then dev. What decides is the number of groups of each size, a table of
+    a few rows a stratum; groups are ranked, so no task holds a stratum's.
     """
-    sizes = df.groupBy(group).agg(F.min(stratum).alias("__s"), F.count(F.lit(1)).alias("__n")).withColumn("__h", seeded(group, seed))
-    schema = f"`{group}` {dict(df.dtypes)[group]}, split string"
+    folder = Folder(df.sparkSession, None)
+    counted = df.groupBy(group).agg(F.min(stratum).alias("__s"), F.count(F.lit(1)).alias("__n")).withColumn("__h", seeded(group, seed))
+    sizes = folder.table("groups", lambda: counted)
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__h", group]).reset_index(drop=True)
-        goal = targets(int(pdf["__n"].sum()))
-        have = dict.fromkeys(SPLITS, 0)
-        out = []
-        for n in pdf["__n"]:
-            lack = {s: goal[s] - have[s] for s in SPLITS}
-            share = {s: have[s] / goal[s] if goal[s] else 1.0 for s in SPLITS}
-            open_ = [s for s in SPLITS if lack[s] > 0] or [s for s in SPLITS if goal[s]]
-            best = max(open_, key=lambda s: (lack[s], -share[s], -SPLITS.index(s)))
-            have[best] += int(n)
-            out.append(best)
-        return pd.DataFrame({group: pdf[group], "split": out})
-
-    placed = sizes.groupBy("__s").applyInPandas(deal, schema)
-    a, b = df.drop("split").alias("a"), placed.alias("b")
+        pdf = pdf.sort_values("__n", ascending=False)
+        goal = targets(int((pdf["__n"] * pdf["__k"]).sum()))
+        lack, out = [goal[s] for s in SPLITS], []
+        for size, groups in zip(pdf["__n"].tolist(), pdf["__k"].tolist(), strict=True):
+            got = dealt(lack, size, groups)
+            lack = [x - n * size for x, n in zip(lack, got, strict=True)]
+            out.append(got)
+        return pd.DataFrame({"__s2": pdf["__s"], "__n2": pdf["__n"], "__train": [g[0] for g in out], "__dev": [g[1] for g in out]})
+
+    histogram = sizes.groupBy("__s", "__n").agg(F.count(F.lit(1)).alias("__k"))
+    cuts = histogram.groupBy("__s").applyInPandas(deal, f"__s2 {dict(sizes.dtypes)['__s']}, __n2 long, __train long, __dev long")
+    ranked = ranks(sizes, [F.col("__s"), F.col("__n"), F.col("__h"), F.col(group)], "__r")
+    first = ranked.groupBy("__s", "__n").agg(F.min("__r").alias("__first"))
+    cuts = cuts.join(first, F.col("__s2").eqNullSafe(F.col("__s")) & (F.col("__n2") == F.col("__n"))).select("__s2", "__n2", "__train", "__dev", "__first")
+    placed = ranked.join(cuts, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__n") == F.col("__n2"))).withColumn("__at", F.col("__r") - F.col("__first"))
+    placed = placed.select(group, F.when(F.col("__at") < F.col("__train"), "train").when(F.col("__at") < F.col("__train") + F.col("__dev"), "dev").otherwise("test").alias("split"))
+    a, b = df.drop("split").alias("a"), folder.table("placed", lambda: placed).alias("b")
     return a.join(b, F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}"))).select("a.*", "b.split")
 
 

@@ -180,7 +180,18 @@ def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.leaks(rows, "h")
 
 
-@query()
+#: Groups of one size go to the largest of what the splits lack, in steps of the size.
+_DEAL = "list_sort(list_concat(" + ", ".join(f"list_transform(range(k), lambda j: {{'v': j * k.n - d[{i}], 'o': {i}}})" for i in (1, 2, 3)) + "))[1:k]"
+_GOT = "[" + ", ".join(f"len(list_filter({_DEAL}, lambda e: e.o = {i}))" for i in (1, 2, 3)) + "]"
+
+
+@query(f"""WITH RECURSIVE x AS ({_HASHED}), g AS (SELECT h, min(lang) AS s, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY h),
+k AS MATERIALIZED (SELECT s, n, CAST(count(*) AS BIGINT) AS k, row_number() OVER (PARTITION BY s ORDER BY n DESC) AS step FROM g GROUP BY s, n),
+goal AS (SELECT s, t, CAST(round_even(t * 0.7, 0) AS BIGINT) AS a, CAST(round_even(t * 0.15, 0) AS BIGINT) AS b FROM (SELECT s, CAST(sum(n) AS BIGINT) AS t FROM g GROUP BY s)),
+walk AS (SELECT s, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS n, [a, b, t - a - b] AS d, [CAST(0 AS BIGINT), 0, 0] AS c FROM goal
+  UNION ALL SELECT w.s, k.step, k.n, list_transform([1, 2, 3], lambda i: d[i] - c2[i] * k.n), c2 FROM (SELECT w.s, w.step, w.d, k.step AS next, k.n, {_GOT} AS c2 FROM walk w JOIN k ON w.s IS NOT DISTINCT FROM k.s AND k.step = w.step + 1) AS w JOIN k ON w.s IS NOT DISTINCT FROM k.s AND k.step = w.next),
+r AS (SELECT h, s, n, row_number() OVER (PARTITION BY s, n ORDER BY {md5_order('h', 5)}, h) AS r FROM g)
+SELECT doc_id, lang, x.h, CASE WHEN r <= c[1] THEN 'train' WHEN r <= c[1] + c[2] THEN 'dev' ELSE 'test' END AS split FROM x JOIN r ON x.h = r.h JOIN walk ON r.s IS NOT DISTINCT FROM walk.s AND r.n = walk.n AND walk.step > 0""")
 def stratified_group_split_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = splits.group_split(_hashed(spark, sf_dir).select("doc_id", "lang", "h"), "h", "lang", 5)
     return rows.select("doc_id", "lang", "h", "split")

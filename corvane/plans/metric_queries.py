@@ -156,11 +156,19 @@ def bootstrap_ci_single_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_ci_multilabel_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference's 1,000 replicates."""
-    out = resample.bootstrap_multi(_tagged(spark, sf_dir), "gold", "pred", "doc_id", 1000)
+    """The reference's 1,000 replicates, as Poisson weights of cells in one pass."""
+    out = resample.poisson_multi(_tagged(spark, sf_dir), "gold", "pred", 1000)
     return rounded(out, *out.columns)
 
 
+@query()
+def bootstrap_ci_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of each language's documents, 1,000 replicates of every group in one pass."""
+    rows = _tagged(spark, sf_dir).join(load(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    out = resample.poisson_multi(rows, "gold", "pred", 1000, by=["lang"])
+    return rounded(out, *[c for c in out.columns if c != "lang"])
+
+
 _SIX = ("subset_accuracy", "micro_f1", "macro_f1", "samples_f1", "samples_jaccard", "hamming_loss")
 
 
