@@ -21,14 +21,18 @@ def targets(n: int) -> dict[str, int]:
 
 def hash_split(df: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
     """df with split: in each stratum the rows in seeded order are cut at the targets.
-    Declarative, for rows whose groups are single rows. Ranks over all rows, less those
-    of the strata before, so no task holds a stratum."""
-    ranked = ranks(df.withColumn("__h", seeded(key, seed)), [F.col(stratum), F.col("__h"), F.col(key)], "__r")
-    sizes = df.groupBy(F.col(stratum).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__s")) - F.col("__n"))  # a row a stratum
-    out = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("__s"))).withColumn("__r", F.col("__r") - F.col("__before")).drop("__s", "__before", "__h")
+    Declarative, for rows whose groups are single rows. The first digits of the seeded
+    hash cut a stratum into 4,096 bins; ranks are made within bins, after the counts of
+    those before, so no task holds a stratum."""
+    binned = df.withColumn("__h", seeded(key, seed)).withColumn("__bin", F.substring("__h", 1, 3))
+    of = Window.partitionBy("__s")
+    sizes = binned.groupBy(F.col(stratum).alias("__s"), F.col("__bin").alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+    sizes = sizes.withColumns({"__n": F.sum("__c").over(of), "__before": F.sum("__c").over(of.orderBy("__b")) - F.col("__c")})  # 4,096 rows a stratum
+    ranked = binned.withColumn("__r", F.row_number().over(Window.partitionBy(stratum, "__bin").orderBy("__h", key)))
+    out = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b"))).withColumn("__r", F.col("__r") + F.col("__before"))
     train, dev = F.rint(F.col("__n") * TRAIN), F.rint(F.col("__n") * DEV)
-    return out.withColumn("split", F.when(F.col("__r") <= train, "train").when(F.col("__r") <= train + dev, "dev").otherwise("test")).drop("__r", "__n")
+    split = F.when(F.col("__r") <= train, "train").when(F.col("__r") <= train + dev, "dev").otherwise("test")
+    return out.withColumn("split", split).drop("__h", "__bin", "__s", "__b", "__c", "__n", "__before", "__r")
 
 
 def dealt(lack: list[int], size: int, groups: int) -> list[int]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,7 +270,8 @@ def _vectors(spark: SparkSession, sf_dir: str, *kinds: tuple) -> tuple[DataFrame
     for (terms, most), name in zip(kinds, names, strict=True):
         found = features.TfIdf(terms(), most, name, first=size).fit(docs.filter("learn"))
         out, size = found.transform(out), size + found.size
-    out = features.joined(out, names, "features").drop("text", *names).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = features.joined(out, names, "features").drop("text", *names)
+    out = Folder(spark, None).table("vectors", lambda: rows)
     return out.filter("learn"), out.filter("NOT learn"), size
 
 
