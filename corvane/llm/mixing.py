@@ -54,14 +54,15 @@ def fill_targets(totals: DataFrame, weights: tuple[float, ...], repeats: int, ws
 EXACT_BUDGET = 1 << 18
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: float, exact: int = EXACT_BUDGET) -> np.ndarray:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: float, exact: int | None = EXACT_BUDGET) -> np.ndarray:
     """How many documents of each length to take, so that the sum of their lengths is
     nearest `budget` (ties: below).
 
     Over half of all, the documents to leave out are chosen instead. Of a budget above
     `exact`, an even share of every length is taken first, which keeps the mix of
     lengths, then one more of each length in turn; the bounded knapsack over reachable
-    sums then fits what is left exactly, with the documents still on offer.
+    sums then fits what is left exactly, with the documents still on offer. Without a
+    bound (None) the knapsack alone fits any budget, in memory of a bit and a number a word.
     """
     lengths, counts = lengths.astype("int64"), counts.astype("int64")
     total = int((lengths * counts).sum())
@@ -69,7 +70,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: float, exact: in
     if 2 * goal > total:
         return counts - fit_budget(lengths, counts, total - goal, exact)
     take = np.zeros(len(lengths), dtype="int64")
-    if goal > exact:
+    if exact is not None and goal > exact:
         take = (counts * ((goal - exact) / total)).astype("int64")
         left = goal - int((take * lengths).sum())
         longest = np.argsort(-lengths, kind="stable")
@@ -113,11 +114,12 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
     return out
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, seed: int = 7, repeats: int = MAX_REPEATS) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, seed: int = 7, repeats: int = MAX_REPEATS, exact: int | None = EXACT_BUDGET) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for each row of `docs`.
 
     docs needs id_col, text and source; other columns are ignored. Sources are ordered
-    by code point, null last, and get `weights` in turn. Rows that agree in all they
+    by code point, null last, and get `weights` in turn; budgets above `exact` words are
+    fitted as fit_budget() says. Rows that agree in all they
     show (id, text length, source) may trade places. Cases: null and empty texts have
     size 0 and are taken 0 times; a null source is a source; no rows, no result; a
     source without words has target 0. Two runs agree.
@@ -139,7 +141,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", we
         more = np.zeros(len(n), dtype="int64")
         real = lengths > 0
         if real.any():
-            more[real] = fit_budget(lengths[real], n[real], rest)
+            more[real] = fit_budget(lengths[real], n[real], rest, exact)
         return pd.DataFrame({"source": pdf["source"], "size": lengths, "n": n, "whole": whole, "more": more, "source_size": size, "target": budget})
 
     h, t = histogram.alias("h"), target.alias("t")

@@ -4,10 +4,11 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, neardup_docs, packing, quality, urls
+from corvane.llm import chat, mixing, neardup_docs, packing, quality, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,6 +74,20 @@ def test_rules_are_found_without_writing_them_out(spark):
     assert len(got) == 4 and len(set(got[:3])) == 1 and ("", "") == got[3][:2]
 
 
+def test_budgets_without_a_bound_are_fitted_whole():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        lengths = rng.choice(np.arange(2, 60), rng.integers(1, 5), replace=False).astype(np.int64)
+        counts = rng.integers(1, 30, len(lengths))
+        budget = int(rng.integers(0, (lengths * counts).sum() + 1))
+        sums = {0}
+        for x, n in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + k * x for s in sums for k in range(n + 1)}
+        best = min(abs(s - budget) for s in sums)
+        take = mixing.fit_budget(lengths, counts, budget, None)
+        assert (0 <= take).all() and (take <= counts).all() and abs(int((take * lengths).sum()) - budget) == best
+
+
 def test_batches_are_filled_without_gaps(spark):
     df = spark.createDataFrame([(i % 50, (i * 37) % 23) for i in range(400)], "doc_id long, n_tokens long")
     out = packing.pack(spark, df, max_length=9, buckets=3, token_budget=40).collect()
