@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
+
+Cases that hold for all stages: columns beyond those of documents are dropped, whatever
+their names; nulls stand in any column; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from labels.quality, does not reject."""
+    """Documents that the classifier, learned from labels.quality, does not reject. Null and
+    empty texts are scored like a passage of zeros; repeated rows stay or go together; without
+    labels of its rows the classifier is untrained, and scores of one half and more stay."""
     docs = _documents(docs)
     model = train(docs, table(spark, sf_dir, "labels"))
     return _documents(score(docs, model).filter("score >= 0.5"))
@@ -32,7 +37,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones. A document that loses its last
-    words by that goes; one that had none from the start stays."""
+    words by that goes; one that had none from the start stays. Of equal lines the one of
+    the least id stays, a null id last; of rows that share an id and a text one; n_chars is
+    counted anew where a line went."""
     out = dedup_lines(spark, _documents(docs))
     left = out.filter((F.col("n_removed") == 0) | (word_count("text") > 0))
     changed = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
@@ -60,7 +67,8 @@ def documents_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them. Equal rows count together."""
+    """Documents as often as the mix takes them. Equal rows count together; a null source is
+    a source; documents without words are never taken."""
     ws = Workspace(spark)
     docs = _documents(docs).withColumn("row", F.xxhash64(*COLUMNS))
     mix = mix_sources(spark, docs, id_col="row").select(F.col("doc_id").alias("row"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).cast("int").alias("times"))
@@ -72,7 +80,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their words, bucket, batch and slot."""
+    """The pieces of all documents with their words, bucket, batch and slot. A document
+    without words is one piece of none, a repeated row is packed each time."""
     return pack(spark, _documents(docs), word_count("text"), tokens=words_of("text"))
 
 
@@ -89,7 +98,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from documents to packed pieces."""
+    """All stages, from documents to packed pieces, each on what the one before kept."""
     ws = Workspace(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
