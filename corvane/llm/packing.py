@@ -7,6 +7,8 @@ that pad least; inside a bucket, batches are filled up to a token budget.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +60,10 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
     return bounds[::-1]
 
 
-def pack(spark: SparkSession, docs: DataFrame, length: str | Column = "n_tokens", id_col: str = "doc_id", max_length: int = MAX_LENGTH, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, seed: int = 11, tokens: str | Column | None = None) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, length: str | Column = "n_tokens", id_col: str = "doc_id", max_length: int = MAX_LENGTH, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, seed: int = 11, tokens: str | Column | None = None, mark: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, n_tokens, bucket, padded, batch, slot, and
-    with `tokens`, an array of `length` tokens, the piece's own tokens.
+    with `tokens`, an array of `length` tokens, the piece's own tokens. Words that never
+    hold `mark`, one character, travel as one text between marks, which takes far less.
 
     `length` names the column (or is the expression) of token counts. A sequence of n
     tokens gives ceil(n / max_length) pieces, no token is lost. padded is the bound of
@@ -75,7 +78,9 @@ def pack(spark: SparkSession, docs: DataFrame, length: str | Column = "n_tokens"
     n = F.greatest(F.coalesce((F.col(length) if isinstance(length, str) else length).cast("long"), F.lit(0)), F.lit(0))
     given = [] if tokens is None else [(F.col(tokens) if isinstance(tokens, str) else tokens).alias("tokens")]
     sized = docs.select(F.col(id_col).alias("doc_id"), n.alias("__n"), *given)
-    own = [] if tokens is None else [F.slice("tokens", (F.col("piece") * max_length + 1).cast("int"), F.lit(max_length)).alias("tokens")]
+    cut = F.slice("tokens", (F.col("piece") * max_length + 1).cast("int"), F.lit(max_length))
+    own = [] if tokens is None else [(cut if mark is None else F.array_join(cut, mark)).alias("tokens")]
+    back = [] if tokens is None else [F.col("tokens") if mark is None else F.when(F.col("n_tokens") > 0, F.split("tokens", re.escape(mark))).otherwise(F.array().cast("array<string>")).alias("tokens")]
     more = [] if tokens is None else ["tokens"]
     pieces = ws.save(
         sized.select("doc_id", "__n", *more, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("__n") / max_length).cast("long") - 1, F.lit(0)))).alias("piece")).select(
@@ -95,7 +100,7 @@ def pack(spark: SparkSession, docs: DataFrame, length: str | Column = "n_tokens"
     placed = ordinal(rows, ["bucket"], "__h", "__place", ws, ["doc_id", "piece"])
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("padded"), F.lit(1)))).cast("long")
     return placed.select("doc_id", "piece", "start", "n_tokens", "bucket", "padded", *more, F.expr("__place").alias("__place"), room.alias("__room")).select(
-        "doc_id", "piece", "start", "n_tokens", "bucket", "padded", F.floor(F.col("__place") / F.col("__room")).alias("batch"), (F.col("__place") % F.col("__room")).cast("int").alias("slot"), *more
+        "doc_id", "piece", "start", "n_tokens", "bucket", "padded", F.floor(F.col("__place") / F.col("__room")).alias("batch"), (F.col("__place") % F.col("__room")).cast("int").alias("slot"), *back
     )
 
 
@@ -112,7 +117,7 @@ def words_of(text: str) -> Column:
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed by their words, which the pieces carry."""
-    return pack(spark, table(spark, sf_dir, "documents"), word_count("text"), tokens=words_of("text"))
+    return pack(spark, table(spark, sf_dir, "documents"), word_count("text"), tokens=words_of("text"), mark=" ")
 
 
 def padding_of_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
