@@ -82,7 +82,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their words, bucket, batch and slot. A document
     without words is one piece of none, a repeated row is packed each time."""
-    return pack(spark, _documents(docs), word_count("text"), tokens=words_of("text"))
+    return pack(spark, _documents(docs), word_count("text"), tokens=words_of("text"), mark=" ")
 
 
 STAGES = [
