@@ -84,8 +84,30 @@ def write_json_config(spark: SparkSession, config: dict, path: str) -> None:
         out.close()
 
 
-def manifest(spark: SparkSession, path: str, root: str = "") -> DataFrame:
-    """(relative_path, size_bytes, sha256) of all files below path. Spark reads a file
-    as one row, so files must fit a task."""
+#: Bytes of a file up to which it is read as one row.
+ROW_FILE = 256 << 20
+
+
+def manifest(spark: SparkSession, path: str, root: str = "", largest: int = ROW_FILE) -> DataFrame:
+    """(relative_path, size_bytes, sha256) of all files below path. Files of up to `largest`
+    bytes are rows that tasks hash. A longer one is hashed as a stream, which takes no
+    memory: a digest goes from the first byte to the last, whatever reads it."""
+    name = F.regexp_replace("path", f"^.*?{root}/" if root else "^", "").alias("relative_path")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_replace("path", f"^.*?{root}/" if root else "^", "").alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.filter(F.col("length") <= largest).select(name, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    store = top.getFileSystem(conf)
+    listed, rows = store.listFiles(top, True), []
+    while listed.hasNext():  # of the listing only empty files, which Spark leaves out, and long ones
+        f = listed.next()
+        if 0 < f.getLen() <= largest or f.getPath().getName().startswith(("_", ".")):
+            continue
+        stream = store.open(f.getPath())
+        try:
+            rows.append((f.getPath().toString(), f.getLen(), jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    if not rows:
+        return small
+    return small.unionByName(spark.createDataFrame(rows, "path string, size_bytes long, sha256 string").select(name, "size_bytes", "sha256"))

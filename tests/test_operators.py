@@ -231,6 +231,11 @@ def test_sources_round_trip(spark, tmp_path):
     assert json.loads((tmp_path / "conf.json").read_text()) == {"a": 1}
     m = files.manifest(spark, str(tmp_path / "r.json")).first()
     assert m.size_bytes == (tmp_path / "r.json").stat().st_size and len(m.sha256) == 64
+    (tmp_path / "m").mkdir()
+    for name, size in (("a", 10), ("b c", 5000), ("d", 0)):
+        (tmp_path / "m" / name).write_bytes(b"x" * size)
+    whole, streamed = (sorted(map(tuple, files.manifest(spark, str(tmp_path / "m"), "m", n).collect())) for n in (10_000, 100))
+    assert whole == streamed and [(r[0].replace("%20", " "), r[1]) for r in whole] == [("a", 10), ("b c", 5000), ("d", 0)]
     text = report.document("T", {"rows": df, "three": counts.frequency(df, "id", "t")})
     assert text.startswith("# T") and "| id | t | n |" in text
 
