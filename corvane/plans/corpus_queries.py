@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import text
 from corvane.operators import audit, corpus, counts, splits
+from corvane.operators.folder import Folder
 from corvane.plans.common import REPORTS_SQL, classify_sql, clean_sql, load, md5_order, reports, screened
+from corvane.sources import files
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -243,3 +246,53 @@ def expanded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id")
     seeds = corpus.ranked_ids(docs.filter("doc_id % 2 = 0"), [F.col("doc_id")], "REC_", 5, "corpus_id")
     return corpus.expand_ids(docs, seeds, "doc_id", "REC_", seeds.count() + 1, [F.col("doc_id").desc()])
+
+
+#: What a CSV file keeps of a document: texts as they are, nulls and empty texts alike.
+_KEPT = "CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(n_chars AS VARCHAR) AS n_chars, md5(coalesce(text, '')) AS text_md5"
+_COLUMNS = ["doc_id", "lang", "source", "n_chars", "text"]
+
+
+def _read_back(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"SELECT {_KEPT} FROM documents")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as CSV, over what stood there, and read back."""
+    path = f"{Folder(spark, None).root}/csv"
+    docs = load(spark, sf_dir, "documents").select(*_COLUMNS)
+    files.write_csv(docs.limit(1), path, _COLUMNS)
+    files.write_csv(docs, path, _COLUMNS)
+    return _read_back(files.read_csv(spark, path, _COLUMNS))
+
+
+@query(f"SELECT *, '' AS note FROM (SELECT {_KEPT} FROM documents)")
+def csv_append_and_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended language by language, read with a path that is not there and a
+    column that the files lack."""
+    root = Folder(spark, None).root
+    docs = load(spark, sf_dir, "documents").select(*_COLUMNS)
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for part in (english, ~english):
+        files.append_csv(docs.filter(part), f"{root}/csv", _COLUMNS)
+    found = files.read_csv_if_any(spark, [f"{root}/none", f"{root}/csv"], [*_COLUMNS, "note"])
+    return found.select(*_COLUMNS[:-1], F.md5(F.col("text").cast("binary")).alias("text_md5"), "note")
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(string_split(coalesce(source, '') || ';;' || coalesce(lang, ''), ';'), lambda x: x <> ''), '|') AS labels,
+printf('%.3f [%.3f, %.3f]', CAST(n_chars AS DOUBLE) / 7, CAST(n_chars AS DOUBLE) / 8, CAST(n_chars AS DOUBLE) / 5) AS ci FROM documents WHERE n_chars IS NOT NULL""")
+def label_sets_and_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts between semicolons as labels, and a value with its interval as text."""
+    docs = load(spark, sf_dir, "documents").filter("n_chars IS NOT NULL")
+    joined = F.concat(F.coalesce("source", F.lit("")), F.lit(";;"), F.coalesce("lang", F.lit("")))
+    n = F.col("n_chars").cast("double")
+    return docs.select("doc_id", F.array_join(text.label_set(joined), "|").alias("labels"), text.format_ci(n / 7, n / 8, n / 5).alias("ci"))
+
+
+@query("SELECT l.doc_id, md5(coalesce(d.text, '')) AS text_md5, l.quality AS gold FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def texts_and_labels_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each labelled row with its record's text; a row without a record would be an error."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = corpus.strict_inner(load(spark, sf_dir, "labels").select("doc_id", "quality"), docs, "doc_id")
+    return rows.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), F.col("quality").alias("gold"))
