@@ -215,5 +215,22 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(spark, table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format}
-ORACLE_SQL: dict[str, str] = {}
+def costs_of_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of the repairs: turns and least cost of each conversation."""
+    return op1_chat_format(spark, sf_dir).groupBy("conv_id").agg(F.sum("n_turns").alias("n_turns"), F.sum("cost").alias("cost"))
+
+
+#: The cheapest way into each role, turn after turn; c holds them by state.
+_OWN = "CASE role " + " ".join(f"WHEN '{r}' THEN {i + 1}" for i, r in enumerate(ROLES)) + " ELSE 0 END"
+_NEXT = ", ".join("list_min([" + ", ".join(f"c[{s + 1}] + {STEP[s][r][0]}" for s in range(STATES)) + f"]) + CASE WHEN own = {r} THEN 0 ELSE {RELABEL} END" for r in range(1, STATES))
+_SQL = f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT conv_id, {_OWN} AS own, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, n, [0, {BIG}, {BIG}, {BIG}]::BIGINT[] AS c FROM t
+  UNION ALL SELECT w.conv_id, t.k, w.n, [{BIG}, {_NEXT}]::BIGINT[] FROM walk w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.k = w.k + 1
+)
+SELECT conv_id, n AS n_turns, list_min(c) AS cost FROM walk WHERE k = n
+"""
+
+QUERIES = {"op1_chat_format": op1_chat_format, "costs_of_op1": costs_of_op1}
+ORACLE_SQL = {"costs_of_op1": _SQL}

@@ -125,5 +125,17 @@ def padding_of_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return padding(op4_pack(spark, sf_dir))
 
 
-QUERIES = {"op4_pack": op4_pack, "padding_of_op4": padding_of_op4}
-ORACLE_SQL: dict[str, str] = {}
+def pieces_of_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of the packed documents: their pieces and the words of each."""
+    return op4_pack(spark, sf_dir).select("doc_id", "piece", "start", "n_tokens", F.md5(F.array_join("tokens", " ").cast("binary")).alias("words_md5"))
+
+
+_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil(len(w) / {MAX_LENGTH}.0) AS BIGINT)))) AS piece FROM w)
+SELECT doc_id, CAST(piece AS BIGINT) AS piece, CAST(piece * {MAX_LENGTH} AS BIGINT) AS start, CAST(least({MAX_LENGTH}, len(w) - piece * {MAX_LENGTH}) AS INTEGER) AS n_tokens,
+  md5(array_to_string(w[piece * {MAX_LENGTH} + 1:(piece + 1) * {MAX_LENGTH}], ' ')) AS words_md5 FROM p
+"""
+
+QUERIES = {"op4_pack": op4_pack, "padding_of_op4": padding_of_op4, "pieces_of_op4": pieces_of_op4}
+ORACLE_SQL = {"pieces_of_op4": _SQL}
