@@ -25,6 +25,10 @@ def hash_index(key: Column, n: Column | int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % (F.lit(n) if isinstance(n, int) else n)
 
 
+#: Draws of a run, which one row of a task makes.
+DRAWS = 1 << 14
+
+
 def draws(df: DataFrame, order: str, replicates: int, seed: int, by: list[str] = ()) -> DataFrame:
     """The rows of `replicates` resamples of each group, with the column rep. Places are
     given by `order`, which must be unique in the group. Every group is replicated in
@@ -38,14 +42,20 @@ def draws(df: DataFrame, order: str, replicates: int, seed: int, by: list[str] =
         placed = a.join(b, same).select(*[f"a.{c}" for c in df.columns], (F.col("a.__at") - F.col("b.__first")).alias("__at"))
     else:
         placed = placed.withColumn("__at", F.col("__at") - 1)
-    picks = (
+    starts = (
         sizes.filter("__n > 0").select(*by, "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-        .select(*by, "__n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__d"))
+        .select(*by, "__n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(DRAWS))).alias("__from"))
+    )
+    # Draws are dealt out by runs; what explode makes of some sizes looks small to Spark,
+    # which would broadcast all draws.
+    picks = (
+        starts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "rep", "__from")
+        .select(*by, "__n", "rep", F.explode(F.sequence("__from", F.least(F.col("__from") + DRAWS, F.col("__n")) - 1)).alias("__d"))
         .select(*by, "rep", hash_index(F.concat_ws("-", F.lit(seed), "rep", "__d"), F.col("__n")).alias("__at"))
     )
     if not by:
-        return picks.join(placed, "__at").drop("__at")
-    a, b = picks.alias("a"), placed.alias("b")
+        return picks.hint("merge").join(placed, "__at").drop("__at")
+    a, b = picks.hint("merge").alias("a"), placed.alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "__at"]])
     return a.join(b, same).select(*[f"b.{c}" for c in df.columns], "a.rep")
 

@@ -89,3 +89,15 @@ def test_draws_by_group(spark):
     got = resample.draws(df, "id", 5, 1, ["k"]).groupBy("k", "rep").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).collect()
     assert sorted((str(r.k), r.rep, r.c) for r in got) == sorted((k, r, n) for k, n in (("x", 30), ("None", 10)) for r in range(5))
     assert all((r.hi < 30) == (r.k == "x") for r in got)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_are_not_broadcast(spark):
+    df = spark.range(50).select("id", F.lit("a").alias("gold"))
+    plan = _plan(resample.draws(df, "id", 3, 1))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [__at" not in plan
+    got = resample.draws(df, "id", 3, 1).groupBy("rep").count().collect()
+    assert sorted((r.rep, r["count"]) for r in got) == [(0, 50), (1, 50), (2, 50)]
