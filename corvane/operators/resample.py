@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.corpus import ranks
-from corvane.operators.metrics import _zero, single_label
+from corvane.operators.folder import Folder
+from corvane.operators.metrics import _zero, row_statistics, single_label
 
 
 def hash_index(key: Column, n: Column | int) -> Column:
@@ -75,21 +76,27 @@ def bootstrap_single(df: DataFrame, gold: str, pred: str, order: str, replicates
 
 def bootstrap_multi(df: DataFrame, gold: str, pred: str, order: str, replicates: int = 1000, seed: int = 17) -> DataFrame:
     """Intervals of the six multi-label metrics. The label space is the union of the
-    labels of all rows. Rows are reduced to counts before they are drawn."""
-    from corvane.operators.metrics import row_statistics
-
-    labels = df.select(F.explode(F.array_union(F.coalesce(gold, F.array().cast("array<string>")), F.coalesce(pred, F.array().cast("array<string>")))).alias("l")).distinct()
-    space = F.broadcast(labels.agg(F.count(F.lit(1)).alias("__labels")))
-    drawn = draws(row_statistics(df.select(gold, pred, order), gold, pred), order, replicates, seed)
-    both = F.col("n_gold") + F.col("n_pred")
-    rows = drawn.groupBy("rep").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(((F.col("hits") == F.col("n_gold")) & (F.col("hits") == F.col("n_pred"))).cast("double")).alias("subset_accuracy"),
-        F.avg(_zero(2 * F.col("hits"), both)).alias("samples_f1"), F.avg(_zero(F.col("hits"), both - F.col("hits"))).alias("samples_jaccard"),
-        F.sum("hits").alias("tp"), F.sum(both).alias("both"),
+    labels of all rows."""
+    none = F.array().cast("array<string>")
+    as_set = lambda c: F.array_sort(F.array_distinct(F.coalesce(F.col(c), none)))
+    folder = Folder(df.sparkSession, None)
+    sets = folder.table("sets", lambda: df.select(as_set(gold).alias("gold"), as_set(pred).alias("pred"), order))
+    space = F.broadcast(sets.select(F.explode(F.array_union("gold", "pred")).alias("l")).agg(F.count_distinct("l").alias("__labels")))
+    # Equal rows are one cell of a replicate, so draws are made once and go no further.
+    cells = draws(sets, order, replicates, seed).groupBy("rep", "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    cells = row_statistics(folder.table("cells", lambda: cells), "gold", "pred")
+    both, n = F.col("n_gold") + F.col("n_pred"), F.col("n")
+    mean = lambda c: F.sum(n * c) / F.sum(n)
+    rows = cells.groupBy("rep").agg(
+        F.sum(n).alias("n"), mean(((F.col("hits") == F.col("n_gold")) & (F.col("hits") == F.col("n_pred"))).cast("double")).alias("subset_accuracy"),
+        mean(_zero(2 * F.col("hits"), both)).alias("samples_f1"), mean(_zero(F.col("hits"), both - F.col("hits"))).alias("samples_jaccard"),
+        F.sum(n * F.col("hits")).alias("tp"), F.sum(n * both).alias("both"),
     )
-    from corvane.operators.metrics import per_label_multi
-
-    macro = per_label_multi(drawn, gold, pred, ["rep"]).groupBy("rep").agg(F.sum("f1").alias("f1_sum"))
+    each = cells.select("rep", "n", "gold", "pred", F.explode(F.array_union("gold", "pred")).alias("l"))
+    count = lambda c: F.sum(F.when(c, n).otherwise(0))
+    in_gold, in_pred = F.array_contains("gold", F.col("l")), F.array_contains("pred", F.col("l"))
+    labels = each.groupBy("rep", "l").agg(count(in_gold).alias("support"), count(in_pred).alias("predicted"), count(in_gold & in_pred).alias("hit"))
+    macro = labels.groupBy("rep").agg(F.sum(_zero(2 * F.col("hit"), F.col("support") + F.col("predicted"))).alias("f1_sum"))
     out = rows.join(macro, "rep", "left").crossJoin(space)  # space is one row
     out = out.select("rep", "subset_accuracy", "samples_f1", "samples_jaccard", _zero(2 * F.col("tp"), F.col("both")).alias("micro_f1"), _zero(F.coalesce("f1_sum", F.lit(0.0)), F.col("__labels")).alias("macro_f1"), _zero(F.col("both") - 2 * F.col("tp"), F.col("n") * F.col("__labels")).alias("hamming_loss"))
     return interval(out, ["subset_accuracy", "micro_f1", "macro_f1", "samples_f1", "samples_jaccard", "hamming_loss"])

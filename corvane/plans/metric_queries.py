@@ -83,9 +83,9 @@ def _tag_sql(tags: dict) -> str:
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.functions.text import contains_any
 
-    low = F.lower(F.coalesce("text", F.lit(" ")))
-    tags = lambda t: F.filter(F.array(*[F.when(contains_any(low, v), F.lit(k)) for k, v in t.items()]), lambda x: x.isNotNull())
-    return load(spark, sf_dir, "documents").select("doc_id", tags(_TAGS).alias("gold"), tags(_OTHER).alias("pred"))
+    low = F.lower(F.coalesce("text", F.lit(" "))).alias("low")  # once a text
+    tags = lambda t: F.filter(F.array(*[F.when(contains_any(F.col("low"), v), F.lit(k)) for k, v in t.items()]), lambda x: x.isNotNull())
+    return load(spark, sf_dir, "documents").select("doc_id", low).select("doc_id", tags(_TAGS).alias("gold"), tags(_OTHER).alias("pred"))
 
 
 _TAGGED = f"g AS MATERIALIZED (SELECT doc_id, {_tag_sql(_TAGS)} AS gold, {_tag_sql(_OTHER)} AS pred FROM documents)"

@@ -101,3 +101,8 @@ def test_draws_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin [__at" not in plan
     got = resample.draws(df, "id", 3, 1).groupBy("rep").count().collect()
     assert sorted((r.rep, r["count"]) for r in got) == [(0, 50), (1, 50), (2, 50)]
+
+
+def test_multilabel_intervals_draw_once(spark):
+    df = spark.createDataFrame([(i, ["a", "b"][: i % 3], ["b"] if i % 4 else None) for i in range(40)], "id long, gold array<string>, pred array<string>")
+    assert "md5" not in _plan(resample.bootstrap_multi(df, "gold", "pred", "id", 5))
