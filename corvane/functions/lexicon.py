@@ -170,8 +170,8 @@ def hits(lowered: Column, lexicon: Lexicon) -> Column:
     """Labels, in the lexicon's order, with a term in the text less ignored phrases."""
     for phrase in lexicon.ignored:
         lowered = F.replace(lowered, F.lit(phrase), F.lit(""))
-    found = [F.when(contains_any(lowered, terms), F.lit(label)) for label, terms in lexicon.categories.items()]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    found = lambda t: F.array(*[F.when(contains_any(t, terms), F.lit(label)) for label, terms in lexicon.categories.items()])
+    return F.filter(F.transform(F.array(lowered), found)[0], lambda x: x.isNotNull())  # the phrases go once, not for each term
 
 
 def secondary_labels(primary: Column, ordered: Column, lowered: Column, lexicon: Lexicon) -> Column:

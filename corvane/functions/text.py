@@ -6,6 +6,7 @@ All of them treat null as the empty string, and lengths are in code points.
 from __future__ import annotations
 
 import html
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -94,11 +95,9 @@ def in_year_window(c: Column | str, first: int, last: int) -> Column:
 
 
 def contains_any(lowered: Column, terms: list[str] | tuple[str, ...]) -> Column:
-    """Whether any term is a substring: no word bounds, terms in lower case. One
-    alternation of quoted terms keeps the expression small however many there are."""
-    if not terms:
-        return F.lit(False)
-    return lowered.rlike("|".join("\\Q" + t + "\\E" for t in terms))
+    """Whether any term is a substring: no word bounds, terms in lower case. A search for
+    bytes each, which takes a fraction of what a regular expression of all terms does."""
+    return reduce(lambda a, b: a | b, [lowered.contains(t) for t in terms], F.lit(False))
 
 
 def first_position(lowered: Column, terms: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.lexicon import INVENTED
 from corvane.operators import labels
+from corvane.operators.folder import Folder
 from corvane.plans.common import classify_sql, load, q, reports
 from corvane.plans.metric_queries import _TAGGED, _tagged
 
@@ -73,7 +74,11 @@ def expanded_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {classify_sql()}, r AS ({_silver_sql(*_NEW)}) SELECT acn, silver_primary_event_type, CASE silver_multi_event_flag WHEN 'needs_author_review' THEN 'possible_multi_event_needs_event_level_policy' ELSE 'single_record_label' END AS structure FROM r WHERE silver_screening_status = 'include_ground_cabin_event' AND (silver_primary_event_type <> 'not_relevant' OR silver_secondary_event_types <> '')")
 def relevant_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labels.relevant_rows(silver_label_rows(spark, sf_dir))
+    """The label table is saved first: the filter would be pushed below the classifier's
+    projections and compute the whole chain of them for each place that names a label."""
+    columns = ("acn", "silver_screening_status", "silver_primary_event_type", "silver_secondary_event_types", "silver_multi_event_flag")
+    made = Folder(spark, None).table("labels", lambda: silver_label_rows(spark, sf_dir).select(*columns))
+    rows = labels.relevant_rows(made)
     return rows.select("acn", "silver_primary_event_type", labels.structure_flag("silver_multi_event_flag").alias("structure"))
 
 

@@ -106,3 +106,9 @@ def test_draws_are_not_broadcast(spark):
 def test_multilabel_intervals_draw_once(spark):
     df = spark.createDataFrame([(i, ["a", "b"][: i % 3], ["b"] if i % 4 else None) for i in range(40)], "id long, gold array<string>, pred array<string>")
     assert "md5" not in _plan(resample.bootstrap_multi(df, "gold", "pred", "id", 5))
+
+
+def test_relevant_rows_do_not_repeat_the_classifier(spark, sf):
+    from corvane.plans import registry
+
+    assert "lower(" not in _plan(registry.queries()["relevant_label_rows"](spark, sf))
