@@ -112,3 +112,20 @@ def test_relevant_rows_do_not_repeat_the_classifier(spark, sf):
     from corvane.plans import registry
 
     assert "lower(" not in _plan(registry.queries()["relevant_label_rows"](spark, sf))
+
+
+def test_counting_terms_shuffles_texts_only(spark, monkeypatch):
+    from corvane.operators import features
+
+    plans, table = [], features.Folder.table
+
+    def noted(self, name, make=None):
+        if name == "counts":
+            plans.append(_plan(make()))
+        return table(self, name, make)
+
+    monkeypatch.setattr(features.Folder, "table", noted)
+    docs = spark.createDataFrame([(1, "aa bb aa"), (1, "aa cc"), (2, "bb cc"), (3, None)], "id long, text string")
+    got = {(r.id, r.term) for r in features.tfidf_rows(docs, "id", features.word_ngrams("text", 1, 1), min_df=1, max_df=1.0).collect()}
+    assert got == {(1, "aa"), (1, "bb"), (1, "cc"), (2, "bb"), (2, "cc")}  # rows of one key are one document
+    assert plans[0].count("Exchange") == 1 and "hashpartitioning(id" in plans[0]
