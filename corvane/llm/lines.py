@@ -66,6 +66,23 @@ def _blob_rows(kind: int, blobs: Iterator[tuple[int, bytes]]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["kind", "bucket", "blob"])
 
 
+def _dealt(bucket: np.ndarray, parts: list[np.ndarray]) -> pa.RecordBatch:
+    """(bucket, blob) as of setjoin._blobs, each column copied once, into one buffer."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    at = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    width = sum(p.itemsize for p in parts)
+    raw, done = np.empty(width * len(bucket), dtype=np.uint8), at[:-1] * width
+    for p in parts:
+        moved, size = p[order].view(np.uint8), p.itemsize
+        for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            raw[done[k] : done[k] + (b - a) * size] = moved[a * size : b * size]
+        done = done + np.diff(at) * size
+    ends = pa.py_buffer((at * width).astype(np.int32))
+    blobs = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, ends, pa.py_buffer(raw)])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), blobs], names=["bucket", "blob"])
+
+
 PLACES = ("u8", "i8", "i8", "u4")
 
 
@@ -159,10 +176,15 @@ POSTINGS = ("u8", "u8", "u8", "u8", "u4", "u4", "i8", "i8", "u4")
 RESIDUES = 1 << 18
 
 
-def ordered_words(t: Texts, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of each line, the rarest first, as numbers: level, then hash."""
-    keys = (level[(t.hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (t.hashes >> np.uint64(8))
-    return distinct_runs(keys, t.words)
+def ordered_words(t: Texts, level: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of each line, the rarest first, as numbers: level, then hash. With
+    `chosen`, lines without a word of those residues have none."""
+    keys, first = (level[(t.hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (t.hashes >> np.uint64(8)), t.words
+    if chosen is not None:
+        found = np.concatenate([[0], np.cumsum(chosen[(keys % np.uint64(RESIDUES)).astype(np.int64)])])
+        n, left = np.diff(first), found[first[1:]] > found[first[:-1]]
+        keys, first = keys[first[0] :][np.repeat(left, n)], np.concatenate([[0], np.cumsum(np.where(left, n, 0))])
+    return distinct_runs(keys, first)
 
 
 def post(similar: tuple[int, int], buckets: int, level: np.ndarray, words: list[int] | None = None):
@@ -176,14 +198,14 @@ def post(similar: tuple[int, int], buckets: int, level: np.ndarray, words: list[
 
         def flush() -> Iterator[pa.RecordBatch]:
             parts = [np.concatenate(c) for c in zip(*held, strict=True)]
-            for batch in _blob_rows(0, setjoin._blobs((parts[0] % np.uint64(buckets)).astype(np.int64), parts)):
-                yield batch.select([1, 2])
+            if len(parts[0]):
+                yield _dealt((parts[0] % np.uint64(buckets)).astype(np.int64), parts)
 
         for batch in batches:
             ids, rows = pc.fill_null(batch.column(0), FIRST).to_numpy(), batch.column(1).to_numpy()
             for lo, hi, data, offsets in chunks(batch.column(2)):
                 t = Texts(hasher, lo, hi, data, offsets)
-                keys, at = ordered_words(t, level)
+                keys, at = ordered_words(t, level, chosen)
                 n = np.diff(at)
                 use = np.flatnonzero(n)
                 if not len(use):
@@ -437,15 +459,22 @@ def _without(docs: DataFrame, names: list[str], row: Column, gone: DataFrame, re
     listed = gone.select(F.col("row").alias(key), F.col("gone").alias(own))
     lines = F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)
 
+    cut, kept = clear_name(names, "lines"), clear_name(names, "kept")
+
     def rows(df: DataFrame, every: Column) -> DataFrame:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own))
-        # The struct binds the lines, which a lambda would split again for each index.
-        some = F.transform(F.array(F.struct(lines.alias("lines"), left.alias("left"))), lambda x: F.transform(x["left"], lambda i: F.get(x["lines"], i)))[0]
-        kept = F.when(every, F.filter(lines, lambda x: ~x.rlike(WORD))).when(F.col(own).isNotNull(), some)
-        text = F.when(kept.isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
-        n_lines, n_removed = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(lines) - F.size(kept), F.lit(0))
         is_null = F.col(f"`{text_col}`").isNull()
-        return df.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.when(is_null, 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(is_null | kept.isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))
+        # Each step is used more than once, so it is a column before the next; n_lines of
+        # texts that keep all lines is counted without cutting them.
+        df = df.withColumn(cut, F.when(every | F.col(own).isNotNull(), lines))
+        left = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(own))
+        # The struct binds the lines, which a lambda would compute again for each index.
+        some = F.transform(F.array(F.struct(F.col(cut).alias("lines"), left.alias("left"))), lambda x: F.transform(x["left"], lambda i: F.get(x["lines"], i)))[0]
+        df = df.withColumn(kept, F.when(every, F.filter(cut, lambda x: ~x.rlike(WORD))).when(F.col(own).isNotNull(), some))
+        text = F.col(f"`{text_col}`").cast("string")
+        feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+        text = F.when(F.col(kept).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
+        n_lines, n_removed = F.coalesce(feeds + 1, F.lit(0)), F.coalesce(F.size(cut) - F.size(kept), F.lit(0))
+        return df.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.when(is_null, 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(is_null | F.col(kept).isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))
 
     if not repeated.limit(1).collect():
         return rows(keyed.join(listed.hint("shuffle_hash"), key, "left"), F.lit(False))

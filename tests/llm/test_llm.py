@@ -473,6 +473,21 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, nearest):
     assert lines.dedup_lines(spark, df.limit(0)).count() == 0
 
 
+def test_line_dedup_cuts_a_text_once_and_skips_unchosen_lines(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd"), (2, "a b c\n\ne f"), (3, None), (4, "")], "doc_id long, text string")
+    out = lines.dedup_lines(spark, docs)
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()} == {1: ("a b c\nd", 2, 0), 2: ("\ne f", 3, 1), 3: (None, 0, 0), 4: ("", 1, 0)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    data = np.frombuffer(b"a b c\nd b\ne", dtype=np.uint8)
+    t, level = lines.Texts(lines.Hasher(), 0, 1, data, np.array([0, len(data)])), np.ones(1 << lines.COUNTERS, dtype=np.uint8)
+    keys, at = lines.ordered_words(t, level)
+    some, ends = lines.ordered_words(t, level, np.isin(np.arange(lines.RESIDUES), (keys[at[1] : at[2]] % np.uint64(lines.RESIDUES)).astype(np.int64)))
+    assert np.diff(at).tolist() == [3, 2, 1] and np.diff(ends).tolist() == [3, 2, 0] and (some == keys[:5]).all()
+    parts = [np.array([9, 4, 7, 2], dtype=np.uint64), np.array([1, 2, 3, 4], dtype=np.uint32)]
+    dealt = lines._dealt(np.array([1, 0, 1, 3]), parts)
+    assert list(zip(*(c.to_pylist() for c in dealt.columns), strict=True)) == list(setjoin._blobs(np.array([1, 0, 1, 3]), parts))
+
+
 def test_every_line_dedup_equals_brute_force(spark):
     rng = random.Random(17)
     pool = [" ".join(rng.choices(vocab[:8], k=rng.randint(1, 7))) for _ in range(120)] + ["再版", "a b c d " * 125, "", " "]
