@@ -84,3 +84,10 @@ def test_vocabulary_of_no_rows(spark):
     none = Vocabulary(F.split("text", " "), folder).fit(spark.createDataFrame([], "text string, row long"))
     assert none.size == 0
     assert none.rows(spark.createDataFrame([("a b", 1)], "text string, row long")).count() == 0
+
+
+def test_one_classifier_of_two_labels_counts_as_one(spark, rows, monkeypatch):
+    df = rows.withColumn("label", F.when(F.col("y")[0] > 0, "odd").otherwise("even")).select("row", "features", "label")
+    monkeypatch.setattr(models, "DRIVER_WEIGHTS", 60)  # 51 weights
+    monkeypatch.setattr(sharded, "fit", None)
+    assert models.linear_svc(df, df, "features", "label", 50, iterations=1).count() == 400
