@@ -86,8 +86,30 @@ def test_vocabulary_of_no_rows(spark):
     assert none.rows(spark.createDataFrame([("a b", 1)], "text string, row long")).count() == 0
 
 
+def test_objective_of_wanted_classes_and_as_many_tasks_as_cores(spark, rows):
+    found = linear.Objective(rows.repartition(40).select("features", "y", "u"), 50, 2, "squared_hinge", 1.0)
+    w = np.random.default_rng(1).normal(0, 1, (51, 2))
+    value, gradient = found(w)
+    one = found(w, np.array([False, True]))
+    assert abs(one[0] - [0, value[1]]).max() < 1e-9 and abs(one[1] - np.stack([np.zeros(51), gradient[:, 1]], 1)).max() < 1e-9
+    step = 1e-6 * np.eye(51)[7][:, None]
+    assert abs((found(w + step)[0] - found(w - step)[0]) / 2e-6 - gradient[7]).max() < 1e-3
+    found.close()
+
+
 def test_one_classifier_of_two_labels_counts_as_one(spark, rows, monkeypatch):
     df = rows.withColumn("label", F.when(F.col("y")[0] > 0, "odd").otherwise("even")).select("row", "features", "label")
     monkeypatch.setattr(models, "DRIVER_WEIGHTS", 60)  # 51 weights
     monkeypatch.setattr(sharded, "fit", None)
     assert models.linear_svc(df, df, "features", "label", 50, iterations=1).count() == 400
+
+
+def test_terms_are_counted_once_and_ties_go_by_term(spark, monkeypatch):
+    monkeypatch.setattr(features, "HELD", 3)
+    df = spark.createDataFrame([(1, "b a"), (2, "d c b a a"), (3, ""), (4, None)], "k long, t string")
+    found = features.TfIdf(F.split("t", " "), 3, "f", min_df=1, max_df=1.0, first=5).fit(df)
+    assert found.model.vocabulary == ["a", "b", ""]
+    got = {r.k: (r.f["indices"], r.f["values"]) for r in found.transform(df).collect()}
+    assert got[1][0] == [5, 6] and got[2][0] == [5, 6] and got[3] == ([7], [1.0]) and got[4] == ([], [])
+    a, b = (1 + np.log(2)) * (np.log(5 / 3) + 1), np.log(5 / 3) + 1
+    assert np.abs(np.array(got[2][1]) - np.array([a, b]) / np.hypot(a, b)).max() < 1e-12
