@@ -199,11 +199,13 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
     # First round: one partner each.
     lead = groups.select("g", "leader")
     of = lambda df, g, out: df.join(lead.select(F.col("g").alias(g), F.col("leader").alias(out)), g)
-    nearest = of(of(likely.groupBy("b").agg(F.min("a").alias("a")), "a", "x"), "b", "y").select("x", "y")
+    nearest = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     inside = used.join(groups.filter("size > 1"), "g").filter("d != leader").select(F.col("leader").alias("x"), F.col("d").alias("y"))
     centre = long_lists.groupBy("token").agg(F.min("g").alias("a"))
-    on_star = of(of(long_lists.select("token", F.col("g").alias("b")).join(centre, "token").select("a", "b").filter("a != b").distinct(), "a", "x"), "b", "y").select("x", "y")
-    tried = ws.save(nearest.union(inside).union(on_star).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "tried-1")
+    on_star = long_lists.select("token", F.col("g").alias("b")).join(centre, "token").select("a", "b").filter("a != b")
+    first = ws.save(nearest.union(on_star).distinct(), "first")
+    led = of(of(first, "a", "x"), "b", "y").select("x", "y")
+    tried = ws.save(led.union(inside).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "tried-1")
     edges = checked(tried, "1")
 
     # Then what is still in different components, of lists, groups and pairs of groups:
@@ -214,7 +216,7 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
         named = ws.save(used.join(known.select(F.col("node").alias("d"), "component"), "d", "left").select("g", "d", "n", F.coalesce("component", "d").alias("c")), f"named-{turn}")
         parts_of = ws.save(named.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")), f"parts-{turn}")
         ga, gb = (parts_of.select(F.col("g").alias(g), F.col("low").alias(f"l{g}"), F.col("high").alias(f"h{g}"), F.col("size").alias(f"s{g}")) for g in ("a", "b"))
-        across = likely.join(ga, "a").join(gb, "b").filter("least(la, lb) < greatest(ha, hb)")
+        across = ws.save(likely.join(ga, "a").join(gb, "b").filter("least(la, lb) < greatest(ha, hb)").select("a", "b", "sa", "sb"), f"across-{turn}")
         alone = across.filter("sa = 1 AND sb = 1").select("a", "b")
         single = of(of(alone, "a", "x"), "b", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         # The members of a group, and of a pair of groups with more, make lists too.
@@ -223,13 +225,15 @@ def ngram_links(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, si
         listed = long_lists.select("token", "g", "pos").unionByName(crowd).join(named, "g")
         mixed = listed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
         listed = ws.save(listed.join(mixed, "token", "left_semi").withColumn("band", band), f"listed-{turn}")
-        found = setjoin.meet_lists(listed, classes.select("d", *MAP), similar, near, parts)
+        slices = ws.save(setjoin.slices_of(listed), f"slices-{turn}")
+        found = setjoin.meet_lists(listed, slices, classes.select("d", *MAP), similar, near, parts)
         if near:
             # Of an item's nearest partners on all its lists and slices one.
             found = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(single).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = ws.save(pairs, f"tried-{turn}")
-        edges = edges.unionByName(checked(pairs, turn))
+        # Stars stand for the edges that they come from.
+        edges = known.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(checked(pairs, turn))
         tried = tried.unionByName(pairs)
 
     linked = components(edges, ws, "linked")

@@ -377,13 +377,17 @@ def list_pairs(a: int, b: int, nearest: bool, block: int = 512):
     return run
 
 
-def meet_lists(listed: DataFrame, maps: DataFrame, similar: tuple[int, int], nearest: bool, parts: int) -> DataFrame:
-    """list_pairs() of listed(token, band, d, c, n, pos), with bitmaps from maps(d, MAP).
-    Each row stays in its slice of its band, visits the earlier slices, and all
-    slices of the band above, so no task holds a whole list."""
-    # Only lists that are cut need a row here: a small table, which is joined without
-    # dealing out the lists by token.
-    slices = listed.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices")).filter("slices > 1")
+def slices_of(listed: DataFrame) -> DataFrame:
+    """(token, band, slices) of the bands of lists that are cut."""
+    return listed.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices")).filter("slices > 1")
+
+
+def meet_lists(listed: DataFrame, slices: DataFrame, maps: DataFrame, similar: tuple[int, int], nearest: bool, parts: int) -> DataFrame:
+    """list_pairs() of listed(token, band, d, c, n, pos), with its slices_of() and bitmaps
+    from maps(d, MAP). Each row stays in its slice of its band, visits the earlier slices,
+    and all slices of the band above, so no task holds a whole list."""
+    # Only lists that are cut need a row in slices: a small table, which is joined
+    # without dealing out the lists by token.
     cut = lambda df: df.join(slices, ["token", "band"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     own = cut(listed).withColumn("own", F.pmod(F.xxhash64("d"), F.col("slices")))
     columns = ["token", "band", "slice", "guest", "d", "c", "n", "pos"]

@@ -12,13 +12,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, lines, mixing, neardup_docs, neardup_vectors, packing, quality, registry, secrets, setjoin, topk, urls
+from corvane.llm import chat, graph, lines, mixing, neardup_docs, neardup_vectors, packing, quality, registry, secrets, setjoin, topk, urls
 from corvane.llm.common import Workspace
 from corvane.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
 vocab = [f"w{i}" for i in range(60)]
+graph_lot = graph.LOT
 
 
 def test_every_operator_is_registered():
@@ -502,10 +503,21 @@ def test_line_query_removes_short_repeats(spark, tmp_path):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.n_chars_left) for r in lines.op7_line_dedup(spark, str(tmp_path)).collect()} == {1: (2, 0, 36), 2: (2, 1, 3), 3: (3, 2, 0)}
 
 
-def test_components(spark):
+class Spied(Workspace):
+    """Notes how many exchanges the plan of each saved table has."""
+
+    def save(self, df, name):
+        self.widths = [*getattr(self, "widths", []), (df._jdf.queryExecution().executedPlan().toString().count("Exchange "), name)]
+        return super().save(df, name)
+
+
+@pytest.mark.parametrize("lot", [graph.LOT, 8])
+def test_components(spark, monkeypatch, lot):
+    monkeypatch.setattr(graph, "LOT", lot)
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 240), rng.randrange(200, 240)) for _ in range(30)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark)).collect()}
+    ws = Spied(spark)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), ws).collect()}
     parent = {}
 
     def find(x):
@@ -516,6 +528,14 @@ def test_components(spark):
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert len(ws.widths) == 2 if lot == graph_lot else len(ws.widths) > 2  # a short list takes no rounds
+
+
+def test_near_copies_take_small_plans(spark, sf, monkeypatch):
+    spies = []
+    monkeypatch.setattr(neardup_docs, "Workspace", lambda s: spies.append(Spied(s)) or spies[-1])
+    neardup_docs.op5_ngram_links(spark, sf)
+    assert max(spies[0].widths)[0] <= 12 and sum(n for n, _ in spies[0].widths) <= 120, sorted(spies[0].widths)
 
 
 # 6 -------------------------------------------------------------------------------
