@@ -66,3 +66,23 @@ def test_terms_counted_by_number_are_those_of_the_column(spark, monkeypatch, ter
         found.update({(int(r), texts[int(k)].as_py()): int(n) for k, r, n in zip(term, row, tf, strict=True)})
     want = Counter((i, t) for i, r in enumerate(df.coalesce(1).select(terms.alias("x")).collect()) for t in r.x)
     assert found == want
+
+
+@pytest.mark.parametrize("names", [["a", "b"], ["a", "b", "c"]])
+def test_all_folds_and_labels_in_one_search(spark, rows, monkeypatch, names):
+    train, test = rows.filter(F.col("label").isin(names)), rows.select("id", "features")
+    tags = train.withColumn("tags", F.when(F.col("id") % 2 == 0, F.array("label", F.lit("even"))).otherwise(F.array("label")))
+
+    def run():
+        sure = {r.id: (r.predicted, r.confidence) for r in models.calibrated_svc(train, test, "features", "label", "id", 300, iterations=15).collect()}
+        return sure, {r.id: r.predicted_labels for r in models.multi_label_svc(tags, test, "features", "tags", 300, iterations=15).collect()}
+
+    monkeypatch.setattr(models, "DRIVER_ROWS", 0)
+    want = run()
+    monkeypatch.setattr(models, "DRIVER_ROWS", 1 << 20)
+    monkeypatch.setattr(linear, "fit", None)
+    got = run()
+    assert got[1] == want[1]
+    assert got[0].keys() == want[0].keys()
+    for k, (label, sure) in want[0].items():
+        assert got[0][k][0] == label and abs(got[0][k][1] - sure) < 1e-5
