@@ -56,7 +56,7 @@ def _dealt(kind, shards: int):
     """(row, words) to (shard, raw): distinct terms of a batch, each with rows and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in grams.small(batches):
             ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
             for texts, term, row, tf in kind.count(b.column(1)):
                 sizes = np.bincount(term, minlength=len(texts))
